@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, sharding
+from . import decontamination, line_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 
 SQL: dict[str, str] = {
+    "op1_decontamination": decontamination.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
 }
