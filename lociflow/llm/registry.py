@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, sharding
+from . import byte_bpe, chat, decontamination, line_dedup, mjpeg, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_media_avi": mjpeg.op2_media_avi,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_chat_prefix_targets": chat.op8_chat_prefix_targets,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
 }
 
 SQL: dict[str, str] = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op8_chat_prefix_targets": chat.OP8_SQL,
 }
