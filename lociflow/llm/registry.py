@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontamination, line_dedup, mjpeg, pii, quality, sharding
+from . import byte_bpe, chat, decontamination, line_dedup, mjpeg, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_media_avi": mjpeg.op2_media_avi,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_pack_tokens": packing.op4_pack_tokens,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_chat_prefix_targets": chat.op8_chat_prefix_targets,
