@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontamination, line_dedup, mjpeg, packing, pii, quality, sharding
+from . import byte_bpe, chat, decontamination, jaccard, line_dedup, mjpeg, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_pack_tokens": packing.op4_pack_tokens,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_jaccard_components": jaccard.op6_jaccard_components,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_chat_prefix_targets": chat.op8_chat_prefix_targets,
     "op9_pii_spans": pii.op9_pii_spans,
