@@ -46,3 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and goes on from the files."""
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Tables of keys are broadcast up to so many rows.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't in gone (a column of that name); gone is broadcast once its rows are counted, if few."""
+    gone = cut(gone.select(key).distinct())
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, row_key, sha256_hex
+from .common import ascii_lower, documents, row_key, sha256_hex, without
 
 WINDOW = 10
 INDEX_ROWS = 500_000
@@ -121,11 +121,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     found = hits(docs, benchmark, window).where(F.size("hit") > 0).select(F.col("text_key").alias("_k"), F.col("hit").alias("_hit")).dropDuplicates(["_k"])
     keyed = docs.withColumn("_k", row_key(F.col("doc_id"), F.col("text")))
     if not spans_only:
-        return keyed.join(found, "_k", "left_anti").drop("_k")
+        return without(keyed, found, "_k").select(*docs.columns)
     pieces = F.regexp_extract_all("text", F.lit(PIECES), 0)
     lead = F.when(F.col("text").rlike(f"^[{CASED}]"), 1).otherwise(0)
     text = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("_hit"), i - lead)), "")
-    return keyed.join(found, "_k", "left").withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(text)).drop("_k", "_hit")
+    return keyed.join(found, "_k", "left").withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,13 +35,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import code_points as cp
-from .common import cut, documents
+from .common import BROADCAST_ROWS, cut, documents
 from .components import connected_components
 
 WORDS, PERCENT = 4, 85
 RATIO = 1.4
 EMPTY_COST, SPARE_TAIL = 40.0, 1e-3
-BROADCAST_ROWS = 1_000_000
 ROWS_OF_A_LEADER = 512
 _SHINGLE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
 

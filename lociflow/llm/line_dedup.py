@@ -89,13 +89,13 @@ def run_lengths(dropped: Column, n_lines: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
-    """doc_id, text, n_lines, dropped, keep_runs, kept of every row of docs; kept is the text without its dropped lines."""
-    maps = keep_bitmaps(docs, min_documents, min_chars, keep_first)
-    rows = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("k"))
+    """docs with n_lines, dropped, keep_runs and kept, the text without its dropped lines; columns of these names go."""
+    maps = keep_bitmaps(docs, min_documents, min_chars, keep_first).withColumnRenamed("k", "_k")
+    own = [c for c in docs.columns if c not in ("n_lines", "dropped", "keep_runs", "kept")]
+    rows = docs.select(*own, row_key(F.col("doc_id"), F.col("text")).alias("_k"))
     lines = lines_of(F.col("text"))
-    return rows.join(maps, "k", "left").select(
-        "doc_id",
-        "text",
+    return rows.join(maps, "_k", "left").select(
+        *own,
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
         F.coalesce("keep_runs", F.array(F.size(lines))).alias("keep_runs"),

@@ -141,17 +141,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns to keep, and score, of every row."""
+    """The columns to keep, and score, of every row; a column score of docs goes."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    keep = tuple(c for c in keep if c != "score")
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [score(part, sent.value) for part in cp.chunks(x.as_py() for x in batch.column(len(keep)))]
-            columns = [*[batch.column(i) for i in range(len(keep))], pa.array(np.concatenate(found) if found else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score"])
+            done = 0
+            for part in cp.chunks(x.as_py() for x in batch.column(at)):
+                own = [batch.column(i).slice(done, len(part)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(score(part, sent.value), pa.float64())], names=[*keep, "score"])
+                done += len(part)
 
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType())]))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
