@@ -12,22 +12,34 @@ by bytes, so that memory is bounded by a few MB or by the longest text.
 
 from __future__ import annotations
 
+import array as arrays
 import base64
 import codecs
+import hashlib
 import json
+import os
+import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import documents, sha256_hex
+from .common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK_BYTES = 1 << 19
+KEPT_PARTS = 300_000
+#: Python's white space has all of the pattern's, so that this cuts rather too seldom.
+#: Latin letters, of which any version of Unicode says so, with at most one space before and some marks after them.
+WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.!?;:]*)")
+CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_alphabet() -> list[str]:
@@ -82,30 +94,99 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[li
         yield held
 
 
+class Encoder:
+    """Encodes batches of texts. A text is cut at single spaces between characters that aren't white space: the
+    splitting pattern always ends a match there and looks no further, so each part has the same ids wherever it stands,
+    and a part that was met before is looked up. The parts kept are bounded by KEPT_PARTS."""
+
+    def __init__(self, described: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
+        self.tokenizer = Tokenizer.from_str(described)
+        self.model = self.tokenizer.model
+        self.shown = dict(enumerate(byte_alphabet()))
+        self.ids: dict[str, bytes] = {}
+        self.spans: dict[str, bytes] = {}
+
+    def parts(self, text: str) -> list[str]:
+        words = CUT.split(text)
+        return [words[0], *[" " + w for w in words[1:]]]
+
+    def learn(self, parts: set[str], offsets: bool) -> None:
+        if len(self.ids) > KEPT_PARTS:
+            self.ids.clear()
+            self.spans.clear()
+        if offsets:
+            new = [p for p in parts if p not in self.spans]
+        else:
+            new = [p for p in parts if p not in self.ids and not self.learn_word(p)]
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for part, x in zip(some, (self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast)(some, add_special_tokens=False), strict=True):
+                self.ids[part] = arrays.array("i", x.ids).tobytes()
+                if offsets:
+                    self.spans[part] = np.array(x.offsets, "<i4").reshape(-1, 2).tobytes()
+
+    def learn_word(self, part: str) -> bool:
+        """Merges a word and the marks after it, which the pattern matches one after the other; False for other parts."""
+        found = WORD.fullmatch(part)
+        if found is None:
+            return False
+        word, marks = found.groups()
+        for piece in (word, marks) if marks else (word,):
+            if piece not in self.ids:
+                shown = piece.encode().decode("latin-1").translate(self.shown)
+                self.ids[piece] = arrays.array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if marks:
+            self.ids[part] = self.ids[word] + self.ids[marks]
+        return True
+
+    def encode(self, texts: list[str], offsets: bool = False) -> tuple[pa.Array, pa.Array | None]:
+        """Lists of ids, and lists of spans with offsets."""
+        cut = [self.parts(t) for t in texts]
+        self.learn(set().union(*cut), offsets)
+        data = [b"".join(map(self.ids.__getitem__, parts)) for parts in cut]
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]).astype(np.int32))
+        ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
+        if not offsets:
+            return ids, None
+        spans = [np.zeros((0, 2), np.int32)]
+        for parts in cut:
+            start = 0
+            for p in parts:
+                spans.append(np.frombuffer(self.spans[p], "<i4").reshape(-1, 2) + np.int32(start))
+                start += len(p)
+        places = np.concatenate(spans)
+        both = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(places[:, i]), pa.int32()) for i in (0, 1)], names=["start", "end"])
+        return ids, pa.ListArray.from_arrays(ends, both)
+
+
+@lru_cache(maxsize=1)
+def encoder(described: str) -> Encoder:
+    """One for each Python worker, so that tasks of the same worker share the parts they met."""
+    return Encoder(described)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], coder: Encoder, keep: tuple[str, ...], offsets: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches of the first columns (keep) and a text, as smaller ones of the columns and ids."""
+    for batch in batches:
+        at = 0
+        for part in chunks(x.as_py() for x in batch.column(len(keep))):
+            columns = [batch.column(i).slice(at, len(part)) for i in range(len(keep))]
+            columns += [x for x in coder.encode(part, offsets) if x is not None]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids"] + ["offsets"] * offsets)
+            at += len(part)
+
+
 def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: str = RANKS, offsets: bool = False) -> DataFrame:
     """The columns to keep with ids; with offsets, also the start and end of each token in code points of the text."""
-    session = df.sparkSession
-    described = session.sparkContext.broadcast(tokenizer_json(read_ranks(ranks)))  # as large as the vocabulary, whatever the input
-    own = T.StructType([df.schema[c] for c in keep])
+    described = df.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(ranks)))  # as large as the vocabulary, whatever the input
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    schema = T.StructType([*own.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("offsets", T.ArrayType(span))] * offsets)
-    pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    fields = [*[df.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("offsets", T.ArrayType(span))] * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_str(described.value)
-        encode_all = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
-        for batch in batches:
-            at = 0
-            for part in chunks(x.as_py() for x in batch.column(len(keep))):
-                found = encode_all(part, add_special_tokens=False)
-                columns = [batch.column(i).slice(at, len(part)) for i in range(len(keep))]
-                columns.append(pa.array([x.ids for x in found], pa.list_(pa.int32())))
-                if offsets:
-                    columns.append(pa.array([[{"start": a, "end": b} for a, b in x.offsets] for x in found], pairs))
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids"] + ["offsets"] * offsets)
-                at += len(part)
+        return encoded(batches, encoder(described.value), keep, offsets)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, T.StructType(fields))
 
 
 def token_table(ranks: dict[bytes, int]) -> list[bytes]:
@@ -123,32 +204,47 @@ def decode_pieces(pieces: Iterable[bytes]) -> Iterator[str]:
     yield decoder.decode(b"", final=True)
 
 
-def decode(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "ids"), ranks: str = RANKS) -> DataFrame:
-    """The columns to keep with decoded, the bytes of ids; cast them to string for the text."""
+def decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is ids, in smaller ones with the bytes that the ids stand for."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            found = [b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in part.column(part.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, "decoded"])
+
+
+def decode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), ranks: str = RANKS) -> DataFrame:
+    """The columns to keep, ids, and decoded, the bytes of the ids; cast them to string for the text."""
     table = df.sparkSession.sparkContext.broadcast(token_table(read_ranks(ranks)))
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("decoded", T.BinaryType())])
+    fields = [*[df.schema[c] for c in keep], df.schema["ids"], T.StructField("decoded", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = table.value
-        for batch in batches:
-            ids = batch.column(len(keep))
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                decoded = [b"".join([tokens[i] for i in x]) if x else b"" for x in ids.slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(decoded, pa.binary())], names=[*keep, "decoded"])
+        return decoded(batches, table.value)
 
-    return df.select(*keep, F.col("ids").alias("_ids")).mapInArrow(run, schema)
+    return df.select(*keep, "ids").mapInArrow(run, T.StructType(fields))
 
 
-def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
-    """Encodes every whole text and decodes the ids."""
-    return digests(documents(spark, sf_dir), ranks)
+def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the bytes that they decode to, of every row of docs.
+
+    encode() and decode() run in one Python stage, so that no ids go through the JVM.
+    """
+    read = read_ranks(ranks)
+    described = docs.sparkSession.sparkContext.broadcast(tokenizer_json(read))
+    table = docs.sparkSession.sparkContext.broadcast(token_table(read))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, names = table.value, [str(i) for i in range(len(table.value))]
+        for batch in decoded(encoded(batches, encoder(described.value), ("doc_id",)), tokens):
+            texts = (" ".join(map(names.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) for x in batch.column(1))
+            digests = [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]), pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)])]
+            counts = pc.cast(pc.list_value_length(batch.column(1)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
-def digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    return decode(encode(docs, ranks=ranks), ranks=ranks).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        sha256_hex(F.array_join("ids", " ")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
+    """Encodes every whole text and decodes the ids."""
+    return round_trip(documents(spark, sf_dir), ranks)
