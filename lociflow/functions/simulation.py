@@ -1,0 +1,56 @@
+"""Bisulfite treatment and sequencing errors, drawn from a seed and the row's id, so that a rerun gives the same."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _random(seed: int, i: int) -> np.random.Generator:
+    return np.random.default_rng([seed, int(i)])
+
+
+def bisulfite(row_id: Column, seq: Column, rate: float = 1.0, meth_rate: float = 0.0, seed: int = 0) -> Column:
+    """C becomes T with rate, but the C of a CG first stays with meth_rate."""
+
+    @F.pandas_udf("string")
+    def treat(ids: pd.Series, seqs: pd.Series) -> pd.Series:
+        def one(i: int, s: str | None) -> str | None:
+            if s is None:
+                return None
+            a = np.frombuffer(s.upper().encode("ascii", "replace"), np.uint8).copy()
+            r = _random(seed, i)
+            cpg = np.append((a[:-1] == ord("C")) & (a[1:] == ord("G")), False)
+            turned = (a == ord("C")) & (r.random(len(a)) < rate) & ~(cpg & (r.random(len(a)) < meth_rate))
+            a[turned] = ord("T")
+            return a.tobytes().decode()
+
+        return pd.Series([one(i, s) for i, s in zip(ids, seqs, strict=True)])
+
+    return treat(row_id, seq)
+
+
+def sequencing_errors(row_id: Column, seq: Column, errors: int, seed: int = 0, indels: bool = False) -> Column:
+    """So many errors at random places of each sequence: another base, or with indels also a base more or less."""
+
+    @F.pandas_udf("string")
+    def add(ids: pd.Series, seqs: pd.Series) -> pd.Series:
+        def one(i: int, s: str | None) -> str | None:
+            if not s:
+                return s
+            r, bases = _random(seed, i), list(s)
+            for at in sorted(r.choice(len(bases), min(errors, len(bases)), replace=False), reverse=True):
+                kind = r.integers(3) if indels else 0
+                if kind == 0:
+                    bases[at] = r.choice([b for b in "ACGT" if b != bases[at].upper()])
+                elif kind == 1:
+                    bases.insert(at, r.choice(list("ACGT")))
+                else:
+                    del bases[at]
+            return "".join(bases)
+
+        return pd.Series([one(i, s) for i, s in zip(ids, seqs, strict=True)])
+
+    return add(row_id, seq)
