@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def split_any(s: Column, delimiters: str, keep_empty: bool = False) -> Column:
@@ -56,7 +57,7 @@ def _quoted(s: str | None) -> list[str] | None:
     return parts
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_quoted(s: pd.Series) -> pd.Series:
     return s.map(_quoted)
 

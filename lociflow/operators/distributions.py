@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.special import digamma, inverse_digamma, trigamma
 
@@ -20,7 +21,7 @@ FAMILIES = {"exp": 1, "gamma": 2, "pois": 1, "nbd": 2, "geo": 1, "beta": 2, "bin
 FLOOR = -40.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else math.lgamma(v)).astype("float64")
 
@@ -91,14 +92,19 @@ def fit(df: DataFrame, family: str, value: str, weight: str | None = None, n: fl
 
 
 def fit_beta(mean_log: float, mean_log1: float) -> list[float]:
-    """The fixed point of digamma(a) - digamma(a + b) = mean ln x, and the same for b, from 0.01."""
+    """The solution of digamma(a) - digamma(a + b) = mean ln x, and the same for b: fixed-point steps from 0.01, then Newton's."""
     a = b = 0.01
-    for _ in range(10_000):
-        total = float(digamma(a + b))
-        new_a, new_b = float(inverse_digamma(total + mean_log)), float(inverse_digamma(total + mean_log1))
-        moved = max(abs(new_a - a) / a, abs(new_b - b) / b)
-        a, b = new_a, new_b
-        if moved < 1e-10:
+    for _ in range(30):
+        total = digamma(a + b)
+        a, b = float(inverse_digamma(total + mean_log)), float(inverse_digamma(total + mean_log1))
+    for _ in range(100):
+        x, t = np.array([a, b]), trigamma(np.array([a, b, a + b]))
+        miss = digamma(x) - digamma(a + b) - np.array([mean_log, mean_log1])
+        step = np.linalg.solve(np.diag(t[:2]) - t[2], miss)
+        x = np.where(step < x, x - step, x / 2)
+        moved = float(np.max(np.abs(x - [a, b]) / x))
+        a, b = map(float, x)
+        if moved < 1e-12:
             break
     return [a, b]
 
@@ -115,10 +121,10 @@ def fit_negative_binomial(df: DataFrame, value: str, weight: str | None = None)
         n = 1 / alpha
         return float((c * (digamma(x + n) - digamma(n))).sum() / total - math.log1p(alpha * mu))
 
-    low, high = 1e-10, 1e10
+    low, high = 1e-6, 1e6
     for _ in range(200):
         middle = math.sqrt(low * high)
-        low, high = (middle, high) if score(middle) > 0 else (low, middle)
+        low, high = (low, middle) if score(middle) > 0 else (middle, high)
     return [mu, math.sqrt(low * high)]
 
 
