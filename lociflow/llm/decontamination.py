@@ -118,14 +118,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_rows
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans_only: bool = False) -> DataFrame:
     """docs without the contaminated rows; with spans_only, all rows, but their texts without the hit words."""
-    found = hits(docs, benchmark, window).where(F.size("hit") > 0).select(F.col("text_key").alias("_k"), F.col("hit").alias("_hit")).dropDuplicates(["_k"])
-    keyed = docs.withColumn("_k", row_key(F.col("doc_id"), F.col("text")))
+    found = hits(docs, benchmark, window).where(F.size("hit") > 0).select(F.col("text_key").alias("k"), "hit").dropDuplicates(["k"])
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("k"))
     if not spans_only:
-        return without(keyed, found, "_k").select(*docs.columns)
-    pieces = F.regexp_extract_all("text", F.lit(PIECES), 0)
-    lead = F.when(F.col("text").rlike(f"^[{CASED}]"), 1).otherwise(0)
-    text = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("_hit"), i - lead)), "")
-    return keyed.join(found, "_k", "left").withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+        return without(keyed, found, "k").select("row.*")
+    text = F.col("row.text")
+    lead = F.when(text.rlike(f"^[{CASED}]"), 1).otherwise(0)
+    left = F.array_join(F.filter(F.regexp_extract_all(text, F.lit(PIECES), 0), lambda x, i: ~F.array_contains(F.col("hit"), i - lead)), "")
+    cleaned = F.when(F.col("hit").isNull(), text).otherwise(left)
+    return keyed.join(found, "k", "left").select(*[cleaned.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

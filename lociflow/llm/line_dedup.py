@@ -33,8 +33,9 @@ def line_key(line: Column) -> Column:
 
 def _first_places(rows: DataFrame) -> DataFrame:
     """h, documents, first: of every hash the number of documents that have it and its first (document, position)."""
-    ranged = rows.repartitionByRange("h1", "h2", "k", "at").sortWithinPartitions("h1", "h2", "k", "at")
-    return ranged.groupBy("h1", "h2").agg(F.sum("n").alias("documents"), F.min(F.struct("k", "at")).alias("first"))
+    order = ("h1", "h2", "doc_id", "k", "at")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.groupBy("h1", "h2").agg(F.sum("n").alias("documents"), F.min(F.struct("doc_id", "k", "at")).alias("first"))
 
 
 def keep_bitmaps(docs: DataFrame, min_documents: int = 2, min_chars: int = MIN_CHARS, keep_first: bool = True) -> DataFrame:
@@ -43,26 +44,26 @@ def keep_bitmaps(docs: DataFrame, min_documents: int = 2, min_chars: int = MIN_C
     A line goes if its key is found in min_documents documents or more; with keep_first its first occurrence stays.
     dropped has the positions, ascending; keep_runs the run lengths of the keep bitmap, kept lines first.
     """
-    keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), lines_of(F.col("text")).alias("lines"))
+    keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k"), lines_of(F.col("text")).alias("lines"))
     places = (
-        keyed.select("k", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "line"))
-        .select("k", "n_lines", "at", line_key(F.col("line")).alias("key"))
+        keyed.select("doc_id", "k", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "line"))
+        .select("doc_id", "k", "n_lines", "at", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
-        .select("k", "n_lines", "at", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
+        .select("doc_id", "k", "n_lines", "at", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
     )
     if keep_first:
-        once = places.select("k", "at", "h1", "h2", F.lit(1).alias("n"))
-        found = _first_places(once.groupBy("k", "h1", "h2").agg(F.min("at").alias("at"), F.max("n").alias("n")))
+        copies = F.count(F.lit(1)) / F.size(F.collect_set("at"))  # equal rows have the same places
+        found = _first_places(places.groupBy("doc_id", "k", "h1", "h2").agg(F.min("at").alias("at"), copies.cast("int").alias("n")))
     else:
         keys = F.array_distinct(
             F.transform(F.filter(F.transform("lines", line_key), lambda x: F.length(x) >= min_chars), lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("h1"), F.xxhash64(F.lit(2), x).alias("h2")))
         )
-        once = keyed.select("k", F.explode(keys).alias("h")).select("k", F.lit(0).alias("at"), "h.h1", "h.h2", F.lit(1).alias("n"))
+        once = keyed.select("doc_id", "k", F.explode(keys).alias("h")).select("doc_id", "k", F.lit(0).alias("at"), "h.h1", "h.h2", F.lit(1).alias("n"))
         found = _first_places(once)
     common = found.where(F.col("documents") >= min_documents)
     lost = places.join(common, ["h1", "h2"])
     if keep_first:
-        lost = lost.where((F.struct("k", "at") != F.col("first")))
+        lost = lost.where((F.col("k") != F.col("first.k")) | (F.col("at") != F.col("first.at")))
     per_document = lost.groupBy("k").agg(F.array_sort(F.collect_set("at")).alias("dropped"), F.max("n_lines").alias("n_lines"))
     return per_document.select("k", "dropped", run_lengths(F.col("dropped"), F.col("n_lines")).alias("keep_runs"))
 
@@ -90,16 +91,17 @@ def run_lengths(dropped: Column, n_lines: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, keep_first: bool = False) -> DataFrame:
     """docs with n_lines, dropped, keep_runs and kept, the text without its dropped lines; columns of these names go."""
-    maps = keep_bitmaps(docs, min_documents, min_chars, keep_first).withColumnRenamed("k", "_k")
+    maps = keep_bitmaps(docs, min_documents, min_chars, keep_first)
     own = [c for c in docs.columns if c not in ("n_lines", "dropped", "keep_runs", "kept")]
-    rows = docs.select(*own, row_key(F.col("doc_id"), F.col("text")).alias("_k"))
-    lines = lines_of(F.col("text"))
-    return rows.join(maps, "_k", "left").select(
-        *own,
+    text = F.col("row.text")
+    rows = docs.select(F.struct(*own).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("k"))
+    lines = lines_of(text)
+    return rows.join(maps, "k", "left").select(
+        "row.*",
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
         F.coalesce("keep_runs", F.array(F.size(lines))).alias("keep_runs"),
-        F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit("")))
+        F.when(F.col("dropped").isNull(), F.coalesce(text, F.lit("")))
         .otherwise(F.array_join(F.array_compact(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("dropped"), i), x))), "\n"))
         .alias("kept"),
     )
