@@ -2,9 +2,9 @@
 
 A document's features are its hashed words, word pairs and character n-grams. Each feature has a learned vector; the
 mean of a document's vectors goes through a linear layer to a softmax over two classes. Both are learned together by
-stochastic gradient descent in numpy, on a sample of labelled rows that SAMPLE_ROWS bounds: features are made on the
-executors, and the driver gets the sample's counts. As the softmax of two classes depends on a linear function of the
-mean alone, the model is sent out as one weight for each feature, and a whole text is scored by a mean of look-ups.
+stochastic gradient descent in numpy, on a sample of labelled rows that SAMPLE_ROWS bounds, in one task that gets the
+sample's features and gives the driver one weight for each. (The softmax of two classes
+depends on a linear function of the mean alone.) A whole text is scored by a mean of look-ups.
 
 Defined cases: null and empty texts have no features and get the score of the bias; a row without a label, or with a
 null one, isn't learned from; labels of one class or none give a constant score; equal texts get equal scores; an empty
@@ -85,20 +85,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     random = np.random.default_rng(SEED)
     vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (GROUPS * BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
-    share = [(c / max(1, c.sum())).astype(np.float32) for _, c, _ in rows]
     balance = len(labels) / (2 * np.bincount(labels, minlength=2))
     step, steps = 0, EPOCHS * len(rows)
     for _ in range(EPOCHS):
         for i in random.permutation(len(rows)):
-            f, y = rows[i][0], labels[i]
-            own = vectors[f]
-            mean = share[i] @ own
+            f, c, y = rows[i]
+            own, share = vectors[f], (c / max(1, c.sum())).astype(np.float32)
+            mean = share @ own
             odds = layer @ mean + bias
             p = np.exp(odds - odds.max())
             error = p / p.sum()
             error[y] -= 1
             error *= min(2.0, balance[y]) * (1 - step / steps)
-            vectors[f] = own - RATE * share[i][:, None] * (error @ layer)
+            vectors[f] = own - RATE * share[:, None] * (error @ layer)
             layer -= np.float32(0.2) * np.outer(error, mean)
             bias -= np.float32(0.02) * error
             step += 1
@@ -135,9 +134,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"doc_id {kind}, y int, f binary, c binary").limit(2 * sample_rows).collect()  # repeated ids could give more
-    got.sort(key=lambda r: (r.doc_id, r.y, bytes(r.f), bytes(r.c)))
-    return train([(np.frombuffer(r.f, np.int32), np.frombuffer(r.c, np.int32), r.y) for r in got])
+    rows = sample.mapInArrow(run, f"doc_id {kind}, y int, f binary, c binary")
+
+    def learn(table: pa.Table) -> pa.Table:
+        got = table.sort_by([(c, "ascending") for c in ("doc_id", "y", "f")])
+        model = train([(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(c.as_buffer(), np.int32), y.as_py()) for f, c, y in zip(got["f"], got["c"], got["y"], strict=True)])
+        return pa.table({"weight": pa.array([model.weight.astype("<f4").tobytes()], pa.binary()), "bias": [model.bias]})
+
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "weight binary, bias double").collect()  # one row or none
+    return Model(np.frombuffer(found[0].weight, "<f4"), found[0].bias) if found else train([])
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
