@@ -31,7 +31,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import code_points as cp
@@ -42,6 +41,8 @@ WORDS, PERCENT = 4, 85
 RATIO = 1.4
 EMPTY_COST, SPARE_TAIL = 40.0, 1e-3
 ROWS_OF_A_LEADER = 512
+LEADER_ORDERS = 8
+FIRST_KEYS = 32
 _SHINGLE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
 
 
@@ -155,19 +156,25 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def parities(s: np.ndarray) -> list[int]:
+    """Whether each slot has an odd number of elements, 64 slots to a number; a power of two of slots, 256 or more."""
+    slots = max(256, 1 << (len(s) - 1).bit_length()) if len(s) else 256
+    odd = np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def set_digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n (size of the set), s1 and s2 (128 bits that stand for it), p0 to p3 (parities of its slots)."""
+    """doc_id, n (size of the set), s1 and s2 (128 bits that stand for it), p (its parities)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in _each(batch, 1, words):
                 sums = np.array([[cp.mix(s ^ np.uint64(1)).sum(dtype=np.uint64), cp.mix(s ^ np.uint64(1 << 60)).sum(dtype=np.uint64)] for s in sets], np.uint64)
-                slots = np.array([np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.uint64) for s in sets])
                 columns = [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64())]
-                columns += [_longs(np.ascontiguousarray(x[:, i])) for x, k in ((sums, 2), (slots, 4)) for i in range(k)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "p0", "p1", "p2", "p3"])
+                columns += [_longs(np.ascontiguousarray(sums[:, i])) for i in range(2)] + [pa.array([parities(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, p array<bigint>")
 
 
 def segment_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -193,7 +200,11 @@ def segment_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 
 def star_links(keys: DataFrame) -> DataFrame:
-    """key, leader, v: of the documents of a key, each but the first one, with the first one."""
+    """key, leader, v: of the documents of a key, each but the first one, with the first one.
+
+    The order of documents is by hash, one of LEADER_ORDERS by key, so that the documents of a large group have several
+    leaders and hang together by verified links even where one leader is too far from many of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = leader = last = None
@@ -210,21 +221,31 @@ def star_links(keys: DataFrame) -> DataFrame:
             if row.any():
                 yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(lead[row]), pa.array(v[row])], names=["key", "leader", "v"])
 
-    dealt = keys.repartition("key").sortWithinPartitions("key", "v")
+    dealt = keys.repartition("key").sortWithinPartitions("key", F.xxhash64(F.pmod("key", F.lit(LEADER_ORDERS)), "v"), "v")
     return dealt.mapInArrow(run, "key bigint, leader bigint, v bigint")
 
 
+def _folded(p: Column, to: Column) -> Column:
+    """Parities of half as many slots, where there are more than in the other set's."""
+    half = (F.size(p) / 2).cast("int")
+    halves = F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(p) > F.size(to), halves).otherwise(p)
+
+
 def _possible(percent: int) -> Column:
-    """Whether sizes n, _n and parities p0.., _p0.. allow the similarity."""
+    """Whether sizes n, _n and parities p, _p allow the similarity; sizes that do have at most twice the slots."""
     total = F.col("n") + F.col("_n")
     most = total - 2 * F.ceil(percent * total / (100 + percent))
-    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"_p{i}"))) for i in range(4)), F.lit(0))
-    return (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")) & (differ <= most)
+    p, other = F.col("p"), F.col("_p")
+    differ = F.aggregate(F.zip_with(_folded(p, other), _folded(other, p), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return F.when(100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"), differ <= most).otherwise(F.lit(False))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets reach the similarity. Documents of many pairs as a are split over several tasks."""
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.count(F.lit(1)).over(W.partitionBy("a")) / ROWS_OF_A_LEADER)).cast("int").alias("part"))
+    pairs = cut(pairs.select("a", "b"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / ROWS_OF_A_LEADER).alias("parts"))
+    salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
     rows = cut(salted.unionByName(salted.select("a", F.col("a").alias("b"), "part").distinct()))
     small = rows.count() <= BROADCAST_ROWS
     members = rows.withColumnRenamed("b", "doc_id")
@@ -269,11 +290,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """doc_id, n_shingles, component_id and links (verified star and cross links of its set) of every row of docs."""
     digests = cut(set_digests(docs, words))
     known = digests.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    equal = known.groupBy("s1", "s2", "n", "p0", "p1", "p2", "p3").agg(F.min("doc_id").alias("rep"))
-    sets = cut(equal.select("rep", "s1", "s2", "n", "p0", "p1", "p2", "p3"))
+    equal = known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("p").alias("p"))
+    sets = cut(equal.select("rep", "s1", "s2", "n", "p"))
     of = cut(known.select("doc_id", "s1", "s2", "n").join(sets.select("rep", "s1", "s2", "n"), ["s1", "s2", "n"]).select("doc_id", "rep").distinct())
     stars = cut(star_links(segment_keys(docs, words, percent)))
-    sizes = sets.select("rep", "n", "p0", "p1", "p2", "p3")
+    sizes = sets.select("rep", "n", "p")
     others = sizes.select(*[F.col(c).alias(f"_{c}") for c in sizes.columns])
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -284,7 +305,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     reps = of.select(F.col("doc_id").alias("v"), "rep")
     leads = of.select(F.col("doc_id").alias("leader"), F.col("rep").alias("lead_rep"))
     starred = cut(stars.join(reps, "v").join(leads, "leader").select("key", F.col("lead_rep").alias("a"), F.col("rep").alias("b")).where(F.col("a") != F.col("b")).distinct())
-    first = cut(verified(possible(starred.select("a", "b").distinct()), docs, words, percent))
+    links = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = cut(verified(possible(links), docs, words, percent))
     same_id = of.groupBy("doc_id").agg(F.collect_set("rep").alias("r")).where(F.size("r") > 1).select("doc_id", F.explode("r").alias("b")).select(F.col("doc_id").alias("a"), "b")
     first_components = cut(connected_components(first.unionByName(same_id)))
 
@@ -296,9 +318,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     apart = members.where(F.col("lead") != F.col("own"))
     open_keys = apart.select("key").distinct()
     rest = members.join(open_keys, "key").join(sizes, F.col("b") == F.col("rep")).drop("rep")
-    rest = cut(rest.select("key", "b", "own", (F.col("own") != F.col("lead")).alias("apart"), "n", "p0", "p1", "p2", "p3"))
+    rest = cut(rest.select("key", "b", "own", (F.col("own") != F.col("lead")).alias("apart"), "n", "p"))
+    # A pair of many common keys is told at one of them: the least that is among the first keys of both, if there is one.
+    firsts = rest.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
+    rest = cut(rest.join(firsts, "b"))
     right = rest.select("key", *[F.col(c).alias(f"_{c}") for c in rest.columns if c != "key"])
-    crossing = rest.where("apart").join(right, "key").where((F.col("own") != F.col("_own")) & (~F.col("_apart") | (F.col("b") < F.col("_b"))) & _possible(percent))
+    common = F.array_intersect("firsts", "_firsts")
+    told = (F.size(common) == 0) | (F.col("key") == F.array_min(common))
+    crossing = rest.where("apart").join(right, "key").where((F.col("own") != F.col("_own")) & (~F.col("_apart") | (F.col("b") < F.col("_b"))) & _possible(percent) & told)
     pairs = crossing.select(F.least("b", "_b").alias("a"), F.greatest("b", "_b").alias("b")).distinct()
     second = cut(verified(pairs, docs, words, percent))
     links = first.unionByName(second).distinct()
