@@ -46,7 +46,7 @@ def keep_bitmaps(docs: DataFrame, min_documents: int = 2, min_chars: int = MIN_C
     """
     keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k"), lines_of(F.col("text")).alias("lines"))
     places = (
-        keyed.select("doc_id", "k", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("at", "line"))
+        keyed.select("doc_id", "k", F.size("lines").alias("n_lines"), F.posexplode_outer("lines").alias("at", "line"))
         .select("doc_id", "k", "n_lines", "at", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
         .select("doc_id", "k", "n_lines", "at", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
@@ -58,7 +58,7 @@ def keep_bitmaps(docs: DataFrame, min_documents: int = 2, min_chars: int = MIN_C
         keys = F.array_distinct(
             F.transform(F.filter(F.transform("lines", line_key), lambda x: F.length(x) >= min_chars), lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("h1"), F.xxhash64(F.lit(2), x).alias("h2")))
         )
-        once = keyed.select("doc_id", "k", F.explode(keys).alias("h")).select("doc_id", "k", F.lit(0).alias("at"), "h.h1", "h.h2", F.lit(1).alias("n"))
+        once = keyed.select("doc_id", "k", F.explode_outer(keys).alias("h")).where(F.col("h").isNotNull()).select("doc_id", "k", F.lit(0).alias("at"), "h.h1", "h.h2", F.lit(1).alias("n"))
         found = _first_places(once)
     common = found.where(F.col("documents") >= min_documents)
     lost = places.join(common, ["h1", "h2"])
