@@ -29,7 +29,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document of the least doc_id stays."""
-    groups = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
+    groups = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT, links=False)
     return without(docs, groups.where(F.col("doc_id") != F.col("component_id")), "doc_id").select(*docs.columns)
 
 

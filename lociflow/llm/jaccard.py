@@ -11,8 +11,11 @@ if neither set could spare its empty segments, and those two meet in the keys th
 Keys are dealt and sorted by Spark and read as a stream: a row that repeats the key before it is linked to the first
 document of its key. These star links are pruned by exact bounds (sizes, and the parities of 256 hash slots, which bound
 the difference from below) and verified on whole sets. Documents of a key that the verified links leave in different
-components are then compared with each other, and verified as well: no pair that shares a key is left undecided. Equal
-sets are one representative throughout. Nothing is capped.
+components are then compared with each other, and verified as well: no pair that shares a key is left undecided as to its
+component. Equal sets are one representative throughout. Nothing is capped.
+
+Every link lies within a component, so the links of a set are counted there: the sets of a component are dealt to blocks,
+each pair of blocks meets in one group, and all its pairs of sets are compared on whole sets. Pairs don't become rows.
 
 A shingle is a 64-bit hash of its words; two shingles of different words are taken for the same one with a chance of
 2**-64 for each pair compared.
@@ -43,6 +46,7 @@ EMPTY_COST, SPARE_TAIL = 40.0, 1e-3
 ROWS_OF_A_LEADER = 512
 LEADER_ORDERS = 8
 FIRST_KEYS = 32
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 64, 500_000, 4096
 _SHINGLE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
 
 
@@ -286,8 +290,88 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((both[1:] == both[:-1]).sum()) >= least
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and links (verified star and cross links of its set) of every row of docs."""
+def common_elements(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many elements each set of left has in common with each of right, or with each of left."""
+    sets = [*left, *(right or [])]
+    at = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(at) > 1  # only these can be common
+    used = often[at]
+    owner, at = owner[used], (np.cumsum(often) - 1)[at[used]]
+    order = np.argsort(at, kind="stable")
+    owner, at, end = owner[order], at[order], int(often.sum())
+    found = np.zeros((len(left), len(left if right is None else right)), np.int64)
+    for low in range(0, end, COLUMNS):
+        high = min(low + COLUMNS, end)
+        a, b = np.searchsorted(at, [low, high])
+        has = np.zeros((len(sets), high - low), np.float32)
+        has[owner[a:b], at[a:b] - low] = 1
+        found += (has[: len(left)] @ (has if right is None else has[len(left) :]).T).astype(np.int64)
+    np.fill_diagonal(found, [len(s) for s in left]) if right is None else None
+    return found
+
+
+def link_counts(placed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """s1, s2, n, links of the sets that have links: the number of other sets of the same component that reach the similarity.
+
+    placed has rep, s1, s2, n, component of every set. A component's sets go to blocks by hash, whose number grows with the
+    root of the sets and with their elements, and a group is a pair of blocks.
+    """
+    size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("w")).where(F.col("g") > 1)
+    blocks = F.greatest(F.when(F.col("g") <= BLOCK_SETS, 1).otherwise(F.ceil(F.sqrt("g") / 2)), F.ceil(F.col("w") / BLOCK_SHINGLES))
+    size = cut(size.select("component", blocks.cast("int").alias("blocks")))
+    members = cut(placed.join(F.broadcast(size) if size.count() <= BROADCAST_ROWS else size, "component"))
+    ids = cut(members.select(F.col("rep").alias("doc_id")).distinct())
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, found in _each(batch, 0, words):
+                sums = [_longs(np.array([cp.mix(s ^ np.uint64(x)).sum(dtype=np.uint64) for s in found], np.uint64)) for x in (1, 1 << 60)]
+                yield pa.RecordBatch.from_arrays([*sums, pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["s1", "s2", "n", "s"])
+
+    def compare(group: tuple, held: list[tuple]) -> Iterator[tuple]:
+        left = [x for x in held if x[0] == group[1]]
+        right = [x for x in held if x[0] == group[2]] if group[1] != group[2] else None
+        if left and (right is None or right):
+            a, b = np.array([x[3] for x in left]), np.array([x[3] for x in (left if right is None else right)])
+            common = common_elements([x[4] for x in left], None if right is None else [x[4] for x in right])
+            links = common >= -(-percent * (a[:, None] + b[None, :]) // (100 + percent))
+            np.fill_diagonal(links, False) if right is None else None
+            for own, counts in [(left, links.sum(1))] + ([] if right is None else [(right, links.sum(0))]):
+                yield from ((*x[1:4], int(c)) for x, c in zip(own, counts, strict=True) if c)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["s1", "s2", "n", "links"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            for component, i, j, block, s1, s2, n, s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (component, i, j) != group:
+                    out += compare(group, held) if held else []
+                    group, held = (component, i, j), []
+                held.append((block, s1, s2, n, np.frombuffer(s, np.uint64)))
+            if out:
+                yield told(out)
+        if held and (out := list(compare(group, held))):
+            yield told(out)
+
+    whole = texts.select("text").mapInArrow(sets, "s1 bigint, s2 bigint, n bigint, s binary").groupBy("s1", "s2", "n").agg(F.min("s").alias("s"))
+    own = members.select("component", "blocks", F.pmod(F.xxhash64("s1", "s2"), "blocks").cast("int").alias("block"), "s1", "s2", "n").join(whole, ["s1", "s2", "n"])
+    other = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = other.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "s1", "s2", "n", "s")
+    dealt = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return dealt.mapInArrow(count, "s1 bigint, s2 bigint, n bigint, links bigint").groupBy("s1", "s2", "n").agg(F.sum("links").alias("links"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if asked for, links of every row of docs.
+
+    links is the number of other sets that its set reaches the similarity with; those of equal sets count once.
+    """
     digests = cut(set_digests(docs, words))
     known = digests.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     equal = known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("p").alias("p"))
@@ -305,8 +389,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     reps = of.select(F.col("doc_id").alias("v"), "rep")
     leads = of.select(F.col("doc_id").alias("leader"), F.col("rep").alias("lead_rep"))
     starred = cut(stars.join(reps, "v").join(leads, "leader").select("key", F.col("lead_rep").alias("a"), F.col("rep").alias("b")).where(F.col("a") != F.col("b")).distinct())
-    links = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = cut(verified(possible(links), docs, words, percent))
+    star_pairs = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = cut(verified(possible(star_pairs), docs, words, percent))
     same_id = of.groupBy("doc_id").agg(F.collect_set("rep").alias("r")).where(F.size("r") > 1).select("doc_id", F.explode("r").alias("b")).select(F.col("doc_id").alias("a"), "b")
     first_components = cut(connected_components(first.unionByName(same_id)))
 
@@ -328,19 +412,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     crossing = rest.where("apart").join(right, "key").where((F.col("own") != F.col("_own")) & (~F.col("_apart") | (F.col("b") < F.col("_b"))) & _possible(percent) & told)
     pairs = crossing.select(F.least("b", "_b").alias("a"), F.greatest("b", "_b").alias("b")).distinct()
     second = cut(verified(pairs, docs, words, percent))
-    links = first.unionByName(second).distinct()
-    components = connected_components(links.unionByName(same_id))
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
-    placed = sets.select("rep", "s1", "s2", F.col("n").alias("_n")).join(components.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    rows = digests.select("doc_id", "n", "s1", "s2").join(placed, ["s1", "s2"], "left")
-    return rows.select(
+    components = connected_components(first.unionByName(second).unionByName(same_id))
+    placed = sets.select("rep", "s1", "s2", "n").join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if links:
+        placed = cut(placed)
+        placed = placed.join(link_counts(placed, docs, words, percent), ["s1", "s2", "n"], "left")
+    rows = digests.select("doc_id", "n", "s1", "s2").join(placed.drop("rep", "n"), ["s1", "s2"], "left")
+    columns = [
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).alias("links"),
-    )
+        F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+    ]
+    return rows.select(*columns, *([F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0))).alias("links")] if links else []))
 
 
 def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents by 4-word shingles at a similarity of 0.85."""
-    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    """Components of documents by 4-word shingles at a similarity of 0.85, and the number of links of each document's set."""
+    return jaccard_components(documents(spark, sf_dir))

@@ -65,6 +65,21 @@ def test_jaccard(spark, words, percent):
     assert [r.component_id for r in found if r.doc_id is None] == [None]
 
 
+def test_jaccard_links(spark):
+    r = random.Random(6)
+    base, other = [[f"{x}{i}" for i in range(120)] for x in "vw"]
+    near = [" ".join([*base[:i], f"z{k}", *base[i + 1 :]]) for k in range(150) for i in [r.randrange(120)]]
+    chain = [" ".join(other[6 * k : 6 * k + 80]) for k in range(6)]
+    texts = [*near, near[0].upper(), *chain, *random_texts(40), None]
+    sets = [frozenset(plain_set(t, 4)) for t in texts]
+    distinct = set(sets) - {frozenset()}
+    want = {i: sum(a != b and 100 * len(a & b) >= 85 * len(a | b) for b in distinct) for i, a in enumerate(sets)}
+    assert max(want.values()) > 100
+    docs = frame(spark, [*enumerate(texts), (None, near[1])])
+    for rows in (docs.coalesce(1), docs.repartition(7)):
+        assert {x.doc_id: x.links for x in jaccard.jaccard_components(rows).collect()} == want | {None: 0}
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(frame(spark, [])).count() == 0
 
