@@ -365,7 +365,7 @@ def local_linear_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.floor(F.col("value") / 50)
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("segment"), F.col("event_id").alias("i"), m.cast("double").alias("m"), (10 - m).cast("double").alias("u"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("segment"), F.col("event_id").alias("i"), m.cast("double").alias("m"), F.greatest(10 - m, F.lit(0)).cast("double").alias("u"))
 
 
 TWO = hmm.two_states(0.1, 0.1, (0.8, 2.0), (2.0, 0.8))
@@ -384,7 +384,7 @@ def hmm_viterbi_three_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hmm_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, history = hmm.train(observations(spark, sf_dir), TWO, max_rounds=2)
+    model, history = hmm.train(observations(spark, sf_dir), TWO)
     rows = [(n, *map(float, s), float(history[-1])) for n, s in zip(model.names, model.shapes, strict=True)]
     return spark.createDataFrame(rows, "state string, alpha double, beta double, log_likelihood double")
 
