@@ -1,9 +1,9 @@
 r"""Chat formatting by prefix-target expansion.
 
 Every assistant turn is the target of an example of its own: all turns before it are the context, and its reply alone
-is trainable. Contexts of a conversation are prefixes of one formatted text, so an example is stored as the segment
-that it adds to the one before, with the length of its context and its loss span; whole_examples() joins the segments
-into whole texts. The stored rows grow with the turns, not with their square.
+is trainable. Contexts of a conversation are prefixes of one formatted text: example_segments() has what each turn adds,
+and examples() a row for each assistant turn with its whole text and loss span. The rows grow with the turns, their
+texts with the square of a conversation's turns.
 
 Template: user [INST]text[/INST], assistant <s>text</s>, system [SYS]text[/SYS], any other role
 [ROLE]role[TEXT]text[/ROLE]. Inside texts and role names the backslash becomes \b and the first character of a control
@@ -77,14 +77,21 @@ def example_segments(conversations: DataFrame) -> DataFrame:
     )
 
 
+def examples(segments: DataFrame) -> DataFrame:
+    """conv_id, n, example, text, loss_start, loss_end: a row for each assistant turn, with all turns up to it.
+
+    Turns after the last reply (or of a conversation without one) have a last row that trains nothing: no loss span.
+    """
+    order = W.partitionBy("conv_id").orderBy("n")
+    said = F.collect_list("segment").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = segments.select("conv_id", "n", "example", "loss_start", "loss_end", said.alias("said"), F.lead("n").over(order).alias("next"))
+    kept = rows.where(F.col("loss_start").isNotNull() | F.col("next").isNull())
+    return kept.select("conv_id", "n", "example", F.array_join("said", "").alias("text"), "loss_start", "loss_end")
+
+
 def whole_examples(segments: DataFrame) -> DataFrame:
-    """conv_id, example, text, loss_start, loss_end with contexts written out; as long as the square of the turns."""
-    targets = segments.where(F.col("loss_start").isNotNull()).select(F.col("conv_id").alias("c"), F.col("n").alias("last"), F.col("example").alias("e"), F.col("loss_start").alias("a"), F.col("loss_end").alias("b"))
-    joined = targets.join(segments, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("n") <= F.col("last")))
-    parts = F.array_sort(F.collect_list(F.struct("n", "segment")))
-    return joined.groupBy("c", "e", "a", "b").agg(F.array_join(F.transform(parts, lambda x: x["segment"]), "").alias("text")).select(
-        F.col("c").alias("conv_id"), F.col("e").alias("example"), "text", F.col("a").alias("loss_start"), F.col("b").alias("loss_end")
-    )
+    """conv_id, example, text, loss_start, loss_end of every assistant turn, with contexts written out."""
+    return examples(segments).where(F.col("loss_start").isNotNull()).select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -99,13 +106,31 @@ def read_back(segments: DataFrame) -> DataFrame:
     return segments.select("conv_id", "n", role.alias("role"), unescape(body).alias("text"), unescape(trained).alias("trained"), F.length(s).alias("chars"))
 
 
+#: A formatted turn; no control string stands inside.
+TURN = r"(?s)\[INST\].*?\[/INST\]|<s>.*?</s>|\[SYS\].*?\[/SYS\]|\[ROLE\].*?\[/ROLE\]"
+
+
+def turns_of(text: Column) -> Column:
+    """Role and text of each turn of a formatted text, as an array."""
+
+    def turn(s: Column) -> Column:
+        other = F.split(F.substring(s, len("[ROLE]") + 1, F.length(s) - len("[ROLE][/ROLE]")), r"\[TEXT\]", 2)
+        inside = lambda mark: F.substring(s, len(mark) + 1, F.length(s) - 2 * len(mark) - 1)
+        role = F.when(s.startswith("[INST]"), "user").when(s.startswith("<s>"), "assistant").when(s.startswith("[SYS]"), "system").otherwise(unescape(other[0]))
+        body = F.when(s.startswith("[INST]"), inside("[INST]")).when(s.startswith("<s>"), inside("<s>")).when(s.startswith("[SYS]"), inside("[SYS]")).otherwise(F.get(other, F.lit(1)))
+        return F.struct(role.alias("role"), unescape(body).alias("text"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(TURN), 0), turn)
+
+
 def digests(conversations: DataFrame) -> DataFrame:
-    """Counts and digests of every conversation, read back from its segments."""
-    turns = F.array_sort(F.collect_list(F.struct("n", "role", "text", "trained")))
-    grouped = read_back(example_segments(conversations)).groupBy("conv_id").agg(turns.alias("t"), F.sum("chars").alias("formatted_chars"))
+    """Counts and digests of every conversation: turns read back from its last example, losses from the spans of all."""
+    masked = F.substring("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    losses = F.array_sort(F.collect_list(F.struct("n", F.coalesce(unescape(masked), F.lit("")).alias("trained"))))
+    grouped = examples(example_segments(conversations)).groupBy("conv_id").agg(losses.alias("l"), F.max_by("text", "n").alias("text"))
+    grouped = grouped.select("conv_id", turns_of(F.col("text")).alias("t"), F.array_join(F.transform("l", lambda x: x["trained"]), "").alias("loss"), F.length("text").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    grouped = grouped.select("conv_id", F.size("t").cast("long").alias("n_turns"), said.alias("said"), F.array_join(F.transform("t", lambda x: x["trained"]), "").alias("loss"), "formatted_chars")
-    return grouped.select("conv_id", "n_turns", sha256_hex(F.col("said")).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha256_hex(F.col("loss")).alias("loss_sha256"), "formatted_chars")
+    return grouped.select("conv_id", F.size("t").cast("long").alias("n_turns"), sha256_hex(said).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha256_hex(F.col("loss")).alias("loss_sha256"), "formatted_chars")
 
 
 def op8_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

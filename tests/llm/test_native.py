@@ -157,3 +157,17 @@ def test_chat(spark):
     one = {r.conv_id: r for r in chat.digests(df).collect()}
     assert one[1].turns_sha256 == sha("".join(f"{r}\n{t or ''}\n" for c, _, r, t in rows if c == 1)) and one[1].loss_sha256 == sha("</s>\\a[/ROLE]") and one[2].n_turns == 2
     assert chat.digests(df.limit(0)).count() == 0
+
+
+def test_chat_examples(spark, monkeypatch):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "tool", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e"), (2, 0, "user", "f")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    first = "[INST]a[/INST]<s>b</s>"
+    second = first + "[ROLE]tool[TEXT]c[/ROLE]<s>d</s>"
+    want = [(1, 1, first, "b"), (1, 3, second, "d"), (1, 4, second + "[INST]e[/INST]", None), (2, 0, "[INST]f[/INST]", None)]
+    found = chat.examples(chat.example_segments(df)).collect()
+    assert sorted((r.conv_id, r.n, r.text, r.loss_start and r.text[r.loss_start : r.loss_end]) for r in found) == want
+    whole, own = chat.digests(df).collect(), chat.examples
+    assert {r.conv_id: (r.n_turns, r.loss_chars, r.formatted_chars) for r in whole} == {1: (5, 2, len(second) + 14), 2: (1, 0, 14)}
+    monkeypatch.setattr(chat, "examples", lambda s: own(s).where("n < 3"))  # the digests come from the examples
+    assert {r.conv_id: r.n_turns for r in chat.digests(df).collect()} == {1: 2, 2: 1}
