@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm import byte_bpe, decontamination, jaccard, line_dedup, quality
-from lociflow.llm.common import cut, without
+from lociflow.llm.common import use_checkpoint_dir, without
 
 #: Near duplicates: five-word shingles, a similarity of 0.8.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -55,9 +57,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in a new folder below the checkpoint folder, read again from there."""
+    use_checkpoint_dir(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over the documents, each written to the checkpoint folder and read again by the next."""
+    """The stages in turn over the documents, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -223,3 +223,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert clean == {i for i, t, *_ in docs if passage not in (t or "")}
     out = pipeline.run(spark, str(tmp_path))
     assert 0 < out.count() < len(docs) and pipeline.quality_classifier(spark, df, str(tmp_path)).columns == df.columns
+
+
+def test_pipeline_hands_on_parquet(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    frame(spark, [(1, "a"), (2, None), (3, "c")]).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(pipeline, "STAGES", [("some", lambda _, d, __: d.where("doc_id > 1")), ("last", lambda _, d, __: d)])
+    out = pipeline.run(spark, str(tmp_path))
+    folder = spark.sparkContext.getCheckpointDir().split(":", 1)[-1].lstrip("/")
+    assert out.inputFiles() and all(folder in f and f.endswith(".parquet") for f in out.inputFiles())
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(2, None), (3, "c")]
