@@ -1,16 +1,17 @@
 """Packing of token ids into rows of one length, by best fit decreasing.
 
-Documents are dealt to groups by the hash of their row; the number of groups follows from the bytes of all texts, so
-that a group has about GROUP_BYTES whatever the input. Within a group, each document's ids with an end mark are cut
+Documents are dealt to groups by the hash of their row; the number of groups, and of partitions, follows from the bytes
+of all texts, so that a group has about GROUP_BYTES whatever the input, and a task a few groups. Within a group, each document's ids with an end mark are cut
 into pieces of at most a row, longest pieces first go to the open row with the least room that still holds them, and a
 segment tree over capacities finds that row. Packed rows carry their ids, the cumulative lengths of their segments
 (from 0 to the used length) and position ids that restart with each segment; a segment names its document and its
 offset in the document's ids, so that unpack() gives every document back whole.
 
 Ids are the UTF-8 bytes of the text, with END after them and PAD in the rest of a row; pass another tokenize function
-for other ids. Defined cases: a null or empty text is the end mark alone; repeated rows are packed as often as they
-come; equal lengths keep the order of doc_id (null first) and text; an empty table gives an empty result; only doc_id
-and text are looked at.
+for other ids, or a table that has them (packed_ids). Defined cases: a null or empty text is the end mark alone; repeated
+rows are packed as often as they come, and unpack() gives each of them back; equal lengths keep the order of doc_id (null
+first) and text; a text longer than a row goes on in others; an empty table gives an empty result; only doc_id and text
+are looked at.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut, documents
 
 ROW, PAD, END = 2048, 256, 257
 GROUP_BYTES = 8 << 20
@@ -83,46 +84,72 @@ def byte_ids(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), np.uint8).astype(np.int32)
 
 
+def dealt(rows: DataFrame, size: Column, group_bytes: int) -> DataFrame:
+    """rows with group, of about group_bytes, in as many partitions as a few groups each need.
+
+    A row's group follows from its hash. Equal rows have one hash; where they make a group too large, they are dealt over
+    several by their place in the input.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(*rows.columns)).withColumn("_bucket", F.shiftrightunsigned("_h", 48).cast("int"))
+    buckets = cut(hashed.groupBy("_bucket").agg(F.sum(size).alias("n")))  # 65,536 rows at most
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    groups = max(1, math.ceil(total / group_bytes))
+    parts = F.ceil(F.col("n") / group_bytes).cast("int")
+    hot = buckets.where(F.col("n") > 4 * group_bytes + 4 * total / 65536).select("_bucket", parts.alias("_parts"))
+    salted = F.xxhash64("_h", F.pmod(F.monotonically_increasing_id(), "_parts"))
+    placed = hashed.join(F.broadcast(hot), "_bucket", "left").withColumn("group", F.pmod(F.when(F.col("_parts").isNull(), F.col("_h")).otherwise(salted), F.lit(groups)).cast("int"))
+    spread = max(math.ceil(groups / 4), min(groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return placed.select(*rows.columns, "group").repartition(spread, "group")
+
 
 def packed_rows(docs: DataFrame, size: int = ROW, tokenize: Callable[[str], np.ndarray] = byte_ids, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """group, row, ids (binary: size little-endian 32-bit ids), lengths (cumulative, from 0), positions (binary, as ids), documents (doc_id, offset, length of each segment)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """The packed rows (see packed_ids) of whole texts by a tokenize function."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    total = docs.select(F.sum(F.octet_length(text)).alias("n")).first().n or 0
-    groups = max(1, math.ceil(total / group_bytes))
-    schema = f"`group` int, row int, ids binary, lengths array<int>, positions binary, documents array<struct<doc_id:{kind},offset:bigint,length:int>>"
+    return _packed(dealt(docs.select("doc_id", text.alias("ids")), F.octet_length("ids"), group_bytes), size, lambda x: tokenize(x.as_py()), PAD, END)
+
+
+def packed_ids(docs: DataFrame, size: int = ROW, pad: int = PAD, end: int = END, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """group, row, ids (binary: size little-endian 32-bit ids), lengths (cumulative, from 0), positions (binary, as ids),
+    documents (document: its number in the group, doc_id, offset, length of each segment) of (doc_id, ids array<int>)."""
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    return _packed(dealt(docs.select("doc_id", ids.alias("ids")), 4 * F.size("ids") + 1, group_bytes), size, lambda x: x.values.to_numpy(zero_copy_only=False), pad, end)
+
+
+def _packed(rows: DataFrame, size: int, read: Callable[[pa.Scalar], np.ndarray], pad: int, last: int) -> DataFrame:
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"`group` int, row int, ids binary, lengths array<int>, positions binary, documents array<struct<document:int,doc_id:{kind},offset:bigint,length:int>>"
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        names = table["doc_id"].to_pylist()
-        ids = [np.append(tokenize(x.as_py()), np.int32(END)) for x in table["text"]]
+        names, texts = table["doc_id"].to_pylist(), [np.append(read(x), np.int32(last)).astype(np.int32) for x in table["ids"]]
+        order = sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] if names[i] is not None else 0, texts[i].tobytes()))
+        names, ids = [names[i] for i in order], [texts[i] for i in order]
         out: dict[str, list] = {k: [] for k in ("row", "ids", "lengths", "positions", "documents")}
         for number, segments in enumerate(pack([len(x) for x in ids], size)):
-            matrix, positions, at, ends = np.full(size, PAD, np.int32), np.zeros(size, np.int32), 0, [0]
+            matrix, positions, at, ends = np.full(size, pad, np.int32), np.zeros(size, np.int32), 0, [0]
             for i, offset, n in segments:
                 matrix[at : at + n] = ids[i][offset : offset + n]
                 positions[at : at + n] = np.arange(n, dtype=np.int32)
                 at += n
                 ends.append(at)
-            found = [{"doc_id": names[i], "offset": offset, "length": n} for i, offset, n in segments]
+            found = [{"document": i, "doc_id": names[i], "offset": offset, "length": n} for i, offset, n in segments]
             for k, v in zip(out, (number, matrix.astype("<i4").tobytes(), ends, positions.astype("<i4").tobytes(), found), strict=True):
                 out[k].append(v)
         group = table["group"][0].as_py() if len(table) else 0
-        spans = pa.list_(pa.struct([("doc_id", table.schema.field("doc_id").type), ("offset", pa.int64()), ("length", pa.int32())]))
+        spans = pa.list_(pa.struct([("document", pa.int32()), ("doc_id", table.schema.field("doc_id").type), ("offset", pa.int64()), ("length", pa.int32())]))
         columns = [pa.array([group] * len(out["row"]), pa.int32()), pa.array(out["row"], pa.int32()), pa.array(out["ids"], pa.binary()), pa.array(out["lengths"], pa.list_(pa.int32())), pa.array(out["positions"], pa.binary()), pa.array(out["documents"], spans)]
         return pa.Table.from_arrays(columns, names=["group", *out])
 
-    dealt = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(groups)).cast("int").alias("group"))
-    return dealt.groupBy("group").applyInArrow(run, schema)
+    return rows.groupBy("group").applyInArrow(run, schema)
 
 
 def unpack(packed: DataFrame) -> DataFrame:
-    """doc_id and ids (binary) of every document, end mark included, from the packed rows; ids of repeated doc_ids are not told apart."""
-    segments = packed.select("ids", "lengths", F.posexplode("documents").alias("i", "d"))
+    """group, document, doc_id and ids (binary, end mark included) of every row that was packed; repeated ones come as often."""
+    segments = packed.select("group", "ids", "lengths", F.posexplode("documents").alias("i", "d"))
     part = F.expr("substring(ids, lengths[i] * 4 + 1, d.length * 4)")
-    pieces = segments.select("d.doc_id", "d.offset", part.alias("part"))
+    pieces = segments.select("group", "d.document", "d.doc_id", "d.offset", part.alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("offset", "part")))
-    return pieces.groupBy("doc_id").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x["part"])), "")).alias("ids"))
+    whole = F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x["part"])), ""))
+    return pieces.groupBy("group", "document").agg(F.first("doc_id").alias("doc_id"), whole.alias("ids"))
 
 
 def op4_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
