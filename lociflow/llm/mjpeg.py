@@ -6,12 +6,14 @@ Huffman table gives the difference category k a code of 9 - k bits, so that ever
 bits that follow and numpy packs and unpacks whole frames. The file is RIFF AVI: header lists, a movi list with a
 chunk for each frame, and the idx1 index.
 
-Reading goes by the index, or by a walk over the movi list where the index is absent, and takes grey 8-bit lossless
-frames with this table of codes; other codings raise ValueError. Shots change where the histogram difference of
-neighbouring frames exceeds the mean plus SPREAD deviations of the differences so far in the shot.
-
-Defined cases: a null or empty text is 64 zero bytes in one frame; equal texts give equal files and features; a null
-media value gives no clip; an empty table gives an empty result; only the named columns are looked at.
+Reading goes by the index, or by a walk over the movi list where the index is absent. It takes these frames and those
+of ordinary motion-JPEG files, baseline DCT with any tables (module dct), of which the luma plane counts; other codings
+raise ValueError. Shots change where the histogram difference of neighbouring frames exceeds the mean plus SPREAD
+deviations of the differences so far in the shot.
+
+Defined cases: a null or empty text is 64 zero bytes in one frame; equal texts give equal files and features, repeated
+rows equal rows; a null doc_id is kept; a text of any length goes into one file, frame by frame; a null media value gives
+no clip; an empty table gives an empty result; only the named columns are looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .dct import decode_baseline
 
 WIDTH, HEIGHT, FRAMES_PER_SECOND = 64, 64, 25
 SPREAD, LEAST_DIFFERENCE = 3.0, 0.25
@@ -75,7 +78,7 @@ def encode_frame(samples: np.ndarray) -> bytes:
 
 
 def decode_frame(jpeg: bytes) -> np.ndarray:
-    """The samples of a frame."""
+    """The samples of a frame, or the luma plane of a baseline one."""
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     at, rows, columns, table = 2, 0, 0, b""
@@ -90,7 +93,7 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
             if precision != 8 or parts != 1:
                 raise ValueError("only grey 8-bit frames are read")
         elif 0xC0 <= marker <= 0xCF:
-            raise ValueError("only lossless frames are read")
+            return decode_baseline(jpeg)
         elif marker == 0xDA:
             break
     if table != HUFFMAN or columns % 8 or body[3] != 1:
@@ -242,3 +245,8 @@ def op2_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("clips", lambda c: F.concat_ws(":", *[c[x].cast("string") for x in ("clip", "start_ms", "end_ms", "frames", "mean")])), ";"
     )
     return with_clips(with_media(documents(spark, sf_dir))).withColumn("feature", feature).drop("clips")
+
+
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clips of every text as an AVI file."""
+    return clip_rows(with_media(documents(spark, sf_dir)))

@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_prefix_targets": chat.op8_chat_prefix_targets,
     "op9_pii_spans": pii.op9_pii_spans,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
+    "media_clips": mjpeg.media_clips,
 }
 
 SQL: dict[str, str] = {
