@@ -6,8 +6,9 @@ ranks. Decoding reverses the byte alphabet's table; ids cut inside a character d
 to text with a replacement character or by holding the rest back (decode_pieces).
 
 Defined cases: a null text is an empty one and has no ids; null ids decode to no bytes; strings that look like special
-tokens are ordinary text; an empty table gives an empty result; only the named columns are looked at. Batches are cut
-by bytes, so that memory is bounded by a few MB or by the longest text.
+tokens are ordinary text; repeated rows give equal rows; a null doc_id is kept; texts of any length are encoded whole;
+an empty table gives an empty result; only the named columns are looked at. Batches are cut by bytes, so that memory is
+bounded by a few MB or by the longest text, and the parts kept for look-up by KEPT_BYTES.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from .common import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK_BYTES = 1 << 19
-KEPT_PARTS = 300_000
+#: About so many bytes of parts and their ids are kept, and no part of more characters.
+KEPT_BYTES, KEPT_LENGTH = 64 << 20, 256
 #: Python's white space has all of the pattern's, so that this cuts rather too seldom.
 #: Latin letters, of which any version of Unicode says so, with at most one space before and some marks after them.
 WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.!?;:]*)")
@@ -65,6 +67,12 @@ def last_merge(token: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[bytes,
     return parts[0], parts[1]
 
 
+def vocabulary(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Tokens as the characters that stand for their bytes, with their ids."""
+    table = byte_alphabet()
+    return {"".join(table[b] for b in token): rank for token, rank in ranks.items()}
+
+
 def tokenizer_json(ranks: dict[bytes, int]) -> str:
     """The library's description of the tokenizer with these ranks as ids."""
     table = byte_alphabet()
@@ -76,7 +84,7 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
     merges = [[shown(a), shown(b)] for a, b in (last_merge(t, r, ranks) for r, t in longer)]
     levels = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": True}
     model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": "", "end_of_word_suffix": "", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
-    model |= {"vocab": {shown(t): r for t, r in ranks.items()}, "merges": merges}
+    model |= {"vocab": vocabulary(ranks), "merges": merges}
     return json.dumps({"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": levels, "post_processor": None, "decoder": levels, "model": model})
 
 
@@ -97,7 +105,7 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[li
 class Encoder:
     """Encodes batches of texts. A text is cut at single spaces between characters that aren't white space: the
     splitting pattern always ends a match there and looks no further, so each part has the same ids wherever it stands,
-    and a part that was met before is looked up. The parts kept are bounded by KEPT_PARTS."""
+    and a part that was met before is looked up. Long parts are not kept, and all go when they fill KEPT_BYTES."""
 
     def __init__(self, described: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
@@ -106,25 +114,30 @@ class Encoder:
         self.shown = dict(enumerate(byte_alphabet()))
         self.ids: dict[str, bytes] = {}
         self.spans: dict[str, bytes] = {}
+        self.kept = 0
 
     def parts(self, text: str) -> list[str]:
         words = CUT.split(text)
         return [words[0], *[" " + w for w in words[1:]]]
 
     def learn(self, parts: set[str], offsets: bool) -> None:
-        if len(self.ids) > KEPT_PARTS:
+        if self.kept > KEPT_BYTES:
             self.ids.clear()
             self.spans.clear()
+            self.kept = 0
         if offsets:
             new = [p for p in parts if p not in self.spans]
         else:
-            new = [p for p in parts if p not in self.ids and not self.learn_word(p)]
+            new = [p for p in parts if p not in self.ids]
+            self.kept += 400 * len(new)
+            new = [p for p in new if not self.learn_word(p)]
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             for part, x in zip(some, (self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast)(some, add_special_tokens=False), strict=True):
                 self.ids[part] = arrays.array("i", x.ids).tobytes()
                 if offsets:
                     self.spans[part] = np.array(x.offsets, "<i4").reshape(-1, 2).tobytes()
+        self.kept += sum(200 + 4 * len(p) + len(self.ids[p]) + len(self.spans.get(p, b"")) for p in new)
 
     def learn_word(self, part: str) -> bool:
         """Merges a word and the marks after it, which the pattern matches one after the other; False for other parts."""
@@ -147,14 +160,16 @@ class Encoder:
         data = [b"".join(map(self.ids.__getitem__, parts)) for parts in cut]
         ends = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in data])]).astype(np.int32))
         ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
-        if not offsets:
-            return ids, None
         spans = [np.zeros((0, 2), np.int32)]
-        for parts in cut:
+        for parts in cut if offsets else []:
             start = 0
             for p in parts:
                 spans.append(np.frombuffer(self.spans[p], "<i4").reshape(-1, 2) + np.int32(start))
                 start += len(p)
+        for p in {p for parts in cut for p in parts if len(p) > KEPT_LENGTH}:
+            self.kept -= 200 + 4 * len(p) + len(self.ids.pop(p)) + len(self.spans.pop(p, b""))
+        if not offsets:
+            return ids, None
         places = np.concatenate(spans)
         both = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(places[:, i]), pa.int32()) for i in (0, 1)], names=["start", "end"])
         return ids, pa.ListArray.from_arrays(ends, both)
@@ -189,10 +204,12 @@ def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, T.StructType(fields))
 
 
-def token_table(ranks: dict[bytes, int]) -> list[bytes]:
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
+def token_table(ids: dict[str, int]) -> list[bytes]:
+    """The bytes of each id: the byte alphabet's table is reversed over the characters of its token."""
+    byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+    table = [b""] * (max(ids.values(), default=-1) + 1)
+    for shown, i in ids.items():
+        table[i] = bytes(map(byte_of.__getitem__, shown))
     return table
 
 
@@ -215,7 +232,7 @@ def decoded(batches: Iterator[pa.RecordBatch], table: list[bytes]) -> Iterator[p
 
 def decode(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), ranks: str = RANKS) -> DataFrame:
     """The columns to keep, ids, and decoded, the bytes of the ids; cast them to string for the text."""
-    table = df.sparkSession.sparkContext.broadcast(token_table(read_ranks(ranks)))
+    table = df.sparkSession.sparkContext.broadcast(token_table(vocabulary(read_ranks(ranks))))
     fields = [*[df.schema[c] for c in keep], df.schema["ids"], T.StructField("decoded", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +248,7 @@ def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """
     read = read_ranks(ranks)
     described = docs.sparkSession.sparkContext.broadcast(tokenizer_json(read))
-    table = docs.sparkSession.sparkContext.broadcast(token_table(read))
+    table = docs.sparkSession.sparkContext.broadcast(token_table(vocabulary(read)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, names = table.value, [str(i) for i in range(len(table.value))]
