@@ -9,6 +9,8 @@ import numpy as np
 
 #: A chunk has so many code points, or one longer text.
 CHUNK = 1 << 18
+#: A longer text is looked at in pieces of about so many code points, cut at white space.
+LONG = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 #: Space and the code points 9 to 13.
 SPACES = np.zeros(33, bool)
@@ -29,6 +31,17 @@ def chunks(texts: Iterable[str | None], size: int = CHUNK) -> Iterator[list[str]
         yield held
 
 
+def pieces(text: str, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Start and end of the pieces of a text; each but the last ends before white space. A longer word is one piece."""
+    size, start = size or LONG, 0
+    while start < len(text):
+        end = start + size
+        while end < len(text) and text[end] not in " \t\n\x0b\x0c\r":
+            end += 1
+        yield start, min(end, len(text))
+        start = end
+
+
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The code points of texts with a line break after each, and where each text begins; one more place at the end."""
     c = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
@@ -70,3 +83,8 @@ def words(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(len(c))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words of one long text, A-Z lower-cased, with memory for a piece and eight bytes a word."""
+    return np.concatenate([np.zeros(0, np.uint64), *[words(lower(points([text[a:b]])[0]))[0] for a, b in pieces(text)]])

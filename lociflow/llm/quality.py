@@ -7,8 +7,8 @@ sample's features and gives the driver one weight for each. (The softmax of two
 depends on a linear function of the mean alone.) A whole text is scored by a mean of look-ups.
 
 Defined cases: null and empty texts have no features and get the score of the bias; a row without a label, or with a
-null one, isn't learned from; labels of one class or none give a constant score; equal texts get equal scores; an empty
-table gives an empty result. A null doc_id counts as the empty text in the split by crc32. Columns other than doc_id
+null one, isn't learned from; labels of one class or none give a constant score; equal texts get equal scores and
+repeated rows equal rows; a text of any length is scored whole, in pieces; an empty table gives an empty result. A null doc_id counts as the empty text in the split by crc32. Columns other than doc_id
 and text are not looked at.
 """
 
@@ -41,13 +41,18 @@ class Model:
     bias: float
 
 
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words; any word said twice is one feature."""
+    return np.where(h[:-1] == h[1:], np.uint64(0), cp.mix(h[:-1] * np.uint64(3) + h[1:]))
+
+
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each group of features, the features in order of place and where each text's begin (and their end)."""
     c, bounds = cp.points(texts)
     h, starts = cp.words(c)
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     at = np.searchsorted(starts, bounds)
-    pairs = np.where(h[:-1] == h[1:], np.uint64(0), cp.mix(h[:-1] * np.uint64(3) + h[1:]))  # any word said twice is one feature
+    pairs = _pairs(h)
     inside = np.ones(len(pairs), bool)
     inside[at[1:-1][(at[1:-1] > 0) & (at[1:-1] <= len(pairs))] - 1] = False
     whole = np.concatenate([[0], np.cumsum(inside)])
@@ -69,8 +74,25 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
+def long_features(text: str) -> Iterator[np.ndarray]:
+    """All features of one long text, piece by piece, those over the cuts too."""
+    last = np.zeros(0, np.uint64)
+    for a, b in cp.pieces(text):
+        yield np.concatenate([f for f, _ in features([text[a:b]])])
+        h = cp.words(cp.points([text[a:b]])[0])[0]
+        if a:
+            for group, n in ((2, 3), (3, 5)):
+                yield features([text[a - n + 1 : min(a + n - 1, b)]])[group][0]
+            yield (_pairs(np.concatenate([last, h[:1]])) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32) + BUCKETS
+        last = h[-1:] if len(h) else last
+
+
 def counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct features and their counts, for each text."""
+    if len(texts) == 1 and len(texts[0]) > cp.LONG:
+        n = sum(np.bincount(f, minlength=GROUPS * BUCKETS) for f in long_features(texts[0]))
+        yield np.flatnonzero(n).astype(np.int32), n[n > 0]
+        return
     found = features(texts)
     for i in range(len(texts)):
         own = np.concatenate([f[at[i] : at[i + 1]] for f, at in found])
@@ -107,6 +129,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
 def score(texts: list[str], model: Model) -> np.ndarray:
     """Of each text, the probability of label 1."""
     total, n = np.zeros(len(texts)), np.zeros(len(texts))
+    if len(texts) == 1 and len(texts[0]) > cp.LONG:
+        for f in long_features(texts[0]):
+            total += model.weight[f].sum(dtype=np.float64)
+            n += len(f)
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + model.bias, -30, 30)))
     for f, at in features(texts):
         sums = np.concatenate([[0.0], np.cumsum(model.weight[f], dtype=np.float64)])
         total += sums[at[1:]] - sums[at[:-1]]
