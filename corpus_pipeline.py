@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten or more documents stay at their first place only; documents without any other line go."""
-    rows = line_dedup.dedup_lines(docs, keep_first=True).where((F.size("dropped") == 0) | (F.size("dropped") < F.col("n_lines")))
-    text = F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.col("kept"))
+    rows = line_dedup.dedup_lines(docs, keep_first=True).where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept"))
     rows = rows.withColumn("_text", text)
     changed = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast("long")}
     return rows.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,33 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often use and its lambdas name it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def kept_runs(dropped: Column, n: Column) -> Column:
+    """start and length of the runs of kept ones among n places, between the ascending dropped ones."""
+
+    def runs(edges: Column) -> Column:
+        between = lambda i: F.struct((F.get(edges, i - 1) + 1).alias("start"), (F.get(edges, i) - F.get(edges, i - 1) - 1).alias("length"))
+        return F.filter(F.transform(F.sequence(F.lit(1), F.size(edges) - 1), between), lambda g: g["length"] > 0)
+
+    return bound(F.concat(F.array(F.lit(-1)), dropped, F.array(n)), runs)
+
+
+def kept_text(parts: Column, runs: Column, between: str) -> Column:
+    """The parts of a text in the runs, joined, in one pass."""
+    return bound(parts, lambda own: F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(own, r["start"] + 1, r["length"]))), between))
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the shared folder of spark.checkpoint.dir; a local one of its own only where that setting is absent."""
+    """Takes the shared folder of spark.checkpoint.dir; on a local master without that setting, a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (context.master.startswith("local[") or context.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or f"/tmp/lociflow-checkpoint-{uuid.uuid4().hex}")
 
 
@@ -52,7 +75,12 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
+def if_small(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of narrow rows, which is broadcast once it is written and its rows are counted, if few."""
+    table = cut(table)
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, key, how)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows whose key isn't in gone (a column of that name); gone is broadcast once its rows are counted, if few."""
-    gone = cut(gone.select(key).distinct())
-    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti")
+    """The rows whose key isn't in gone (a column of that name)."""
+    return if_small(rows, gone.select(key).distinct(), key, "left_anti")

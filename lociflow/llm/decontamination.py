@@ -5,10 +5,12 @@ L words contains a gram of (L + 1) // 2 words that begins at a multiple of L - (
 only grams at those positions are hashed (one in six words for L = 10) and looked up among the hashes of all grams of
 the benchmark; a hit is verified word by word for every window around the gram.
 
-The benchmark's index is broadcast after its rows are counted; above INDEX_ROWS both lookups are shuffle joins.
+A row of the benchmark's index has a gram and the words of the item that a window around it can have, no whole item.
+The index is broadcast after its rows and bytes are counted; above INDEX_ROWS or INDEX_BYTES both lookups are shuffle
+joins, where Spark's skew join splits grams of many documents.
 
 Defined cases: a null text has no words; an item without words has no window; items of equal text all count; repeated
-rows of a document each give a row; null item ids are left out of the list of items, their windows still hit; an empty
+rows of a document each give a row; texts of any length are looked at as a whole; null item ids are left out of the list of items, their windows still hit; an empty
 table of documents gives an empty result, an empty benchmark hits nothing; other columns are not looked at.
 """
 
@@ -17,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, row_key, sha256_hex, without
+from .common import ascii_lower, cut, documents, kept_runs, kept_text, row_key, sha256_hex, without
 
 WINDOW = 10
-INDEX_ROWS = 500_000
+INDEX_ROWS, INDEX_BYTES = 500_000, 64 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same on text whose capitals still stand.
 CASED = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -77,8 +79,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, index_rows
     grams = items.withColumn("width", width).select(
         "item_id", "item", "width", F.explode_outer(_grams(F.col("item"), lengths, stride=False)).alias("g")
     )
-    index = grams.where(F.col("g.length") == F.col("width")).select(F.col("g.h").alias("h"), F.col("g.at").alias("item_at"), "item_id", "item")
-    small = index.count() <= index_rows
+    # of the item, the words that windows around the gram have
+    at, back = F.col("g.at"), F.floor(F.col("width") / 2).cast("int")
+    near = F.slice("item", F.greatest(at - back, F.lit(0)) + 1, F.least(at, back) + F.col("width"))
+    index = cut(grams.where(F.col("g.length") == F.col("width")).select(F.col("g.h").alias("h"), F.least(at, back).alias("item_at"), "item_id", near.alias("item")))
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("item", F.lit(0), lambda a, w: a + F.octet_length(w) + 8)).alias("bytes")).first()
+    small = size.n <= index_rows and (size.bytes or 0) <= INDEX_BYTES
 
     rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k"), words_of(F.col("text")).alias("words"))
     # explode_outer: for explode, Spark adds a filter that repeats the expression of the array with its words inlined
@@ -124,7 +130,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         return without(keyed, found, "k").select("row.*")
     text = F.col("row.text")
     lead = F.when(text.rlike(f"^[{CASED}]"), 1).otherwise(0)
-    left = F.array_join(F.filter(F.regexp_extract_all(text, F.lit(PIECES), 0), lambda x, i: ~F.array_contains(F.col("hit"), i - lead)), "")
+    parts = F.regexp_extract_all(text, F.lit(PIECES), 0)
+    places = F.transform("hit", lambda i: (i + lead).cast("int"))
+    left = kept_text(parts, kept_runs(places, F.size(parts)), "")
     cleaned = F.when(F.col("hit").isNull(), text).otherwise(left)
     return keyed.join(found, "k", "left").select(*[cleaned.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
 

@@ -4,8 +4,9 @@ Every shard draws a number from the hash of (key, shard); the shard with the sma
 record. A record's place depends on its key and the shards alone, so that one more shard takes records only into
 itself, about its share of the total weight.
 
-Defined cases: a null key is the empty key; rows of equal keys share a shard; a null text counts as no bytes; an empty
-table gives an empty result; columns other than the key and the text are not looked at, whatever their names.
+Defined cases: a null key is the empty key; rows of equal keys share a shard; equal rows have neighbouring slots; a null
+text counts as no bytes; a text of any length counts with its size and checksum alone; an empty table gives an empty
+result; columns other than the key and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import cut, documents
 
 HASH_BITS = 52
 
@@ -43,38 +44,31 @@ def rendezvous(key: Column, weights: list[float], first: int = 0) -> Column:
 
 
 def assign_shards(df: DataFrame, key: str, weights: list[float], rows_per_group: int = 4096) -> DataFrame:
-    """The rows of df's key column and its other columns ``size`` and ``text_crc32`` with shard, slot and grown_shard.
+    """The rows of df (of columns that can be grouped by) with shard, slot and grown_shard.
 
-    slot numbers the rows of a shard from 0 without gaps, in the order of the key's hash. It comes from counts of hash
-    ranges of about rows_per_group rows each, so that no task gets a whole shard. grown_shard is the shard with one
-    more shard of the mean weight.
+    slot numbers the rows of a shard from 0 without gaps. Equal rows are counted first; the distinct ones are dealt to
+    groups of about rows_per_group by the hash of all their columns, so that no task gets a whole shard, or all rows of
+    one key, and the counts of the groups say where each begins. grown_shard is the shard with one more shard of the
+    mean weight.
     """
     if not weights or any(not w > 0 or math.isinf(w) for w in weights):
         raise ValueError("weights must be positive and finite, at least one")
+    own = df.columns
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    ranges = max(1, math.ceil(df.count() / (rows_per_group * len(weights))))
-    placed = (
-        df.withColumn("_best", rendezvous(k, weights))
-        .withColumn("_next", rendezvous(k, [sum(weights) / len(weights)], first=len(weights)))
-        .withColumn("_u", unit_hash(F.concat_ws(":", k, F.lit("slot"))))
-        .withColumn("shard", F.col("_best.shard"))
-        .withColumn("grown_shard", F.when(F.col("_next.bid") < F.col("_best.bid"), F.col("_next.shard")).otherwise(F.col("shard")))
-        .withColumn("_range", F.floor(F.col("_u") * ranges).cast("int"))
-        .drop("_best", "_next")
-    )
-    before = W.partitionBy("shard").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("shard", "_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    within = W.partitionBy("shard", "_range").orderBy("_u", key, *[c for c in df.columns if c != key])
-    return (
-        placed.withColumn("_k", F.row_number().over(within))
-        .join(offsets, ["shard", "_range"])
-        .withColumn("slot", F.col("_before") + F.col("_k") - 1)
-        .drop("_u", "_range", "_k", "_before")
-    )
+    rows = df.groupBy(*own).agg(F.count(F.lit(1)).alias("_copies"))
+    bids = rows.select("*", rendezvous(k, weights).alias("_best"), rendezvous(k, [sum(weights) / len(weights)], first=len(weights)).alias("_next"), F.xxhash64(*own).alias("_hash"))
+    shard = F.col("_best.shard")
+    placed = cut(bids.select(*own, "_copies", "_hash", shard.alias("shard"), F.when(F.col("_next.bid") < F.col("_best.bid"), F.col("_next.shard")).otherwise(shard).alias("grown_shard")))
+    groups = max(1, math.ceil(placed.count() / (rows_per_group * len(weights))))
+    dealt = placed.withColumn("_group", F.pmod("_hash", F.lit(groups)).cast("int"))
+    before = W.partitionBy("shard").orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
+    counted = dealt.groupBy("shard", "_group").agg(F.sum("_copies").alias("_n"))
+    offsets = counted.select("shard", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = W.partitionBy("shard", "_group").orderBy("_hash", *own).rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("_before") + F.coalesce(F.sum("_copies").over(within), F.lit(0))
+    numbered = dealt.join(offsets, ["shard", "_group"]).withColumn("_first", first)
+    copies = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_copies") - 1))
+    return numbered.select(*own, "shard", copies.alias("slot"), "grown_shard")
 
 
 SHARDS = 16

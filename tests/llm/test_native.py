@@ -5,7 +5,10 @@ import math
 import re
 import zlib
 
+import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lociflow.llm import chat, decontamination, line_dedup, pii, sharding
 
@@ -29,6 +32,17 @@ def lower(s):
 ODD = [None, "", " \n\t\x0b\x0c\r ", "É É\né", "a" * 5000, "\n\n", "😀 x\n😀 x "]
 
 
+def pieces_of(text, hit):
+    """The text without its hit words and what separates each from the next one."""
+    found = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+    n = -1
+    for p in found:
+        word = WORD.match(lower(p)) is not None
+        n += word
+        if not (word and n in hit):
+            yield p
+
+
 def test_decontamination(spark):
     item = "One two, three four five six seven eight nine ten eleven twelve"
     texts = [*ODD, "x " + item.upper() + " y", "three four five six seven eight nine ten eleven twelve z", "three four five six seven eight nine ten eleven z", "short item", "SHORT-item! short item", (item + " q ") * 30]
@@ -53,6 +67,10 @@ def test_decontamination(spark):
     left = decontamination.decontaminate(frame(spark, docs), benchmark)
     assert left.count() == sum(not h for *_, h, _ in want) and left.columns == frame(spark, docs).columns
     cleaned = decontamination.decontaminate(frame(spark, docs), benchmark, spans_only=True)
+    stay = []
+    for (i, t), (*_, hit, _) in zip(docs, want):
+        stay.append((i, "".join(pieces_of(t, hit)) if hit else t))
+    assert sorted(map(str, stay)) == sorted(str((r.doc_id, r.text)) for r in cleaned.collect())
     assert cleaned.count() == len(docs) and decontamination.hits(cleaned, benchmark).where("size(hit) > 0").count() == 0
     empty = frame(spark, []), spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.hits(empty[0], benchmark).count() == 0 and decontamination.hits(frame(spark, docs), empty[1]).where("size(hit) > 0").count() == 0
@@ -78,13 +96,37 @@ def test_line_dedup(spark, first):
         want = sorted((str(i), "\n".join(x for x, k in zip((t or "").split("\n"), row) if not k or df[k] < 2)) for (i, t), row in zip(docs, keys))
         assert sorted((str(r.doc_id), r.kept) for r in found) == want
     for r in found:
-        flags = [n % 2 == 1 for n, run in enumerate(r.keep_runs) for _ in range(run)]
-        assert len(flags) == r.n_lines and [i for i, f in enumerate(flags) if f] == list(r.dropped)
+        kept = [i for start, length in r.keep_runs for i in range(start, start + length)]
+        assert len(kept) == r.n_lines - r.n_dropped and kept == sorted(set(kept)) and all(0 <= i < r.n_lines for i in kept)
+        assert "\n".join((r.text or "").split("\n")[i] for i in kept) == r.kept
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_repeated_rows_and_hot_lines(spark, monkeypatch):
+    """Ten equal rows are ten documents, as in the SQL; lines of a hot sample are dealt in parts, with the same result."""
+    docs = [(1, "a\nown\na")] * 10 + [(2, "b\nb")] * 9 + [(i, f"hot \nline {i}\nHOT") for i in range(10, 60)] + [(None, "hot")]
+    monkeypatch.setattr(line_dedup, "SAMPLED", 1.0)
+    assert {r.h1 for r in line_dedup.hot_lines(frame(spark, docs)).collect()} and line_dedup.HOT_ROWS < 50
+    con = duckdb.connect()
+    table = pd.DataFrame(docs, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    con.register("documents", table)
+    want = sorted(map(str, con.sql(line_dedup.OP3_SQL).fetchall()))
+    rows = line_dedup.dedup_lines(frame(spark, docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256))
+    assert sorted(str(tuple(r)) for r in rows.collect()) == want
+    first = line_dedup.dedup_lines(frame(spark, docs), keep_first=True).collect()
+    assert [r.kept for r in first if r.doc_id is None] == ["hot"] and all("hot" not in r.kept.lower() for r in first if r.doc_id is not None)
+
+
+def test_line_dedup_plan(spark):
+    """One exchange by ranges of hashes, one sort, and windows over it."""
+    rows = line_dedup.streamed(line_dedup.line_places(frame(spark, [(1, "a")])).withColumn("part", F.xxhash64("h2")))
+    plan = rows.where("documents > 1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(h1") == 1 and "hashpartitioning" not in plan and plan.count("Sort [") == 1 and plan.count("Window [") >= 2
+    assert "Python" not in plan
+
+
 def test_sharding(spark):
-    docs = [(i, f"t{i % 9}") for i in range(3000)] + [(i, t) for i, t in enumerate(ODD)] + [(None, "x"), (None, None)]
+    docs = [(i, f"t{i % 9}") for i in range(3000)] + [(i, t) for i, t in enumerate(ODD)] + [(None, "x"), (None, None)] * 3 + [(None, f"n{i}") for i in range(40)]
     rows = sharding.shard_documents(frame(spark, docs), [1.0] * 5).collect()
     assert len(rows) == len(docs)
 
@@ -99,6 +141,8 @@ def test_sharding(spark):
     for s in range(5):
         own = sorted(r.slot for r in rows if r.shard == s)
         assert own == list(range(len(own)))
+    small = sharding.assign_shards(frame(spark, docs).select("doc_id", "text"), "doc_id", [1.0] * 5, rows_per_group=20).collect()  # many groups in a shard
+    assert sorted((r.shard, r.slot) for r in small) == sorted((r.shard, r.slot) for r in rows)
     heavy = sharding.shard_documents(frame(spark, docs[:3000]), [1.0, 3.0]).where("shard = 1").count()
     assert 0.7 < heavy / 3000 < 0.8
     assert sharding.shard_documents(frame(spark, []), [1.0]).count() == 0
