@@ -122,7 +122,7 @@ def compress(letters: Column) -> Column:
 
 
 def on_reference(cigar: Column, seq: Column, gap: str = "N") -> Column:
-    """The query's bases in the coordinates of the reference; null if the CIGAR and the query differ in length."""
+    """The query's bases in the coordinates of the reference; a CIGAR whose query bases differ in number fails the query."""
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(a: Column, x: Column) -> Column:
@@ -130,4 +130,5 @@ def on_reference(cigar: Column, seq: Column, gap: str = "N") -> Column:
         piece = F.when(query & reference, F.substring(seq, a["at"], x["n"])).when(reference, F.repeat(F.lit(gap), x["n"])).otherwise("")
         return F.struct(F.concat(a["out"], piece).alias("out"), (a["at"] + F.when(query, x["n"]).otherwise(0)).alias("at"))
 
-    return F.when(length(cigar, "query") == F.length(seq), F.aggregate(parts(cigar), state, step, lambda a: a["out"]))
+    wrong = F.raise_error(F.concat(F.lit("CIGAR and query differ in length: "), cigar)).cast("string")
+    return F.when(length(cigar, "query") == F.length(seq), F.aggregate(parts(cigar), state, step, lambda a: a["out"])).when(cigar.isNotNull() & seq.isNotNull(), wrong)

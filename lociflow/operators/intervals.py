@@ -78,10 +78,12 @@ def intersect_by_base(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
 
 def assign_by_start(regions: DataFrame, big: DataFrame, size: int = BIN, order: tuple[str, ...] = (), how: str = "start") -> DataFrame:
     """Each region with the first big region (big_ columns) that its start falls into, or with how="overlap" that it meets."""
-    pairs = overlap_join(big, regions, size, how)
-    own = [c for c in regions.columns]
-    picked = pairs.groupBy(*[f"b_{c}" for c in own]).agg(F.min_by(F.struct(*big.columns), F.struct("start", "end", *order)).alias("_big"))
-    return picked.select(*[F.col(f"b_{c}").alias(c) for c in own], *[F.col(f"_big.{c}").alias(f"big_{c}") for c in big.columns])
+    own = regions.columns
+    counted = regions.groupBy(*own).agg(F.count(F.lit(1)).cast("int").alias("_copies"))  # equal regions are found once and told as often as they come
+    pairs = overlap_join(big, counted, size, how)
+    picked = pairs.groupBy(*[f"b_{c}" for c in own], "b__copies").agg(F.min_by(F.struct(*big.columns), F.struct("start", "end", *order)).alias("_big"))
+    copies = picked.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("b__copies"))))
+    return copies.select(*[F.col(f"b_{c}").alias(c) for c in own], *[F.col(f"_big.{c}").alias(f"big_{c}") for c in big.columns])
 
 
 def nearest(a: DataFrame, b: DataFrame, order: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
@@ -116,3 +118,57 @@ def check_sorted(df: DataFrame, block: int = BLOCK) -> DataFrame:
     key = F.struct("chrom", "start", "end", "strand")
     rows = with_before(df.withColumn("_block", F.shiftright("line_no", 20)), [], "_block", [F.col("line_no")], _last=("lag", key))
     return rows.agg(F.coalesce(F.bool_and(F.col("_last").isNull() | (F.col("_last") <= key)), F.lit(True)).alias("sorted"))
+
+
+def relative_order(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with lookup, the index of each one's name in names (index, name; of equal names the last); a name without one
+    fails the query."""
+    known = names.groupBy("name").agg(F.max("index").alias("lookup"))
+    missing = F.raise_error(F.concat(F.lit("not found: "), F.coalesce("name", F.lit("")))).cast("bigint")
+    return rows.join(known, "name", "left").select(*rows.columns, F.coalesce(F.col("lookup").cast("bigint"), missing).alias("lookup"))
+
+
+def width(a: Column) -> Column:
+    return a["end"] - a["start"]
+
+
+def same_chrom(a: Column, b: Column) -> Column:
+    return a["chrom"] == b["chrom"]
+
+
+def contains(a: Column, b: Column) -> Column:
+    """Whether region a (a struct of chrom, start, end) has all of b."""
+    return same_chrom(a, b) & (a["start"] <= b["start"]) & (b["end"] <= a["end"])
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    """Whether they share a base; an empty region overlaps what it lies in, its start included."""
+    ends, begins = (a["start"] < b["end"]) & (b["end"] <= a["end"]), (a["start"] <= b["start"]) & (b["start"] < a["end"])
+    return same_chrom(a, b) & (ends | begins | contains(b, a))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """0 where they overlap, else the bases between them and one; null on different chromosomes."""
+    apart = F.greatest(b["start"] - a["end"], a["start"] - b["end"]) + 1
+    return F.when(same_chrom(a, b), F.when(overlaps(a, b) | overlaps(b, a), F.lit(0).cast("bigint")).otherwise(apart))
+
+
+def site_distance(a: Column, b: Column) -> Column:
+    """Bases between two sites (structs of chrom and pos); null on different chromosomes."""
+    return F.when(same_chrom(a, b), F.abs(a["pos"] - b["pos"]))
+
+
+def intersection(a: Column, b: Column) -> Column:
+    """struct(chrom, start, end) of what two regions share; 0 and 0 where they don't overlap."""
+    shared = F.struct(a["chrom"].alias("chrom"), F.greatest(a["start"], b["start"]).alias("start"), F.least(a["end"], b["end"]).alias("end"))
+    return F.when(overlaps(a, b), shared).otherwise(F.struct(a["chrom"].alias("chrom"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end")))
+
+
+def start_order(a: Column) -> Column:
+    """What regions are compared by."""
+    return F.struct(a["chrom"], a["start"], a["end"], a["strand"])
+
+
+def end_order(a: Column) -> Column:
+    """The order by ends first."""
+    return F.struct(a["chrom"], a["end"], a["start"], a["strand"])

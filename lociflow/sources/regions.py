@@ -33,20 +33,68 @@ def region_line() -> Column:
 
 
 def write_regions(regions: DataFrame, path: str, track: str | None = None) -> None:
-    lines = regions.select(region_line().alias("value"))
+    """Text files in the order of chrom, start and end; the track line is the first one of the first file."""
+    order = [F.col(c) for c in ("chrom", "start", "end")]
+    lines = regions.select(F.lit(1).alias("_part"), *order, region_line().alias("value"))
     if track is not None:
-        head = regions.sparkSession.range(1).select(F.lit(f"track name={track}").alias("value"))
+        head = regions.sparkSession.range(1).select(F.lit(0).alias("_part"), *[F.lit(None).cast(regions.schema[c].dataType).alias(c) for c in ("chrom", "start", "end")], F.lit(f"track name={track}").alias("value"))
         lines = head.unionByName(lines)
-    lines.write.text(path)
+    lines.orderBy("_part", *order).select("value").write.text(path)
+
+
+def parse_sites(lines: DataFrame) -> DataFrame:
+    """chrom, pos, strand, context, meth, n_reads of lines of six fields; another strand, or a field too few, fails the query."""
+    p = F.split("value", r"\s+")
+    wrong = F.raise_error(F.concat(F.lit("not a site: "), F.col("value"))).cast("array<string>")
+    good = (F.size(p) >= 6) & F.get(p, F.lit(1)).rlike("^[0-9]+$") & F.get(p, F.lit(2)).isin("+", "-")
+    rows = lines.where(F.trim("value") != "").select(F.when(good, p).otherwise(wrong).alias("p"))
+    names = [x.split() for x in SITE_SCHEMA.split(", ")]
+    return rows.select(*[F.get("p", F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.csv(path, sep="\t", schema=SITE_SCHEMA, mode="FAILFAST")
-    return rows.withColumn("strand", F.when(F.col("strand").isin("+", "-"), F.col("strand")).otherwise(F.raise_error(F.lit("strand must be + or -")).cast("string")))
+    return parse_sites(spark.read.text(path))
+
+
+def sites_between(sites: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
+    """The sites of a stretch; on Parquet or a table ordered by chrom and pos, only its part is read."""
+    return sites.where((F.col("chrom") == chrom) & F.col("pos").between(start, end - 1))
+
+
+def cpg_sites_of(sites: DataFrame) -> DataFrame:
+    """The sites of CpG context, mutated ones left out."""
+    return sites.where(F.col("context").startswith("CpG") & ~F.col("context").endswith("x"))
+
+
+def site_line() -> Column:
+    return F.concat_ws("\t", "chrom", "pos", "strand", "context", "meth", "n_reads")
 
 
 def write_sites(sites: DataFrame, path: str) -> None:
-    sites.select("chrom", "pos", "strand", "context", "meth", "n_reads").write.csv(path, sep="\t")
+    sites.select(site_line().alias("value")).write.text(path)
+
+
+METHDIFF_SCHEMA = "chrom string, pos bigint, strand string, context string, diffscore double, meth_a bigint, unmeth_a bigint, meth_b bigint, unmeth_b bigint"
+
+
+def parse_methdiff(lines: DataFrame) -> DataFrame:
+    """The columns of METHDIFF_SCHEMA of lines of nine fields; a field too few fails the query."""
+    p = F.split("value", r"\s+")
+    wrong = F.raise_error(F.concat(F.lit("not a site of two samples: "), F.col("value"))).cast("array<string>")
+    rows = lines.where(F.trim("value") != "").select(F.when(F.size(p) >= 9, p).otherwise(wrong).alias("p"))
+    names = [x.split() for x in METHDIFF_SCHEMA.split(", ")]
+    return rows.select(*[F.get("p", F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
+
+
+def methdiff_line() -> Column:
+    return F.concat_ws("\t", *[x.split()[0] for x in METHDIFF_SCHEMA.split(", ")])
+
+
+def site_counts(sites: DataFrame) -> DataFrame:
+    """chrom, start, end, m, u, n_reads: sites as regions of a base with their reads by state."""
+    from ..operators.levels import n_meth, n_unmeth
+
+    return sites.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), n_meth().alias("m"), n_unmeth().alias("u"), "n_reads")
 
 
 def parse_mapped_reads(lines: DataFrame) -> DataFrame:
@@ -66,8 +114,9 @@ def mapped_read_line() -> Column:
 def parse_sam(lines: DataFrame) -> DataFrame:
     """The eleven fields and tags of SAM lines; header lines go."""
     p = F.split("value", "\t")
-    fields = [F.get(p, F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(SAM_FIELDS)]
-    return lines.where(~F.col("value").startswith("@") & (F.size(p) >= 11)).select(*fields, F.slice(p, F.lit(12), F.greatest(F.size(p) - 11, F.lit(0))).alias("tags"))
+    record = ~F.col("value").startswith("@") & (F.size(p) >= 11)
+    fields = [F.when(record, F.get(p, F.lit(i))).cast(kind).alias(name) for i, (name, kind) in enumerate(SAM_FIELDS)]
+    return lines.where(record).select(*fields, F.slice(p, F.lit(12), F.greatest(F.size(p) - 11, F.lit(0))).alias("tags"))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -91,13 +140,33 @@ def write_lines(lines: DataFrame, path: str, gzip: bool = False) -> None:
     lines.select("value").write.text(path, **({"compression": "gzip"} if gzip else {}))
 
 
-def region_sequences(regions: DataFrame, sequences: DataFrame) -> DataFrame:
-    """regions with seq: the upper-cased bases of each, reverse complement on the minus strand."""
-    from ..functions.dna import reverse_complement
+def region_sequences(regions: DataFrame, sequences: DataFrame, piece: int = 1 << 16) -> DataFrame:
+    """regions with seq: the upper-cased bases of each, reverse complement on the minus strand.
+
+    Sequences are joined in pieces, so that a region meets only those it touches; regions of other chromosomes go.
+    """
+    from ..functions.dna import pieces, reverse_complement
+
+    own = regions.columns
+    counted = regions.groupBy(*own).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    last = F.greatest(F.col("end") - 1, F.col("start"))
+    numbers = F.sequence(F.floor(F.col("start") / piece).cast("int"), F.floor(last / piece).cast("int"))
+    touched = counted.withColumn("piece", F.explode(numbers))
+    joined = touched.join(pieces(sequences, piece).withColumnRenamed("name", "chrom"), ["chrom", "piece"])
+    first = F.greatest(F.col("start") - F.col("piece").cast("bigint") * piece, F.lit(0))
+    upto = F.least(F.col("end") - F.col("piece").cast("bigint") * piece, F.lit(piece))
+    part = F.struct("piece", F.substring("s", (first + 1).cast("int"), (upto - first).cast("int")).alias("s"))
+    whole = joined.groupBy(*own, "_copies").agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    bases = F.array_join(F.transform("_parts", lambda x: x["s"]), "")
+    told = whole.select(*own, bases.alias("_seq"), F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
+    return told.select(*own, F.when(F.col("strand") == "-", reverse_complement(F.col("_seq"))).otherwise(F.col("_seq")).alias("seq"))
+
+
+def mapped_reads_coding(reads: DataFrame) -> str:
+    """phred where every score character of mapped reads (scr) allows it, else solexa."""
+    from .fasta import sniff_coding
 
-    own = regions.join(sequences.select(F.col("name").alias("chrom"), F.col("seq").alias("_seq")), "chrom")
-    bases = F.upper(F.substring(F.col("_seq"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
-    return own.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement(bases)).otherwise(bases)).drop("_seq")
+    return sniff_coding(reads.select(F.col("scr").alias("qual")))
 
 
 def level_lines() -> Column:
