@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The bases and what they pair with, and the four-bit code of each letter (a bit for each of A, C, G, T).
@@ -11,9 +11,8 @@ FOUR_BIT = {"A": 1, "C": 2, "M": 3, "G": 4, "R": 5, "S": 6, "V": 7, "T": 8, "W":
 
 
 def complement(seq: Column) -> Column:
-    """Case stays; other letters become N (n for lower-case ones)."""
-    known = F.regexp_replace(F.regexp_replace(seq, "[^ACGTacgtnN]", "N"), "[^ACGTacgtN]", "n")
-    known = F.when(seq.rlike("[b-z]"), F.regexp_replace(F.regexp_replace(seq, "[^a-zACGT]", "N"), "[bd-fh-su-z]", "n")).otherwise(known)
+    """Case stays; a to t that are no bases become n, all else N."""
+    known = F.regexp_replace(F.regexp_replace(seq, "[^a-tACGT]", "N"), "[bd-fh-s]", "n")
     return F.translate(known, BASES, PAIRS)
 
 
@@ -54,8 +53,17 @@ def number_kmer(i: Column, k: int, reverse: bool = False) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All substrings of k letters."""
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of k letters of an ASCII sequence; bytes, so that none is searched from the start."""
+    whole = F.array(seq.cast("binary"))  # an array of one, so that an expression isn't repeated for each place
+    found = F.transform(whole, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)).cast("string")))
+    return F.when(F.length(seq) >= k, found[0]).otherwise(F.array().cast("array<string>"))
+
+
+def pieces(sequences: DataFrame, size: int, overlap: int = 0) -> DataFrame:
+    """name, piece (from 0), s: ASCII sequences (name, seq) cut every size letters, with overlap more letters each, upper-cased."""
+    last = F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / size).cast("int")
+    numbered = sequences.select("name", F.col("seq").cast("binary").alias("_bytes"), F.explode_outer(F.sequence(F.lit(0), last)).alias("piece"))
+    return numbered.select("name", "piece", F.upper(F.substring("_bytes", F.col("piece") * size + 1, F.lit(size + overlap)).cast("string")).alias("s"))
 
 
 def is_cpg(seq: Column, i: Column) -> Column:
@@ -110,3 +118,18 @@ def call_bases(matrix: Column, least: float = 0.5) -> Column:
 
 def complement_matrix(matrix: Column) -> Column:
     return F.reverse(F.transform(matrix, lambda w: F.reverse(w)))
+
+
+def best_bases(matrix: Column) -> Column:
+    """The base of the greatest weight at each place, of equal ones the first."""
+    return F.array_join(F.transform(matrix, lambda w: number_base(F.array_position(w, F.array_max(w)) - 1)), "")
+
+
+def solexa_scores(matrix: Column) -> Column:
+    """Ten times the log odds of each weight, after 0.001 is added to all and they are shared out to one."""
+
+    def scores(w: Column) -> Column:
+        total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x + 1e-3)
+        return F.transform(w, lambda x: 10 * (F.ln((x + 1e-3) / total) - F.ln(1 - (x + 1e-3) / total)) / F.ln(F.lit(10.0)))
+
+    return F.transform(matrix, scores)

@@ -6,8 +6,37 @@ import math
 
 import numpy as np
 
-lgamma = np.vectorize(math.lgamma, otypes=[float])
-erfc = np.vectorize(math.erfc, otypes=[float])
+#: The first coefficients of Stirling's series for ln gamma.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+
+
+def lgamma(x):
+    """ln of gamma for positive values, by recurrence up to 8 and Stirling's series."""
+    x = np.array(x, float)
+    product = np.ones_like(x)
+    for _ in range(8):
+        low = x < 8
+        product = product * np.where(low, x, 1)
+        x = np.where(low, x + 1, x)
+    f = 1 / (x * x)
+    tail = np.zeros_like(x)
+    for c in reversed(STIRLING):
+        tail = tail * f + c
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + tail / x - np.log(product)
+
+
+def erfc(x):
+    """The complementary error function for values from 0 on: a series below 2, a continued fraction above."""
+    x = np.array(x, float)
+    low, high = np.minimum(x, 2), np.maximum(x, 2)
+    term = total = 2 / math.sqrt(math.pi) * np.exp(-low * low) * low
+    for n in range(1, 50):
+        term = term * 2 * low * low / (2 * n + 1)
+        total = total + term
+    fraction = np.zeros_like(x)
+    for n in range(100, 0, -1):
+        fraction = n / 2 / (high + fraction)
+    return np.where(x < 2, 1 - total, np.exp(-high * high) / math.sqrt(math.pi) / (high + fraction))
 
 
 def digamma(x):

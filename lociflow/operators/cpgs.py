@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dna import pieces
 from .ordered import with_before
 
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 
 
 def cpg_sites(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -15,12 +16,10 @@ def cpg_sites(sequences: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     A sequence is cut into chunks with one base of overlap; the chunks' counts give the ordinals' starts.
     """
-    pieces = sequences.select(F.col("name").alias("chrom"), F.length("seq").alias("n"), "seq", F.explode_outer(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / chunk).cast("int"))).alias("piece"))
-    part = pieces.select("chrom", "piece", F.upper(F.substring(F.col("seq"), F.col("piece") * chunk + 1, F.lit(chunk + 1))).alias("s"))
-    gaps = F.split("s", "CG", -1)
-    ends = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("p")), lambda a, g: F.struct(F.concat(a["at"], F.array(a["p"] + F.length(g))).alias("at"), (a["p"] + F.length(g) + 2).alias("p")))
-    found = part.select("chrom", "piece", F.explode(ends["at"]).alias("at"))
-    at = found.select("chrom", "piece", (F.col("piece").cast("bigint") * chunk + F.col("at")).alias("position"))
+    part = pieces(sequences, chunk, 1).where(F.length("s") > 1).select(F.col("name").alias("chrom"), "piece", F.col("s").cast("binary").alias("s"))
+    places = part.select("chrom", "piece", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"))
+    found = places.where(F.substring("s", F.col("i"), F.lit(2)) == F.lit(b"CG"))
+    at = found.select("chrom", "piece", (F.col("piece").cast("bigint") * chunk + F.col("i") - 1).alias("position"))
     numbered = with_before(at.withColumn("_one", F.lit(1)), ["chrom"], "piece", [F.col("position")], before=("sum", F.col("_one")))
     return numbered.select("chrom", F.coalesce("before", F.lit(0)).cast("bigint").alias("ordinal"), "position")
 

@@ -76,11 +76,18 @@ def merge_mates(sites: DataFrame) -> DataFrame:
     return plus.join(minus, ["chrom", "pos"]).select("chrom", "pos", "strand", "context", ((F.col("_m") + F.col("_m2")) / F.greatest(n, F.lit(1))).alias("meth"), n.alias("n_reads"))
 
 
-def kmer_counts(sequences: DataFrame, k: int, dense: bool = False) -> DataFrame:
-    """kmer and n over all seq, k-mers of valid bases only; dense adds those that don't occur (k up to 10)."""
-    from ..functions.dna import kmers, number_kmer
-
-    found = sequences.select(F.explode_outer(kmers(F.upper("seq"), k)).alias("kmer")).where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+def kmer_counts(sequences: DataFrame, k: int, dense: bool = False, piece: int = 1 << 14) -> DataFrame:
+    """kmer and n over all (name, seq), k-mers of valid bases only; dense adds those that don't occur (k up to 10).
+
+    Sequences are cut into pieces that overlap by k - 1 letters, and each place of a piece is one row up to the partial
+    sum, so that neither an array of all k-mers nor a search from a sequence's start is made.
+    """
+    from ..functions.dna import number_kmer, pieces
+
+    rows = pieces(sequences, piece, k - 1).where(F.length("s") >= k).select(F.col("s").cast("binary").alias("s"))
+    placed = rows.select("s", F.explode(F.sequence(F.lit(1), F.length("s") - k + 1)).alias("i"))
+    counted = placed.groupBy(F.substring("s", F.col("i"), F.lit(k)).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    found = counted.select(F.col("kmer").cast("string").alias("kmer"), "n").where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$"))
     if not dense:
         return found
     every = sequences.sparkSession.range(4**k).select(number_kmer(F.col("id"), k).alias("kmer"))
