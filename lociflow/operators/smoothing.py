@@ -22,13 +22,15 @@ def kernel_smooth(points: DataFrame, bandwidth: float, key: str = "key", targets
 
 
 def kernel_smooth_by_rank(points: DataFrame, bandwidth: float, key: str = "key") -> DataFrame:
-    """The same on the index of each point in its key's order of x."""
-    from pyspark.sql import Window as W
-
-    ranked = points.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy("x", "y")) - 1)
-    smooth = kernel_smooth(ranked.select(key, F.col("_i").cast("double").alias("x"), "y"), bandwidth, key)
-    back = ranked.select(F.col(key).alias("_k"), F.col("_i").cast("double").alias("_i"), F.col("x").alias("_x"))
-    return smooth.join(back, smooth[key].eqNullSafe(F.col("_k")) & (F.col("x") == F.col("_i"))).select(key, F.col("_x").alias("x"), "y")
+    """The same on the index of each point in its key's order of x; points are numbered over all keys, by ranges."""
+    from .ordered import numbered
+
+    placed = numbered(points.select(key, "x", "y"), [key, "x", "y"], "_n")
+    first = placed.groupBy(F.col(key).alias("_k")).agg(F.min("_n").alias("_first"))
+    ranked = placed.join(first, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_i", (F.col("_n") - F.col("_first")).cast("double"))
+    targets = ranked.select(key, "_i", F.col("x").alias("_own"))
+    smooth = kernel_smooth(ranked.select(key, F.col("_i").alias("x"), "y"), bandwidth, key).withColumnRenamed(key, "_k")
+    return targets.join(smooth, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_i") == F.col("x"))).select(key, F.col("_own").alias("x"), "y")
 
 
 def local_linear(points: DataFrame, bandwidth: float, key: str = "key", targets: DataFrame | None = None) -> DataFrame:
