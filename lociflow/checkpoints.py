@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the session's shared checkpoint folder and goes on from the files; a local one where none is set."""
+    """Writes df to the session's shared checkpoint folder and goes on from the files; Spark removes them if told to by
+    spark.cleaner.referenceTracking.cleanCheckpoints. On a local master without that folder, one of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/lociflow-checkpoint-{uuid.uuid4().hex}")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (context.master.startswith("local[") or context.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or f"/tmp/lociflow-checkpoint-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)

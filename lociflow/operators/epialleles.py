@@ -2,7 +2,9 @@
 
 The reads of a run go to batches of BATCH window starts each, once for each batch that they touch; equal reads are
 counted before the shuffle. A batch's windows are then fitted together in numpy: rows are (window, read) pairs, and sums
-over a window's rows are made by reduceat. No Python call is made for a single window.
+over a window's rows are made by reduceat. No Python call is made for a single window. Batches of more than DEEP
+different reads are taken apart before: their reads are clipped to each window and equal patterns counted, and a window
+is a group of its own, whose rows are bounded by the patterns that a window can have, not by its depth.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.special import chi2_upper
-from .windows import _spans
+from .windows import _spans, clip, clip_start
 
 PSEUDO = 1e-10
 LOW, HIGH = 0.25, 0.75
 TOLERANCE = 1e-20
-BATCH = 512
+BATCH, DEEP = 512, 50_000
 
 FIT_SCHEMA = "run_id bigint, chr string, w bigint, n_reads bigint, n_cpgs int, single_ll double, pair_ll double"
 
@@ -28,8 +31,10 @@ def _sum(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _rows_ll(meth: np.ndarray, unmeth: np.ndarray, a: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each row under its window's allele."""
-    return (meth * np.log(a)[of]).sum(axis=1) + (unmeth * np.log(1 - a)[of]).sum(axis=1)
+    """Log-likelihood of each row under its window's allele, by the state at each site: an allele may round to 0 or 1."""
+    with np.errstate(divide="ignore"):
+        yes, no = np.log(a), np.log(1 - a)
+    return np.where(meth > 0, yes[of], 0.0).sum(axis=1) + np.where(unmeth > 0, no[of], 0.0).sum(axis=1)
 
 
 def _fit(meth: np.ndarray, unmeth: np.ndarray, weight: np.ndarray, starts: np.ndarray, pseudo: float) -> np.ndarray:
@@ -37,8 +42,8 @@ def _fit(meth: np.ndarray, unmeth: np.ndarray, weight: np.ndarray, starts: np.nd
     return (m + pseudo) / (m + u + 2 * pseudo)
 
 
-def fit_models(meth: np.ndarray, unmeth: np.ndarray, copies: np.ndarray, starts: np.ndarray, max_rounds: int = 10, low: float = LOW, high: float = HIGH) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihoods of the one- and the two-allele model of each window.
+def fit_models(meth: np.ndarray, unmeth: np.ndarray, copies: np.ndarray, starts: np.ndarray, max_rounds: int = 10, low: float = LOW, high: float = HIGH) -> tuple[np.ndarray, ...]:
+    """Log-likelihoods of the one- and the two-allele model of each window, both alleles, and each row's share of the first.
 
     meth and unmeth are 0/1 rows of sites, copies how many reads a row stands for, starts the first row of each window.
     Alleles begin at low and high everywhere with equal shares. A round makes posteriors, rescales them to a mean of one
@@ -68,11 +73,11 @@ def fit_models(meth: np.ndarray, unmeth: np.ndarray, copies: np.ndarray, starts:
         active &= ~stop
         if not active.any():
             break
-    mixed = np.log(0.5 * np.exp(_rows_ll(meth, unmeth, first, of)) + 0.5 * np.exp(_rows_ll(meth, unmeth, second, of)))
-    return single, _sum(copies * mixed, starts)
+    one, two = 0.5 * np.exp(_rows_ll(meth, unmeth, first, of)), 0.5 * np.exp(_rows_ll(meth, unmeth, second, of))
+    return single, _sum(copies * np.log(one + two), starts), first, second, one / (one + two)
 
 
-def _batch_windows(table: pa.Table, width: int, min_coverage: int, max_rounds: int) -> dict[str, np.ndarray]:
+def _batch_windows(table: pa.Table, width: int, min_coverage: int, max_rounds: int, alleles: bool = False) -> dict[str, object]:
     """Fits of the tested windows of one batch."""
     pos, copies, low, high = (table[c].to_numpy().astype(np.int64) for c in ("pos", "copies", "_from", "_to"))
     seqs = [s.encode() for s in table["seq"].to_pylist()]
@@ -96,27 +101,52 @@ def _batch_windows(table: pa.Table, width: int, min_coverage: int, max_rounds: i
     inside = (site >= begin[:, None]) & (site < end[:, None])
     state = text[np.where(inside, at[read][:, None] + site - pos[read][:, None], 0)] * inside
     weight = copies[read].astype(float)
-    single, pair = fit_models((state == ord("C")).astype(float), (state == ord("T")).astype(float), weight, starts, max_rounds)
-    sites = np.maximum.reduceat(end, starts) - np.minimum.reduceat(begin, starts)
-    return {"w": w[starts], "n_reads": _sum(weight, starts).astype(np.int64), "n_cpgs": sites, "single_ll": single, "pair_ll": pair}
+    single, pair, first, second, share = fit_models((state == ord("C")).astype(float), (state == ord("T")).astype(float), weight, starts, max_rounds)
+    least, most = np.minimum.reduceat(begin, starts), np.maximum.reduceat(end, starts)
+    found = {"w": w[starts], "n_reads": _sum(weight, starts).astype(np.int64), "n_cpgs": most - least, "single_ll": single, "pair_ll": pair}
+    if alleles:
+        cells = [slice(a, b) for a, b in zip((least - w[starts]).tolist(), (most - w[starts]).tolist(), strict=True)]
+        found |= {"site": least, "first": [x[c].tolist() for x, c in zip(first, cells, strict=True)], "second": [x[c].tolist() for x, c in zip(second, cells, strict=True)]}
+        rows = [{"pos": int(b), "seq": seqs[r][int(b - pos[r]) : int(e - pos[r])].decode(), "copies": int(copies[r]), "share": float(s)} for r, b, e, s in zip(read, begin, end, share, strict=True)]
+        found["reads"] = [rows[a:b] for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)]
+    return found
 
 
-def window_fits(reads: DataFrame, width: int = 10, min_coverage: int = 4, max_rounds: int = 10) -> DataFrame:
-    """Log-likelihoods of both models in each tested window; reads have run_id and furthest (with_runs)."""
+READ_KIND = pa.list_(pa.struct([("pos", pa.int64()), ("seq", pa.string()), ("copies", pa.int64()), ("share", pa.float64())]))
+KINDS = {"w": pa.int64(), "n_reads": pa.int64(), "n_cpgs": pa.int32(), "single_ll": pa.float64(), "pair_ll": pa.float64()}
+ALLELE_KINDS = {"site": pa.int64(), "first": pa.list_(pa.float64()), "second": pa.list_(pa.float64()), "reads": READ_KIND}
+ALLELE_SCHEMA = "site bigint, first array<double>, second array<double>, reads array<struct<pos:bigint,seq:string,copies:bigint,share:double>>"
+
+
+def window_fits(reads: DataFrame, width: int = 10, min_coverage: int = 4, max_rounds: int = 10, alleles: bool = False) -> DataFrame:
+    """Log-likelihoods of both models in each tested window; reads have run_id and furthest (with_runs).
+
+    With alleles, also the resolved alleles: site (the first one), first and second (chances of methylation by site) and
+    reads, the clipped reads with how often they come and their share of the first allele.
+    """
     if min_coverage < 1:
         raise ValueError("min_coverage must be 1 or more")
     spans = _spans(reads, width).groupBy("run_id", "chr", "pos", "seq", "_from", "_to").agg(F.count(F.lit(1)).alias("copies"))
-    batches = spans.withColumn("batch", F.explode_outer(F.sequence(F.floor(F.col("_from") / BATCH), F.floor(F.col("_to") / BATCH))))
+    batches = cut(spans.withColumn("batch", F.explode_outer(F.sequence(F.floor(F.col("_from") / BATCH), F.floor(F.col("_to") / BATCH)))))
+    deep = batches.groupBy("run_id", "batch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DEEP).select("run_id", "batch", F.lit(True).alias("_deep"))
+    marked = batches.join(F.broadcast(deep), ["run_id", "batch"], "left")  # a row for each DEEP reads at most
+    columns = ["run_id", "chr", "batch", "pos", "seq", "_from", "_to", "copies"]
+    plain = marked.where(F.col("_deep").isNull()).select(*columns, F.lit(-1).cast("bigint").alias("alone"))
+    w = F.col("w")
+    each = marked.where("_deep").withColumn("w", F.explode(F.sequence(F.greatest("_from", F.col("batch") * BATCH), F.least("_to", F.col("batch") * BATCH + BATCH - 1))))
+    clipped = each.select("run_id", "chr", "batch", clip_start(w).alias("pos"), clip(w, width).alias("seq"), "w", "copies")
+    counted = clipped.groupBy("run_id", "chr", "batch", "pos", "seq", "w").agg(F.sum("copies").alias("copies"))
+    apart = counted.select("run_id", "chr", "batch", "pos", "seq", w.alias("_from"), w.alias("_to"), "copies", w.alias("alone"))
+    kinds = KINDS | (ALLELE_KINDS if alleles else {})
 
     def fit(table: pa.Table) -> pa.Table:
-        found = _batch_windows(table, width, min_coverage, max_rounds)
+        found = _batch_windows(table, width, min_coverage, max_rounds, alleles)
         n = len(found.get("w", ()))
         columns = [pa.array([table["run_id"][0].as_py()] * n, pa.int64()), pa.array([table["chr"][0].as_py()] * n, pa.string())]
-        kinds = {"w": pa.int64(), "n_reads": pa.int64(), "n_cpgs": pa.int32(), "single_ll": pa.float64(), "pair_ll": pa.float64()}
         columns += [pa.array(found[k] if n else [], kind) for k, kind in kinds.items()]
         return pa.Table.from_arrays(columns, names=["run_id", "chr", *kinds])
 
-    return batches.groupBy("run_id", "batch").applyInArrow(fit, FIT_SCHEMA)
+    return plain.unionByName(apart).groupBy("run_id", "batch", "alone").applyInArrow(fit, FIT_SCHEMA + (f", {ALLELE_SCHEMA}" if alleles else ""))
 
 
 def with_scores(fits: DataFrame, bic: bool = False) -> DataFrame:

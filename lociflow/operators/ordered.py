@@ -54,6 +54,16 @@ def with_before(df: DataFrame, keys: list[str], block: str, order: list[Column],
     return joined.select(*df.columns, *out)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the number of each row, without gaps from 0, in the order of columns: a sort by ranges, then counts of the ranges."""
+    placed = cut(df.orderBy(*order)).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = cut(placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")))  # a row for each range
+    first = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    joined = placed.withColumn("_part", part).join(F.broadcast(first), "_part")
+    return joined.withColumn(name, F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1)).select(*df.columns, name)
+
+
 def value_blocks(df: DataFrame, value: str, blocks: int = 64) -> Column:
     """A block number for each value of a numeric column, ascending with it, from approximate quantiles."""
     cuts = sorted(set(df.approxQuantile(value, [i / blocks for i in range(1, blocks)], 0.002))) if blocks > 1 else []

@@ -9,21 +9,41 @@ later. On unsorted input late reads are so left out of some windows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import with_before
+from ..checkpoints import cut
 
 BLOCK_BITS = 20
 
 
 def with_runs(reads: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """Adds run_id (the line_no of the run's first read) and furthest, the greatest pos of the run so far."""
-    blocked = reads.withColumn("_block", F.shiftright("line_no", block_bits))
-    marked = with_before(blocked, [], "_block", [F.col("line_no")], _last=("lag", F.col("chr")))
-    first = marked.withColumn("_begins", F.when(F.col("_last").isNull() | (F.col("_last") != F.col("chr")), F.col("line_no"))).drop("_last")
-    runs = with_before(first, [], "_block", [F.col("line_no")], _run=("max", F.col("_begins"))).withColumn("run_id", F.coalesce("_begins", "_run")).drop("_begins", "_run")
-    far = with_before(runs, ["run_id"], "_block", [F.col("line_no")], _far=("max", F.col("pos")))
-    return far.withColumn("furthest", F.greatest("pos", "_far")).drop("_far", "_block")
+    """Adds run_id (the line_no of the run's first read) and furthest, the greatest pos of the run so far.
+
+    A block is 2 ** block_bits line numbers. Runs are found within blocks, and a row for each block says what of the run
+    before it goes on: its run_id, and how far it has come.
+    """
+    rows = cut(reads.withColumn("_block", F.shiftright("line_no", block_bits)))
+    inside = W.partitionBy("_block").orderBy("line_no")
+    so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    new = (F.row_number().over(inside) == 1) | ~F.col("chr").eqNullSafe(F.lag("chr").over(inside))
+    local = rows.withColumn("_new", F.when(new, F.col("line_no"))).withColumn("_run", F.max("_new").over(so_far)).drop("_new")
+    local = local.withColumn("_far", F.max("pos").over(W.partitionBy("_block", "_run").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    parts = local.groupBy("_block", "_run").agg(F.first("chr").alias("chr"), F.max("_far").alias("far"))
+    last = F.max_by(F.struct("chr", "far"), "_run")
+    blocks = parts.groupBy("_block").agg(F.min("_run").alias("_first"), F.min_by(F.struct("chr"), "_run").alias("_head"), F.max("_run").alias("_last"), last.alias("_tail"))
+    by = W.orderBy("_block")
+    joins = F.coalesce(F.col("_head.chr").eqNullSafe(F.lag("_tail").over(by)["chr"]) & (F.lag("_block").over(by).isNotNull()), F.lit(False))
+    ends = cut(blocks).withColumn("_joins", joins).withColumn("_open", F.when(~F.col("_joins") | (F.col("_first") < F.col("_last")), F.col("_last")))
+    ends = ends.withColumn("_open", F.last("_open", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    far = F.max("_tail.far").over(W.partitionBy("_open").orderBy("_block").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ends = ends.withColumn("_reached", far)
+    before = ends.select("_block", F.when(F.col("_joins"), F.col("_first")).alias("_goes_on"), F.lag("_open").over(by).alias("_from"), F.lag("_reached").over(by).alias("_reached"))
+    goes_on = F.col("_run") == F.col("_goes_on")
+    joined = local.join(F.broadcast(before), "_block")  # a row for each 2 ** block_bits reads
+    return joined.select(
+        *reads.columns, F.when(goes_on, F.col("_from")).otherwise(F.col("_run")).alias("run_id"), F.when(goes_on, F.greatest("_far", "_reached")).otherwise(F.col("_far")).alias("furthest")
+    )
 
 
 def run_sizes(reads: DataFrame, width: int) -> DataFrame:
@@ -75,5 +95,6 @@ def site_counts(clipped: DataFrame) -> DataFrame:
 def single_allele_likelihood(clipped: DataFrame, pseudo: float = 1e-10) -> DataFrame:
     """run_id, w and the log-likelihood of the one-allele model, by its closed form."""
     p = (F.col("meth") + pseudo) / (F.col("total") + 2 * pseudo)
-    ll = F.col("meth") * F.ln(p) + (F.col("total") - F.col("meth")) * F.ln(1 - p)
+    rest = F.col("total") - F.col("meth")
+    ll = F.when(F.col("meth") > 0, F.col("meth") * F.ln(p)).otherwise(0.0) + F.when(rest > 0, rest * F.ln(1 - p)).otherwise(0.0)
     return site_counts(clipped).groupBy("run_id", "w").agg(F.sum(ll).alias("log_likelihood"))

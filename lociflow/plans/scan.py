@@ -91,7 +91,10 @@ def score_text(score) -> object:
 
     @F.pandas_udf("string")
     def shown(s):
-        return s.map(lambda x: f"{x:.6g}")
+        import numpy as np
+        import pandas as pd
+
+        return pd.Series(np.char.mod("%.6g", s.to_numpy(dtype=float))).where(s.notna(), None)
 
     return shown(score)
 

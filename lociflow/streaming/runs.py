@@ -1,4 +1,4 @@
-"""The scan over reads that arrive file by file: each micro-batch is scanned, and its regions are appended."""
+"""The scan over reads that arrive file by file, and their coverage by event time."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.epialleles import window_fits, with_scores
-from ..operators.windows import with_runs
-from ..plans.scan import Options
+from ..plans.scan import Options, regions
 
 READS = "line_no bigint, chr string, pos bigint, seq string"
 
@@ -18,16 +16,23 @@ def read_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(READS).parquet(folder)
 
 
+def timed_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Reads from Parquet files that also have ts, when a read was made."""
+    return spark.readStream.schema(f"{READS}, ts timestamp").parquet(folder)
+
+
 def scan_stream(reads: DataFrame, output: str, checkpoint: str, options: Options = Options()) -> StreamingQuery:
-    """Appends the tested windows of each micro-batch to output, with the batch's number. A rerun batch overwrites its own folder."""
+    """Scans each micro-batch and writes its regions to output/number=<batch>; a batch that is run again overwrites its own.
+
+    A batch has to hold whole runs, as a file does; tests are corrected for within a batch.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        fits = window_fits(with_runs(batch), options.width, int(options.min_coverage), options.max_rounds)
-        with_scores(fits, options.bic).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{output}/number={number}")
+        regions(batch.sparkSession, batch, options).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{output}/number={number}")
 
     return reads.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def coverage_stream(reads: DataFrame, watermark: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """Reads of each chromosome by time window, for reads with a timestamp column ts; late ones go after the watermark."""
+    """Reads of each chromosome by time window, for reads with a timestamp column ts (timed_stream()); late ones go after the watermark."""
     return reads.withWatermark("ts", watermark).groupBy(F.window("ts", width), "chr").agg(F.count(F.lit(1)).alias("n_reads"), F.sum(F.length("seq")).alias("sites"))
