@@ -1,59 +1,17 @@
-"""Queries over the driver's tables, one or more for each group of operators, and DuckDB SQL where SQL can say the same.
-
-Inputs are made from the tables: line items as reads (chromosome l_returnflag, sorted by place), as intervals
-(chromosome l_suppkey, days of l_shipdate) and as methylation sites; documents as sequences; events as series.
-"""
+"""Reads, windows, tests, intervals, levels, sequences and distributions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dna, quality, sam, simulation, text
-from .operators import cpgs, distributions, epialleles, hmm, intervals, levels, significance, smoothing, windows
-from .operators.ordered import with_before
-from .sources import fasta, regions
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: The states of a read: a cut of a fixed pattern.
-PATTERN = "CTTNCCTCTT"
-
-
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line_no, chr, pos, seq; line_no ascends by chromosome and place."""
-    long = F.floor(F.col("l_quantity") / 5).cast("int") + 1
-    return table(spark, sf_dir, "lineitem").select(
-        (F.shiftleft(F.ascii("l_returnflag").cast("bigint"), 44) + F.col("l_partkey")).alias("line_no"),
-        F.col("l_returnflag").alias("chr"),
-        F.col("l_partkey").alias("pos"),
-        F.substring(F.lit(PATTERN * 3), F.col("l_linenumber").cast("int"), long).alias("seq"),
-    )
-
-
-READS_SQL = f"reads AS (SELECT l_returnflag AS chr, l_partkey AS pos, substr('{PATTERN * 3}', l_linenumber, CAST(floor(l_quantity / 5) AS INTEGER) + 1) AS seq FROM lineitem)"
-LIMITS_SQL = "lims AS (SELECT chr, greatest(1, max(pos + length(seq)) - 9) AS lim FROM reads GROUP BY chr)"
-EXPLODED_SQL = "ex AS (SELECT chr, pos, seq, unnest(generate_series(greatest(0, pos - 9), least(pos + length(seq), lim) - 1)) AS w FROM reads JOIN lims USING (chr))"
+from ..functions import dna, quality, sam, text
+from ..operators import cpgs, distributions, intervals, levels, significance, smoothing, windows
+from ..operators.ordered import with_before
+from ..sources import fasta, regions
+from .base import EXPLODED_SQL, L_SQL, LIMITS_SQL, O_SQL, Q_SQL, READS_SQL, SERIES_SQL, line_regions, order_regions, query, reads, sequences, series, table
 
 
 @query(f"WITH {READS_SQL}, {LIMITS_SQL}, {EXPLODED_SQL} SELECT chr, w, count(*) AS n_reads, CAST(sum(least(pos + length(seq), w + 10) - greatest(pos, w)) AS BIGINT) AS coverage FROM ex GROUP BY chr, w")
@@ -79,26 +37,6 @@ def single_allele_ll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.single_allele_likelihood(windows.window_reads(runs)).join(names, "run_id").select("chr", "w", F.round("log_likelihood", 4).alias("log_likelihood"))
 
 
-@query()
-def allele_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both models and the test in every covered window."""
-    return epialleles.with_scores(epialleles.window_fits(windows.with_runs(reads(spark, sf_dir)))).drop("run_id")
-
-
-@query()
-def allele_scan_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return epialleles.with_scores(epialleles.window_fits(windows.with_runs(reads(spark, sf_dir)), width=15), bic=True).drop("run_id")
-
-
-@query()
-def allele_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: reads to regions, in CpG numbers."""
-    from .plans.scan import Options
-    from .plans.scan import regions as scan
-
-    return scan(spark, reads(spark, sf_dir), Options(gap=4, no_fdr=True))
-
-
 EVENT_RUNS_SQL = """WITH c AS (SELECT event_id, ts, event_type, CASE WHEN event_type = lag(event_type) OVER (ORDER BY ts) THEN 0 ELSE 1 END AS f FROM events)
 SELECT event_id, CAST(sum(f) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM c"""
 
@@ -131,21 +69,6 @@ def adjusted_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return significance.adjusted(rows, "p", rows.count()).select("l_orderkey", "l_linenumber", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
 
 
-def line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.unix_date(F.to_date("l_shipdate")).cast("bigint")
-    name = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("chrom"), start.alias("start"), (start + F.col("l_quantity").cast("bigint")).alias("end"), name.alias("name"), F.col("l_discount").cast("float").alias("score"))
-
-
-def order_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.unix_date(F.to_date("o_orderdate")).cast("bigint")
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).cast("string").alias("chrom"), start.alias("start"), (start + F.col("o_orderkey") % 40 + 1).alias("end"), F.col("o_orderkey").alias("id"))
-
-
-L_SQL = "l AS (SELECT CAST(l_suppkey AS VARCHAR) AS chrom, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) + CAST(l_quantity AS BIGINT) AS e, concat_ws(':', l_orderkey, l_linenumber, l_partkey) AS name, CAST(l_discount AS FLOAT) AS score FROM lineitem)"
-O_SQL = "o AS (SELECT CAST(o_custkey % 100 AS VARCHAR) AS chrom, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) + o_orderkey % 40 + 1 AS e, o_orderkey AS id FROM orders)"
-
-
 def _island_sql(gap: int, out: str) -> str:
     return f"""WITH {L_SQL}, m AS (SELECT *, CASE WHEN max(e) OVER (PARTITION BY chrom ORDER BY s, e, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} >= s THEN 0 ELSE 1 END AS f FROM l),
 g AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY s, e, name ROWS UNBOUNDED PRECEDING) AS i FROM m)
@@ -178,16 +101,11 @@ def intersect_by_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.intersect_by_base(line_regions(spark, sf_dir), order_regions(spark, sf_dir), 64)
 
 
-@query(f"WITH {L_SQL}, {O_SQL} SELECT l.name AS name, l.s AS \"start\", min(o.id ORDER BY o.s, o.e, o.id) AS n FROM l JOIN o ON l.chrom = o.chrom AND l.s >= o.s AND l.s < o.e GROUP BY ALL".replace("min(o.id ORDER BY o.s, o.e, o.id)", "first(o.id ORDER BY o.s, o.e, o.id)"))
+@query(f"WITH {L_SQL}, {O_SQL}, r AS (SELECT *, row_number() OVER () AS place FROM l) SELECT r.name AS name, r.s AS \"start\", first(o.id ORDER BY o.s, o.e, o.id) AS n FROM r JOIN o ON r.chrom = o.chrom AND r.s >= o.s AND r.s < o.e GROUP BY r.place, r.name, r.s")
 def assign_by_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.assign_by_start(line_regions(spark, sf_dir), order_regions(spark, sf_dir), 64, ("id",)).select("name", "start", F.col("big_id").alias("n"))
 
 
-@query()
-def nearest_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.nearest(order_regions(spark, sf_dir), line_regions(spark, sf_dir), block=64)
-
-
 S_SQL = "s AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'CpG' WHEN 1 THEN 'CHH' ELSE 'CXGx' END AS context, round(l_discount * 10, 6) AS meth, CAST(l_quantity AS BIGINT) - 1 AS n FROM lineitem)"
 
 
@@ -225,15 +143,6 @@ def mate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.merge_mates(stranded(spark, sf_dir)).select("chrom", "pos", "n_reads", F.round("meth", 6).alias("meth"))
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name and seq of letters A, C, G, T, N from the documents' ASCII letters."""
-    ascii_text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), dna.five_letters(F.translate(ascii_text, "eiouEIOUhH", "CGTACGTACC")).alias("seq"))
-
-
-Q_SQL = "q AS (SELECT CAST(doc_id AS VARCHAR) AS name, regexp_replace(upper(translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), 'eiouEIOUhH', 'CGTACGTACC')), '[^ACGT]', 'N', 'g') AS seq FROM documents)"
-
-
 @query(f"WITH {Q_SQL}, p AS (SELECT name, seq, unnest(generate_series(1, length(seq) - 1)) AS i FROM q WHERE length(seq) > 1) SELECT name AS chrom, row_number() OVER (PARTITION BY name ORDER BY i) - 1 AS ordinal, i - 1 AS position FROM p WHERE substr(seq, i, 2) = 'CG'")
 def cpg_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cpgs.cpg_sites(sequences(spark, sf_dir), 4096)
@@ -332,64 +241,11 @@ def fit_closed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select(*[F.round(F.lit(float(x)), 6).alias(n) for n, x in zip(names, found, strict=True)], F.round("ll", 6).alias("exponential_ll"))
 
 
-@query()
-def fit_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, lines = table(spark, sf_dir, "events"), table(spark, sf_dir, "lineitem")
-    shares = lines.select((F.col("l_quantity") / 51).alias("x"))
-    found = {"gamma": distributions.fit(events, "gamma", "value"), "beta": distributions.fit(shares, "beta", "x"), "nbd": distributions.fit(lines, "nbd", "l_quantity")}
-    rows = [(k, float(a), float(b)) for k, (a, b) in found.items()]
-    return spark.createDataFrame(rows, "family string, first double, second double")
-
-
 @query("SELECT CAST(floor(l_quantity / 5) AS INTEGER) AS bin, count(*) AS n, CAST(floor(l_quantity / 5) * 5 AS DOUBLE) AS low FROM lineitem GROUP BY ALL")
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", [5.0 * i for i in range(11)])
 
 
-SERIES_SQL = "e AS (SELECT user_id AS key, epoch(ts) / 3600.0 AS x, value AS y FROM events)"
-
-
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 1e6 / 3600.0).alias("x"), F.col("value").alias("y"))
-
-
 @query(f"WITH {SERIES_SQL}, p AS (SELECT a.key AS key, a.x AS x, b.y AS y, 0.75 * (1 - pow((b.x - a.x) / 24.0, 2)) AS w FROM (SELECT DISTINCT key, x FROM e) a JOIN e b ON a.key = b.key AND b.x - a.x >= -24 AND b.x - a.x < 24) SELECT key, round(x, 4) AS x, round(sum(w * y) / sum(w), 6) AS y FROM p GROUP BY key, p.x")
 def kernel_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smoothing.kernel_smooth(series(spark, sf_dir), 24.0).select("key", F.round("x", 4).alias("x"), F.round("y", 6).alias("y"))
-
-
-@query()
-def local_linear_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smoothing.local_linear(series(spark, sf_dir), 48.0)
-
-
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.floor(F.col("value") / 50)
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("segment"), F.col("event_id").alias("i"), m.cast("double").alias("m"), F.greatest(10 - m, F.lit(0)).cast("double").alias("u"))
-
-
-TWO = hmm.two_states(0.1, 0.1, (0.8, 2.0), (2.0, 0.8))
-
-
-@query()
-def hmm_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.decode(observations(spark, sf_dir), TWO)
-
-
-@query()
-def hmm_viterbi_three_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = hmm.three_states(((0.8, 0.1, 0.1), (0.1, 0.8, 0.1), (0.1, 0.1, 0.8)), (0.5, 3.0), (3.0, 0.5), (2.0, 2.0))
-    return hmm.decode(observations(spark, sf_dir), model, "viterbi")
-
-
-@query()
-def hmm_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, history = hmm.train(observations(spark, sf_dir), TWO)
-    rows = [(n, *map(float, s), float(history[-1])) for n, s in zip(model.names, model.shapes, strict=True)]
-    return spark.createDataFrame(rows, "state string, alpha double, beta double, log_likelihood double")
-
-
-@query()
-def simulated_bisulfite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sequences(spark, sf_dir).withColumn("id", F.col("name").cast("bigint"))
-    return rows.select("name", simulation.bisulfite(F.col("id"), F.col("seq"), 0.99, 0.7, 1).alias("seq"))
