@@ -67,8 +67,8 @@ def pieces(sequences: DataFrame, size: int, overlap: int = 0) -> DataFrame:
 
 
 def is_cpg(seq: Column, i: Column) -> Column:
-    """Whether CG, of any case, stands at i (from 0)."""
-    return F.upper(F.substring(seq, (i + 1).cast("int"), F.lit(2))) == "CG"
+    """Whether CG, of any case, stands at i (from 0) of an ASCII sequence."""
+    return F.upper(F.substring(seq.cast("binary"), (i + 1).cast("int"), F.lit(2)).cast("string")) == "CG"
 
 
 def is_base(c: Column, base: str) -> Column:
@@ -97,7 +97,8 @@ def four_bit_words(seq: Column) -> Column:
     """Arrays of hexadecimal digits, 16 bases each, the first base lowest: four bits say which bases a letter may be."""
     codes = F.translate(F.upper(seq), "".join(FOUR_BIT), "".join(f"{v:X}" for v in FOUR_BIT.values()))
     words = F.sequence(F.lit(0), F.floor((F.greatest(F.length(seq), F.lit(1)) - 1) / 16).cast("int"))
-    return F.transform(words, lambda i: F.lpad(F.reverse(F.substring(codes, i * 16 + 1, F.lit(16))), 16, "0"))
+    each = lambda all: F.transform(words, lambda i: F.lpad(F.reverse(F.substring(all, i * 16 + 1, F.lit(16)).cast("string")), 16, "0"))
+    return F.transform(F.array(codes.cast("binary")), each)[0]  # an array of one, so that the codes are worked out once
 
 
 def four_bit_text(words: Column, n: Column) -> Column:
