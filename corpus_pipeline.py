@@ -1,4 +1,10 @@
-"""From raw documents to token ids: the stages of a training corpus, each on all that the one before it kept."""
+"""From raw documents to token ids: the stages of a training corpus, each on all that the one before it kept.
+
+Defined cases: a null or empty text has the classifier's score of its bias, one empty line, no shingles (so that it is no
+near duplicate), no words and no ids; a null doc_id is kept as it is; of equal rows of one doc_id all stay or go together;
+equal texts of other doc_ids are near duplicates, of which the least doc_id stays; an empty table gives an empty result;
+columns beside doc_id and text are handed on whatever their names, n_chars as the length of the text that is left.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = line_dedup.dedup_lines(docs, keep_first=True).where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
     text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept"))
     rows = rows.withColumn("_text", text)
-    changed = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast("long")}
+    changed = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
     return rows.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 

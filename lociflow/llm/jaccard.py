@@ -21,7 +21,7 @@ A shingle is a 64-bit hash of its words; two shingles of different words are tak
 2**-64 for each pair compared.
 
 Defined cases: texts without words have an empty set and are linked with nothing; a null doc_id is never linked and has
-a null component; rows of one doc_id are one document that has the links of each of its texts; an empty table gives an
+a null component; a text of any length is read whole, in pieces; rows of one doc_id are one document that has the links of each of its texts; an empty table gives an
 empty result; only doc_id (a bigint) and text are looked at.
 """
 
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import code_points as cp
-from .common import BROADCAST_ROWS, cut, documents
+from .common import cut, documents, if_small
 from .components import connected_components
 
 WORDS, PERCENT = 4, 85
@@ -47,6 +47,7 @@ ROWS_OF_A_LEADER = 512
 LEADER_ORDERS = 8
 FIRST_KEYS = 32
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 64, 500_000, 4096
+CROSS_ROWS, PAIRS_AT_ONCE = 512, 1 << 18
 _SHINGLE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
 
 
@@ -103,9 +104,13 @@ def bands_of(size: int, percent: int = PERCENT) -> list[Band]:
 
 def shingle_sets(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
     """Of each text, the ascending hashes of its distinct shingles."""
-    c, bounds = cp.points(texts)
-    h, starts = cp.words(cp.lower(c))
-    at = np.searchsorted(starts, bounds)
+    if len(texts) == 1 and len(texts[0]) > cp.LONG:
+        h = cp.word_hashes(texts[0])
+        at = np.array([0, len(h)])
+    else:
+        c, bounds = cp.points(texts)
+        h, starts = cp.words(cp.lower(c))
+        at = np.searchsorted(starts, bounds)
     sums = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for i in range(n):
         sums += h[i : i + len(sums)] * _SHINGLE[i % len(_SHINGLE)]
@@ -248,12 +253,10 @@ def _possible(percent: int) -> Column:
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose sets reach the similarity. Documents of many pairs as a are split over several tasks."""
     pairs = cut(pairs.select("a", "b"))
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / ROWS_OF_A_LEADER).alias("parts"))
-    salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-    rows = cut(salted.unionByName(salted.select("a", F.col("a").alias("b"), "part").distinct()))
-    small = rows.count() <= BROADCAST_ROWS
-    members = rows.withColumnRenamed("b", "doc_id")
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(members) if small else members, "doc_id")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / ROWS_OF_A_LEADER).alias("parts")).where(F.col("parts") > 1)
+    salted = if_small(pairs, parts, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).cast("int").alias("part"))
+    members = salted.unionByName(salted.select("a", F.col("a").alias("b"), "part").distinct()).withColumnRenamed("b", "doc_id")
+    texts = if_small(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), members, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,6 +284,100 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return ordered.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def crossing_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of sets of one key (b) that lie in different components (own) and that the bounds allow.
+
+    Of each key, the sets apart from its leader's component are compared with all of its sets, in groups of at most
+    CROSS_ROWS of either, in numpy. A pair of many common keys is told at one of them: the least that is among the first
+    keys of both, if there is one.
+    """
+    firsts = rest.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
+    rest = rest.join(firsts, "b")
+    size = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if("apart").alias("n_apart")).where(F.col("m") > CROSS_ROWS)
+    parts = size.select("key", *[F.ceil(F.col(c) / CROSS_ROWS).cast("int").alias(to) for c, to in (("n_apart", "lefts"), ("m", "rights"))])
+    sized = if_small(rest, parts, "key", "left")
+    at = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    place = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    each = lambda n, to: F.transform(F.sequence(F.lit(0), F.col(n) - 1), to)
+    left = F.when(F.col("apart"), each("rights", lambda j: place(at("lefts"), j, 1))).otherwise(F.array().cast("array<struct<i:int,j:int,role:int>>"))
+    places = F.when(F.col("rights").isNull(), F.array(place(F.lit(0), F.lit(0), 3))).otherwise(F.concat(left, each("lefts", lambda i: place(i, at("rights"), 2))))
+    rows = sized.select("key", "b", "own", "apart", "n", "p", "firsts", F.explode_outer(places).alias("at")).select("key", "at.i", "at.j", "at.role", "b", "own", "apart", "n", "p", "firsts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            names = [table[c].to_numpy() for c in ("key", "i", "j")]
+            new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in names], axis=0)])) if len(table) else np.zeros(1, int)
+            held = table.slice(new[-1])
+            yield from _crossing(table.slice(0, new[-1]), new, percent)
+        if held is not None and len(held):
+            yield from _crossing(held, np.array([0, len(held)]), percent)
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of lists."""
+    lists = column.combine_chunks()
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy(), offsets
+
+
+def _crossing(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole groups; starts has where each begins, and the end."""
+    if not len(table):
+        return
+    key, role, b, own, n = (table[c].to_numpy() for c in ("key", "role", "b", "own", "n"))
+    apart = table["apart"].to_numpy(zero_copy_only=False)
+    (p, p_at), (firsts, f_at) = _ragged(table["p"]), _ragged(table["firsts"])
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    lefts = np.flatnonzero((role != 2) & apart)
+    ends = np.cumsum(np.diff(starts)[group[lefts]])
+    low = 0
+    while low < len(lefts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS_AT_ONCE)))
+        some, low = lefts[low:high], high
+        sizes = np.diff(starts)[group[some]]
+        x = np.repeat(some, sizes)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[group[x]]
+        good = (role[y] != 1) & (own[x] != own[y]) & (~apart[y] | (b[x] < b[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[good], y[good]
+        near = _near(p, p_at, x, y, n, percent)
+        x, y = x[near], y[near]
+        told = [(i, j) for i, j in zip(x.tolist(), y.tolist(), strict=True) if _told(key[i], firsts[f_at[i] : f_at[i + 1]], firsts[f_at[j] : f_at[j + 1]])]
+        if told:
+            i, j = np.array(told).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b[i], b[j])), pa.array(np.maximum(b[i], b[j]))], names=["a", "b"])
+
+
+def _told(key: int, left: np.ndarray, right: np.ndarray) -> bool:
+    common = np.intersect1d(left, right)
+    return not len(common) or key == common[0]
+
+
+def _near(p: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the parities of each pair differ in no more slots than the similarity allows."""
+    total = n[x] + n[y]
+    most = total - 2 * -(-percent * total // (100 + percent))
+    wide = np.diff(at)
+    keep = np.zeros(len(x), bool)
+    small, large = np.where(wide[x] <= wide[y], x, y), np.where(wide[x] <= wide[y], y, x)
+    for w in np.unique(wide[small]):
+        for twice in (False, True):
+            some = np.flatnonzero((wide[small] == w) & (wide[large] == (2 * w if twice else w)))
+            for low in range(0, len(some), max(1, (1 << 19) // int(w))):
+                own = some[low : low + max(1, (1 << 19) // int(w))]
+                slots = np.arange(w)
+                other = p[at[large[own]][:, None] + slots]
+                if twice:
+                    other = other ^ p[at[large[own]][:, None] + w + slots]
+                differ = np.bitwise_count(p[at[small[own]][:, None] + slots] ^ other).sum(axis=1, dtype=np.int64)
+                keep[own] = differ <= most[own]
+    return keep
+
+
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     least = -(-percent * (len(x) + len(y)) // (100 + percent))
     if min(len(x), len(y)) < least:
@@ -319,10 +416,8 @@ def link_counts(placed: DataFrame, docs: DataFrame, words: int, percent: int) ->
     """
     size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("w")).where(F.col("g") > 1)
     blocks = F.greatest(F.when(F.col("g") <= BLOCK_SETS, 1).otherwise(F.ceil(F.sqrt("g") / 2)), F.ceil(F.col("w") / BLOCK_SHINGLES))
-    size = cut(size.select("component", blocks.cast("int").alias("blocks")))
-    members = cut(placed.join(F.broadcast(size) if size.count() <= BROADCAST_ROWS else size, "component"))
-    ids = cut(members.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id")
+    members = cut(if_small(placed, size.select("component", blocks.cast("int").alias("blocks")), "component"))
+    texts = if_small(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,21 +498,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     open_keys = apart.select("key").distinct()
     rest = members.join(open_keys, "key").join(sizes, F.col("b") == F.col("rep")).drop("rep")
     rest = cut(rest.select("key", "b", "own", (F.col("own") != F.col("lead")).alias("apart"), "n", "p"))
-    # A pair of many common keys is told at one of them: the least that is among the first keys of both, if there is one.
-    firsts = rest.groupBy("b").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
-    rest = cut(rest.join(firsts, "b"))
-    right = rest.select("key", *[F.col(c).alias(f"_{c}") for c in rest.columns if c != "key"])
-    common = F.array_intersect("firsts", "_firsts")
-    told = (F.size(common) == 0) | (F.col("key") == F.array_min(common))
-    crossing = rest.where("apart").join(right, "key").where((F.col("own") != F.col("_own")) & (~F.col("_apart") | (F.col("b") < F.col("_b"))) & _possible(percent) & told)
-    pairs = crossing.select(F.least("b", "_b").alias("a"), F.greatest("b", "_b").alias("b")).distinct()
-    second = cut(verified(pairs, docs, words, percent))
+    second = cut(verified(crossing_pairs(rest, percent).distinct(), docs, words, percent))
     components = connected_components(first.unionByName(second).unionByName(same_id))
     placed = sets.select("rep", "s1", "s2", "n").join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     if links:
         placed = cut(placed)
         placed = placed.join(link_counts(placed, docs, words, percent), ["s1", "s2", "n"], "left")
-    rows = digests.select("doc_id", "n", "s1", "s2").join(placed.drop("rep", "n"), ["s1", "s2"], "left")
+    own = digests.select("doc_id", "n", "s1", "s2")
+    rows = own.where(F.col("n") > 0).join(placed.drop("rep", "n"), ["s1", "s2"], "left")
+    rows = rows.unionByName(own.where(F.col("n") == 0), allowMissingColumns=True)  # empty sets have one digest and no links
     columns = [
         "doc_id",
         F.col("n").alias("n_shingles"),

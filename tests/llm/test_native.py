@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -176,6 +177,31 @@ def test_pii(spark):
     assert pii.digests(frame(spark, [])).count() == 0
 
 
+def test_what_the_classifier_adds(spark):
+    """Planted secrets and near misses among look-alikes: precision and recall of the added spans."""
+    r, rows, real = random.Random(9), [], set()
+    digits = lambda n, of="0123456789abcdef": "".join(r.choice(of) for _ in range(n))
+    for i in range(300):
+        kind = i % 5
+        if kind == 0:
+            head, body = f"config: {r.choice(['api_key', 'secret', 'token', 'password'])} = ", digits(r.choice([32, 40, 64]))
+            real.add((i, len(head), len(head) + len(body)))
+        elif kind == 1:
+            head, body = "see commit ", digits(r.choice([33, 35, 47, 51])) + "zz"
+        elif kind == 2:
+            head, body = "mail ", f"u{i}@host{i}.com"
+        elif kind == 3:
+            head, body = "from host ", f"10.{i % 200}.3.{i % 250}"
+        else:
+            head, body = "the sum is ", str(r.randrange(10**6))
+        rows.append((i, f"{head}{body} and more words"))
+    added = {(x.doc_id, s["start"], s["end"]) for x in pii.private_spans(frame(spark, rows)).collect() for s in x.spans if not s["base"]}
+    assert len(added & real) / len(real) > 0.9 and len(added & real) / max(1, len(added)) > 0.9
+    long = "token=" + digits(300) + " "
+    found = pii.private_spans(frame(spark, [*rows, (999, long)])).where("doc_id = 999").first()
+    assert all(s["end"] - s["start"] == 300 for s in found.spans)
+
+
 def test_reliabilities_find_the_bad_labeler():
     counts = []
     for real, n in ((1, 900), (0, 600)):
