@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import documents
+from .common import bounded_batches, documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK_BYTES = 1 << 19
 #: About so many bytes of parts and their ids are kept, and no part of more characters.
-KEPT_BYTES, KEPT_LENGTH = 64 << 20, 256
+KEPT_BYTES, KEPT_LENGTH = 32 << 20, 256
 #: Python's white space has all of the pattern's, so that this cuts rather too seldom.
 #: Latin letters, of which any version of Unicode says so, with at most one space before and some marks after them.
 WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.!?;:]*)")
@@ -194,6 +194,7 @@ def encoded(batches: Iterator[pa.RecordBatch], coder: Encoder, keep: tuple[str,
 
 def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: str = RANKS, offsets: bool = False) -> DataFrame:
     """The columns to keep with ids; with offsets, also the start and end of each token in code points of the text."""
+    bounded_batches(df.sparkSession)
     described = df.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(ranks)))  # as large as the vocabulary, whatever the input
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     fields = [*[df.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("offsets", T.ArrayType(span))] * offsets
@@ -247,6 +248,7 @@ def round_trip(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     encode() and decode() run in one Python stage, so that no ids go through the JVM.
     """
     read = read_ranks(ranks)
+    bounded_batches(docs.sparkSession)
     described = docs.sparkSession.sparkContext.broadcast(tokenizer_json(read))
     table = docs.sparkSession.sparkContext.broadcast(token_table(vocabulary(read)))
 

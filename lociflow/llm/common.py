@@ -65,6 +65,17 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared or f"/tmp/lociflow-checkpoint-{uuid.uuid4().hex}")
 
 
+#: Arrow batches have so many bytes at most; ten thousand whole texts can be any number.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of bytes in an Arrow batch, so that a task's memory follows it (or its longest text)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(64 << 20)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and goes on from the files."""
     use_checkpoint_dir(df.sparkSession)

@@ -37,13 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import code_points as cp
-from .common import cut, documents, if_small
+from .common import bounded_batches, cut, documents, if_small
 from .components import connected_components
 
 WORDS, PERCENT = 4, 85
 RATIO = 1.4
 EMPTY_COST, SPARE_TAIL = 40.0, 1e-3
-ROWS_OF_A_LEADER = 512
+ROWS_OF_A_LEADER = 128
 LEADER_ORDERS = 8
 FIRST_KEYS = 32
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 64, 500_000, 4096
@@ -467,6 +467,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     links is the number of other sets that its set reaches the similarity with; those of equal sets count once.
     """
+    bounded_batches(docs.sparkSession)
     digests = cut(set_digests(docs, words))
     known = digests.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     equal = known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("p").alias("p"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import code_points as cp
-from .common import documents
+from .common import bounded_batches, documents
 
 #: The labelled rows that are learned from, at most: those of the smallest hashes.
 SAMPLE_ROWS = 3000
@@ -147,6 +147,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from rows that aren't held out."""
+    bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows)
 
@@ -174,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns to keep, and score, of every row; a column score of docs goes."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = tuple(c for c in keep if c != "score")
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
