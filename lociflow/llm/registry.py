@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontamination, jaccard, line_dedup, mjpeg, packing, pii, quality, quality_rules, sharding
+from . import byte_bpe, chat, decontamination, jaccard, line_dedup, mjpeg, packing, pii, quality, quality_rules, repair, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_prefix_targets": chat.op8_chat_prefix_targets,
     "op9_pii_spans": pii.op9_pii_spans,
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_quality_rules": quality_rules.op12_quality_rules,
     "media_clips": mjpeg.media_clips,
     "quality_rule_ablations": quality_rules.quality_rule_ablations,
@@ -28,6 +29,7 @@ SQL: dict[str, str] = {
     "op1_decontamination": decontamination.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op8_chat_prefix_targets": chat.OP8_SQL,
+    "op11_conversation_repair": repair.OP11_SQL,
     "op12_quality_rules": quality_rules.OP12_SQL,
     "quality_rule_ablations": quality_rules.ABLATIONS_SQL,
 }
