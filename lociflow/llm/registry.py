@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontamination, jaccard, line_dedup, mjpeg, packing, pii, quality, quality_rules, repair, sharding
+from . import byte_bpe, chat, decontamination, jaccard, line_dedup, mjpeg, negatives, packing, pii, quality, quality_rules, repair, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rendezvous_sharding": sharding.op10_rendezvous_sharding,
     "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_quality_rules": quality_rules.op12_quality_rules,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
     "media_clips": mjpeg.media_clips,
     "quality_rule_ablations": quality_rules.quality_rule_ablations,
 }
@@ -31,5 +32,6 @@ SQL: dict[str, str] = {
     "op8_chat_prefix_targets": chat.OP8_SQL,
     "op11_conversation_repair": repair.OP11_SQL,
     "op12_quality_rules": quality_rules.OP12_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
     "quality_rule_ablations": quality_rules.ABLATIONS_SQL,
 }
