@@ -22,8 +22,10 @@ PSEUDO = 1e-10
 LOW, HIGH = 0.25, 0.75
 TOLERANCE = 1e-20
 BATCH, DEEP = 512, 50_000
+#: The table of deep batches is broadcast up to so many rows.
+BROADCAST_BATCHES = 500_000
 
-FIT_SCHEMA = "run_id bigint, chr string, w bigint, n_reads bigint, n_cpgs int, single_ll double, pair_ll double"
+FIT_SCHEMA = "run_id bigint, chr string, run_cpgs bigint, w bigint, n_reads bigint, n_cpgs int, single_ll double, pair_ll double"
 
 
 def _sum(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -119,32 +121,33 @@ ALLELE_SCHEMA = "site bigint, first array<double>, second array<double>, reads a
 
 
 def window_fits(reads: DataFrame, width: int = 10, min_coverage: int = 4, max_rounds: int = 10, alleles: bool = False) -> DataFrame:
-    """Log-likelihoods of both models in each tested window; reads have run_id and furthest (with_runs).
+    """Log-likelihoods of both models in each tested window; reads come from with_runs(). run_cpgs is the run's n_cpgs.
 
     With alleles, also the resolved alleles: site (the first one), first and second (chances of methylation by site) and
     reads, the clipped reads with how often they come and their share of the first allele.
     """
     if min_coverage < 1:
         raise ValueError("min_coverage must be 1 or more")
-    spans = _spans(reads, width).groupBy("run_id", "chr", "pos", "seq", "_from", "_to").agg(F.count(F.lit(1)).alias("copies"))
+    spans = _spans(reads, width).groupBy("run_id", "chr", F.col("n_cpgs").alias("run_cpgs"), "pos", "seq", "_from", "_to").agg(F.count(F.lit(1)).alias("copies"))
     batches = cut(spans.withColumn("batch", F.explode_outer(F.sequence(F.floor(F.col("_from") / BATCH), F.floor(F.col("_to") / BATCH)))))
     deep = batches.groupBy("run_id", "batch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DEEP).select("run_id", "batch", F.lit(True).alias("_deep"))
-    marked = batches.join(F.broadcast(deep), ["run_id", "batch"], "left")  # a row for each DEEP reads at most
-    columns = ["run_id", "chr", "batch", "pos", "seq", "_from", "_to", "copies"]
+    deep = cut(deep)
+    marked = batches.join(F.broadcast(deep) if deep.count() <= BROADCAST_BATCHES else deep, ["run_id", "batch"], "left")
+    columns = ["run_id", "chr", "run_cpgs", "batch", "pos", "seq", "_from", "_to", "copies"]
     plain = marked.where(F.col("_deep").isNull()).select(*columns, F.lit(-1).cast("bigint").alias("alone"))
     w = F.col("w")
     each = marked.where("_deep").withColumn("w", F.explode(F.sequence(F.greatest("_from", F.col("batch") * BATCH), F.least("_to", F.col("batch") * BATCH + BATCH - 1))))
-    clipped = each.select("run_id", "chr", "batch", clip_start(w).alias("pos"), clip(w, width).alias("seq"), "w", "copies")
-    counted = clipped.groupBy("run_id", "chr", "batch", "pos", "seq", "w").agg(F.sum("copies").alias("copies"))
-    apart = counted.select("run_id", "chr", "batch", "pos", "seq", w.alias("_from"), w.alias("_to"), "copies", w.alias("alone"))
+    clipped = each.select("run_id", "chr", "run_cpgs", "batch", clip_start(w).alias("pos"), clip(w, width).alias("seq"), "w", "copies")
+    counted = clipped.groupBy("run_id", "chr", "run_cpgs", "batch", "pos", "seq", "w").agg(F.sum("copies").alias("copies"))
+    apart = counted.select("run_id", "chr", "run_cpgs", "batch", "pos", "seq", w.alias("_from"), w.alias("_to"), "copies", w.alias("alone"))
     kinds = KINDS | (ALLELE_KINDS if alleles else {})
 
     def fit(table: pa.Table) -> pa.Table:
         found = _batch_windows(table, width, min_coverage, max_rounds, alleles)
         n = len(found.get("w", ()))
-        columns = [pa.array([table["run_id"][0].as_py()] * n, pa.int64()), pa.array([table["chr"][0].as_py()] * n, pa.string())]
+        columns = [pa.array([table["run_id"][0].as_py()] * n, pa.int64()), pa.array([table["chr"][0].as_py()] * n, pa.string()), pa.array([table["run_cpgs"][0].as_py()] * n, pa.int64())]
         columns += [pa.array(found[k] if n else [], kind) for k, kind in kinds.items()]
-        return pa.Table.from_arrays(columns, names=["run_id", "chr", *kinds])
+        return pa.Table.from_arrays(columns, names=["run_id", "chr", "run_cpgs", *kinds])
 
     return plain.unionByName(apart).groupBy("run_id", "batch", "alone").applyInArrow(fit, FIT_SCHEMA + (f", {ALLELE_SCHEMA}" if alleles else ""))
 

@@ -1,6 +1,7 @@
 """Hidden Markov models of methylation along segments, with any small number of states.
 
-Observations are rows segment, i (order), m, u (reads by state), and for replicates also replicate. A segment is what
+Observations are rows segment, i (order), m, u (reads by state), and for replicates also replicate, the number from 0 of the
+replicate in the model; any may be missing at a place. A null segment is a segment. A segment is what
 lies between reset points. Rows are sorted by ranges of (segment, i) and cut into blocks of at most BLOCK rows, whatever
 the lengths of segments: a task goes over its blocks one by one. Each block's part of a segment that may go on in another
 block is one matrix of path sums; these few matrices (two a block) are put together by segment, and tell each block what
@@ -96,16 +97,22 @@ def emissions(m: np.ndarray, u: np.ndarray, shapes, family: str = "betabin") ->
 
 
 def together(observations: DataFrame) -> DataFrame:
-    """Replicates as arrays: segment, i, m and u as arrays with an element for each replicate."""
+    """Replicates as arrays: segment, i, and k (replicates), m and u as arrays with an element for each row of a place.
+
+    Without a replicate column rows stay as they are, so that two of one place are two; with it, rows of a place are its
+    replicates, those of one replicate all counting. A null replicate fails the query.
+    """
+    number = lambda c: F.col(c).cast("double")
     if "replicate" not in observations.columns:
-        return observations.select("segment", "i", F.array(F.col("m").cast("double")).alias("m"), F.array(F.col("u").cast("double")).alias("u"))
-    lists = F.array_sort(F.collect_list(F.struct("replicate", "m", "u")))
-    found = observations.groupBy("segment", "i").agg(lists.alias("r"))
-    return found.select("segment", "i", F.transform("r", lambda x: x["m"].cast("double")).alias("m"), F.transform("r", lambda x: x["u"].cast("double")).alias("u"))
+        return observations.select("segment", "i", F.array(F.lit(0)).alias("k"), *[F.array(number(c)).alias(c) for c in "mu"])
+    known = F.coalesce(F.col("replicate").cast("int"), F.raise_error(F.lit("a replicate has to have a number")).cast("int"))
+    lists = F.array_sort(F.collect_list(F.struct(known.alias("k"), number("m").alias("m"), number("u").alias("u"))))
+    found = observations.groupBy("segment", "i").agg(lists.alias("r"))  # as many as replicates
+    return found.select("segment", "i", *[F.col(f"r.{c}").alias(c) for c in "kmu"])
 
 
 def sorted_blocks(observations: DataFrame) -> DataFrame:
-    """segment, i, m, u (arrays by replicate) sorted by segment and i, with the number of each row's block."""
+    """segment, i, k, m, u (arrays by replicate) sorted by segment and i, with the number of each row's block."""
     place = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)  # the range is in the high bits, the row in the low ones
     return cut(together(observations).orderBy("segment", "i").withColumn("_block", place))
 
@@ -130,13 +137,14 @@ class Block:
         self.first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))  # row where each part begins
         self.last = np.append(self.first[1:], self.n) - 1
         sizes = np.array([len(x) for x in table["m"].to_pylist()]) if len(table) else np.zeros(0, int)
-        self.m, self.u = (np.concatenate([np.asarray(x, float) for x in table[c].to_pylist()]) for c in ("m", "u"))
+        self.m, self.u, self.replicate = (np.concatenate([np.asarray(x, float) for x in table[c].to_pylist()]) for c in ("m", "u", "k"))
         self.owner = np.repeat(np.arange(self.n), sizes)
-        self.replicate = np.arange(len(self.owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.emit = np.zeros((self.n, self.states))
         if model.replicates is None:
             np.add.at(self.emit, self.owner, emissions(self.m, self.u, model.shapes))
         else:
+            if len(self.replicate) and not 0 <= self.replicate.min() <= self.replicate.max() < len(model.replicates):
+                raise ValueError(f"the model has replicates 0 to {len(model.replicates) - 1} only")
             for r, (family, shapes) in enumerate(model.replicates):
                 own = self.replicate == r
                 np.add.at(self.emit, self.owner[own], emissions(self.m[own], self.u[own], shapes, family))
@@ -242,7 +250,7 @@ def _parts(rows: DataFrame, model: Model, best: bool = False) -> DataFrame:
             paths = pa.array([x.ravel().tolist() if e else None for x, e in zip(q, edge, strict=True)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([table["segment"].combine_chunks().take(pa.array(block.first)), pa.array([table["_block"][0].as_py()] * len(q), pa.int64()), paths, pa.array(np.where(edge, np.nan, total))], names=["segment", "_block", "q", "total"])
 
-    return rows.select("segment", "i", "m", "u", "_block").mapInArrow(run, f"segment {kind}, _block bigint, q array<double>, total double")
+    return rows.select("segment", "i", "k", "m", "u", "_block").mapInArrow(run, f"segment {kind}, _block bigint, q array<double>, total double")
 
 
 def _joints(parts: DataFrame, model: Model, best: bool = False) -> DataFrame:
@@ -311,7 +319,11 @@ def _floats(x: np.ndarray) -> pa.Array:
 
 
 def decode(observations: DataFrame, model: Model, method: str = "posterior") -> DataFrame:
-    """segment, i, state and its probabilities p (an array by state): by posterior (the greatest) or viterbi."""
+    """segment, i and state of every observation: by posterior (the greatest of the probabilities p, an array by state,
+    which come with it), or by viterbi, the likeliest path of the segment.
+
+    Each method is one pass over the blocks; observations of one place are decoded each, in any order.
+    """
     rows = sorted_blocks(observations)
     kind, names = dict(rows.dtypes)["segment"], pa.array(model.names)
 
@@ -321,16 +333,14 @@ def decode(observations: DataFrame, model: Model, method: str = "posterior") ->
         p /= p.sum(axis=1, keepdims=True)
         return _columns(table, state=names.take(pa.array(_last_best(p, 1))), p=_floats(p))
 
-    found = _scan(rows, model, f"segment {kind}, i bigint, state string, p array<double>", posterior)
-    if method == "posterior":
-        return found
-
     def viterbi(table, block, before, post, last):
         v = block.forward(_pre(block, before))
         end = np.where(last >= 0, last, _last_best(v[block.last] + block.end, 1))
         return _columns(table, state=names.take(pa.array(block.path(v, end))))
 
-    return _scan(rows, model, f"segment {kind}, i bigint, state string", viterbi, best=True).join(found.drop("state"), ["segment", "i"])
+    if method == "posterior":
+        return _scan(rows, model, f"segment {kind}, i bigint, state string, p array<double>", posterior)
+    return _scan(rows, model, f"segment {kind}, i bigint, state string", viterbi, best=True)
 
 
 def log_odds(observations: DataFrame, model: Model) -> DataFrame:
@@ -437,7 +447,7 @@ def prefix_likelihood(observations: DataFrame, model: Model) -> DataFrame:
         for table in _blocks(batches):
             yield pa.RecordBatch.from_arrays([table["segment"].combine_chunks(), pa.array(table["i"].to_numpy(), pa.int64()), table["_block"].combine_chunks(), _floats(Block(table, model).emit)], names=["segment", "i", "_block", "emit"])
 
-    emit = rows.select("segment", "i", "m", "u", "_block").mapInArrow(run, f"segment {dict(rows.dtypes)['segment']}, i bigint, _block bigint, emit array<double>")
+    emit = rows.select("segment", "i", "k", "m", "u", "_block").mapInArrow(run, f"segment {dict(rows.dtypes)['segment']}, i bigint, _block bigint, emit array<double>")
     own = [F.get("emit", F.lit(k)) for k in range(len(model.names))]
     before = with_before(emit, ["segment"], "_block", [F.col("i")], **{f"_{k}": ("sum", x) for k, x in enumerate(own)})
     return before.select("segment", "i", *[(F.coalesce(F.col(f"_{k}"), F.lit(0.0)) + own[k]).alias(n) for k, n in enumerate(model.names)])

@@ -3,7 +3,8 @@
 A read is (line_no, chr, pos, seq): pos counts CpG sites, and seq has one of C, T, N for each site. A run is consecutive
 reads of one chromosome, so that a name that comes back later is another run. A window takes width sites; a read is in
 the window that begins at s if it ends after s and no read so far in its run, itself included, begins at s + width or
-later. On unsorted input late reads are so left out of some windows.
+later. On unsorted input late reads are so left out of some windows. Reads without a pos or a seq are dropped; those
+without a chr are reads of one chromosome.
 """
 
 from __future__ import annotations
@@ -15,48 +16,58 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut
 
 BLOCK_BITS = 20
+#: Window starts of a block of running sums, as a power of two.
+START_BITS = 12
 
 
 def with_runs(reads: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """Adds run_id (the line_no of the run's first read) and furthest, the greatest pos of the run so far.
+    """Adds run_id (the line_no of the run's first read), furthest, the greatest pos of the run so far, and n_cpgs, the
+    CpGs up to the end of the run's reads.
 
     A block is 2 ** block_bits line numbers. Runs are found within blocks, and a row for each block says what of the run
-    before it goes on: its run_id, and how far it has come.
+    before it goes on: its run_id, how far it has come, and how far it will. Reads without pos or seq go.
     """
-    rows = cut(reads.withColumn("_block", F.shiftright("line_no", block_bits)))
+    sound = reads.where(F.col("pos").isNotNull() & F.col("seq").isNotNull())
+    rows = cut(sound.withColumn("_block", F.shiftright("line_no", block_bits)))
     inside = W.partitionBy("_block").orderBy("line_no")
     so_far = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     new = (F.row_number().over(inside) == 1) | ~F.col("chr").eqNullSafe(F.lag("chr").over(inside))
     local = rows.withColumn("_new", F.when(new, F.col("line_no"))).withColumn("_run", F.max("_new").over(so_far)).drop("_new")
-    local = local.withColumn("_far", F.max("pos").over(W.partitionBy("_block", "_run").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    parts = local.groupBy("_block", "_run").agg(F.first("chr").alias("chr"), F.max("_far").alias("far"))
-    last = F.max_by(F.struct("chr", "far"), "_run")
-    blocks = parts.groupBy("_block").agg(F.min("_run").alias("_first"), F.min_by(F.struct("chr"), "_run").alias("_head"), F.max("_run").alias("_last"), last.alias("_tail"))
-    by = W.orderBy("_block")
+    own = W.partitionBy("_block", "_run")
+    local = local.withColumn("_far", F.max("pos").over(own.orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    local = local.withColumn("_end", F.max(F.col("pos") + F.length("seq")).over(own))
+    parts = local.groupBy("_block", "_run").agg(F.first("chr").alias("chr"), F.max("_far").alias("far"), F.first("_end").alias("end"))
+    head, tail = (f(F.struct("chr", "far", "end"), "_run") for f in (F.min_by, F.max_by))
+    blocks = parts.groupBy("_block").agg(F.min("_run").alias("_first"), head.alias("_head"), F.max("_run").alias("_last"), tail.alias("_tail"))
+    by = W.orderBy("_block")  # a row for each 2 ** block_bits reads
     joins = F.coalesce(F.col("_head.chr").eqNullSafe(F.lag("_tail").over(by)["chr"]) & (F.lag("_block").over(by).isNotNull()), F.lit(False))
     ends = cut(blocks).withColumn("_joins", joins).withColumn("_open", F.when(~F.col("_joins") | (F.col("_first") < F.col("_last")), F.col("_last")))
     ends = ends.withColumn("_open", F.last("_open", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
     far = F.max("_tail.far").over(W.partitionBy("_open").orderBy("_block").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ends = ends.withColumn("_reached", far)
-    before = ends.select("_block", F.when(F.col("_joins"), F.col("_first")).alias("_goes_on"), F.lag("_open").over(by).alias("_from"), F.lag("_reached").over(by).alias("_reached"))
+    ends = ends.withColumn("_reached", far).withColumn("_from", F.lag("_open").over(by))
+    before = ends.select("_block", F.when(F.col("_joins"), F.col("_first")).alias("_goes_on"), "_from", F.lag("_reached").over(by).alias("_reached"), F.col("_last"), F.col("_open"))
+    of_run = ends.select(F.col("_open").alias("_r"), "_tail.end").unionByName(ends.where("_joins").select(F.col("_from").alias("_r"), "_head.end")).groupBy("_r").agg(F.max("end").alias("_e"))
+    before = before.join(of_run.select(F.col("_r").alias("_open"), F.col("_e").alias("_open_end")), "_open", "left")
+    before = before.join(of_run.select(F.col("_r").alias("_from"), F.col("_e").alias("_from_end")), "_from", "left")
     goes_on = F.col("_run") == F.col("_goes_on")
-    joined = local.join(F.broadcast(before), "_block")  # a row for each 2 ** block_bits reads
+    joined = local.join(F.broadcast(before), "_block")
     return joined.select(
-        *reads.columns, F.when(goes_on, F.col("_from")).otherwise(F.col("_run")).alias("run_id"), F.when(goes_on, F.greatest("_far", "_reached")).otherwise(F.col("_far")).alias("furthest")
+        *reads.columns,
+        F.when(goes_on, F.col("_from")).otherwise(F.col("_run")).alias("run_id"),
+        F.when(goes_on, F.greatest("_far", "_reached")).otherwise(F.col("_far")).alias("furthest"),
+        F.when(goes_on, F.col("_from_end")).when(F.col("_run") == F.col("_last"), F.col("_open_end")).otherwise(F.col("_end")).alias("n_cpgs"),
     )
 
 
-def run_sizes(reads: DataFrame, width: int) -> DataFrame:
-    """run_id, chr, n_cpgs and n_starts (of windows) of each run."""
-    sizes = reads.groupBy("run_id").agg(F.first("chr").alias("chr"), F.max(F.col("pos") + F.length("seq")).alias("n_cpgs"))
-    return sizes.withColumn("n_starts", F.greatest(F.lit(1), F.col("n_cpgs") - width + 1))
+def n_starts(width: int) -> Column:
+    """How many windows a run has."""
+    return F.greatest(F.lit(1), F.col("n_cpgs") - width + 1)
 
 
 def _spans(reads: DataFrame, width: int) -> DataFrame:
     """Reads with _from and _to, the first and last window that they are in."""
-    sizes = run_sizes(reads, width).select("run_id", "n_cpgs", "n_starts")
-    last = F.least(F.col("pos") + F.length("seq"), F.col("n_starts")) - 1
-    return reads.join(sizes, "run_id").withColumn("_from", F.greatest(F.lit(0), F.col("furthest") - width + 1)).withColumn("_to", last).where(F.col("_from") <= F.col("_to"))
+    last = F.least(F.col("pos") + F.length("seq"), n_starts(width)) - 1
+    return reads.withColumn("_from", F.greatest(F.lit(0), F.col("furthest") - width + 1)).withColumn("_to", last).where(F.col("_from") <= F.col("_to"))
 
 
 def clip_start(start: Column) -> Column:
@@ -74,11 +85,45 @@ def window_reads(reads: DataFrame, width: int = 10) -> DataFrame:
     return exploded.select("run_id", "chr", "w", "line_no", clip_start(F.col("w")).alias("pos"), clip(F.col("w"), width).alias("seq"))
 
 
-def window_coverage(reads: DataFrame, width: int = 10) -> DataFrame:
-    """run_id, chr, w, n_reads and coverage (sites of clipped reads, N included) of each window with reads."""
-    exploded = _spans(reads, width).withColumn("w", F.explode_outer(F.sequence("_from", "_to")))
-    sites = F.least(F.col("pos") + F.length("seq"), F.col("w") + width) - clip_start(F.col("w"))
-    return exploded.groupBy("run_id", "chr", "w").agg(F.count(F.lit(1)).alias("n_reads"), F.sum(sites).alias("coverage"))
+def _events(width: int, bits: int) -> Column:
+    """What a read of _spans() changes at window starts w: reads by n, coverage (as a line in w) by its height a and slope d.
+
+    Within its windows a read's coverage rises by a site a window, stays, and falls; nothing changes between. Where a
+    block of 2 ** bits starts begins within them there is an event of zeros, so that each block's rows begin in it.
+    """
+    pos, end, first, last = F.col("pos"), F.col("pos") + F.length("seq"), F.col("_from"), F.col("_to")
+    flat, falls = F.least(pos, end - width), F.greatest(pos, end - width)
+    slope = F.when(first < flat, 1).when(first >= falls, -1).otherwise(0).cast("bigint")
+    height = F.least(end, first + width) - F.greatest(pos, first) - slope * first
+    bends = [(x, (first < x) & (x <= last)) for x in (flat, falls)]
+    bent = lambda value: sum((F.when(here, value(x)).otherwise(F.lit(0).cast("bigint")) for x, here in bends), F.lit(0).cast("bigint"))
+    one = lambda w, n, a, d: F.struct(w.cast("bigint").alias("w"), F.lit(n).cast("bigint").alias("n"), a.cast("bigint").alias("a"), d.cast("bigint").alias("d"))
+    minus = F.lit(-1).cast("bigint")
+    own = [one(first, 1, height, slope), *[F.when(here, one(x, 0, x, minus)) for x, here in bends]]
+    own.append(one(last + 1, -1, -(height + bent(lambda x: x)), -(slope + bent(lambda x: minus))))
+    block = lambda w: F.shiftright(w, bits)
+    zero = F.lit(0).cast("bigint")
+    crossed = F.when(block(first) < block(last), F.transform(F.sequence(block(first) + 1, block(last)), lambda b: one(F.shiftleft(b, bits), 0, zero, zero))).otherwise(F.array().cast("array<struct<w:bigint,n:bigint,a:bigint,d:bigint>>"))
+    return F.concat(F.array_compact(F.array(*own)), crossed)
+
+
+def window_coverage(reads: DataFrame, width: int = 10, bits: int = START_BITS) -> DataFrame:
+    """run_id, chr, w, n_reads and coverage (sites of clipped reads, N included) of each window with reads.
+
+    Events of equal windows are added up before the shuffle, and running sums go over blocks of window starts: the work
+    follows the reads and the windows, not their pairs, and no task gets a whole run.
+    """
+    events = _spans(reads, width).select("run_id", "chr", F.explode(_events(width, bits)).alias("e")).groupBy("run_id", "chr", F.col("e.w").alias("w")).agg(*[F.sum(f"e.{c}").alias(c) for c in "nad"])
+    events = cut(events.withColumn("_block", F.shiftright("w", bits)))
+    within = W.partitionBy("run_id", "_block").orderBy("w")
+    ahead = W.partitionBy("run_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # a row for each block
+    blocks = events.groupBy("run_id", "_block").agg(*[F.sum(c).alias(c) for c in "nad"])
+    before = blocks.select("run_id", "_block", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_{c}") for c in "nad"])
+    so_far = within.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = events.select("run_id", "chr", "w", "_block", *[F.sum(c).over(so_far).alias(c) for c in "nad"], F.coalesce(F.lead("w").over(within), F.shiftleft(F.col("_block") + 1, bits)).alias("_next"))
+    sums = rows.join(before, ["run_id", "_block"]).select("run_id", "chr", "w", "_next", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in "nad"]).where(F.col("n") > 0)
+    every = sums.withColumn("w", F.explode(F.sequence("w", F.col("_next") - 1)))
+    return every.select("run_id", "chr", "w", F.col("n").alias("n_reads"), (F.col("a") + F.col("d") * F.col("w")).alias("coverage"))
 
 
 def covered_windows(reads: DataFrame, width: int = 10, min_coverage: int = 4) -> DataFrame:
@@ -86,15 +131,27 @@ def covered_windows(reads: DataFrame, width: int = 10, min_coverage: int = 4) ->
     return window_coverage(reads, width).where(F.col("coverage") >= width * min_coverage)
 
 
-def site_counts(clipped: DataFrame) -> DataFrame:
-    """run_id, w, site, meth and total for each site of each window, from window_reads()."""
-    sites = clipped.select("run_id", "w", "pos", F.posexplode_outer(F.split("seq", "")).alias("i", "state")).where(F.col("state").isin("C", "T"))
-    return sites.groupBy("run_id", "w", (F.col("pos") + F.col("i")).alias("site")).agg(F.count_if(F.col("state") == "C").alias("meth"), F.count(F.lit(1)).alias("total"))
-
+def site_counts(reads: DataFrame, width: int = 10) -> DataFrame:
+    """run_id, chr, w, site, meth and total (reads of state C, and of C or T) for each site of each window.
 
-def single_allele_likelihood(clipped: DataFrame, pseudo: float = 1e-10) -> DataFrame:
-    """run_id, w and the log-likelihood of the one-allele model, by its closed form."""
+    A site's reads are counted once, whatever its windows; from the windows that a late read isn't in, it is taken away.
+    """
+    states = reads.select("run_id", "chr", "pos", "furthest", "n_cpgs", F.posexplode(F.split("seq", "")).alias("i", "state")).where(F.col("state").isin("C", "T"))
+    states = states.withColumn("site", F.col("pos") + F.col("i")).withColumn("meth", (F.col("state") == "C").cast("bigint"))
+    first, last = F.greatest(F.lit(0), F.col("site") - width + 1), F.least(F.col("site"), n_starts(width) - 1)
+    place = ["run_id", "chr", "site", "n_cpgs"]
+    whole = states.groupBy(*place).agg(F.sum("meth").alias("meth"), F.count(F.lit(1)).alias("total")).where(first <= last)
+    windows = whole.select("run_id", "chr", F.explode(F.sequence(first, last)).alias("w"), "site", "meth", "total")
+    begins = F.greatest(F.lit(0), F.col("furthest") - width + 1)
+    missed = F.least(last, begins - 1)
+    late = states.where((F.col("furthest") > F.col("pos")) & (first <= missed)).select("run_id", "chr", F.explode(F.sequence(first, missed)).alias("w"), "site", (-F.col("meth")).alias("meth"), F.lit(-1).cast("bigint").alias("total"))
+    both = windows.unionByName(late).groupBy("run_id", "chr", "w", "site").agg(F.sum("meth").alias("meth"), F.sum("total").alias("total"))
+    return both.where(F.col("total") > 0)
+
+
+def single_allele_likelihood(counts: DataFrame, pseudo: float = 1e-10) -> DataFrame:
+    """run_id, chr, w and the log-likelihood of the one-allele model by its closed form, from site_counts()."""
     p = (F.col("meth") + pseudo) / (F.col("total") + 2 * pseudo)
     rest = F.col("total") - F.col("meth")
     ll = F.when(F.col("meth") > 0, F.col("meth") * F.ln(p)).otherwise(0.0) + F.when(rest > 0, rest * F.ln(1 - p)).otherwise(0.0)
-    return site_counts(clipped).groupBy("run_id", "w").agg(F.sum(ll).alias("log_likelihood"))
+    return counts.groupBy("run_id", "chr", "w").agg(F.sum(ll).alias("log_likelihood"))

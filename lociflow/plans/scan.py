@@ -14,7 +14,7 @@ from ..operators.epialleles import window_fits, with_scores
 from ..operators.intervals import collapse, merge_by_gap
 from ..operators.ordered import with_before
 from ..operators.significance import adjusted, fdr_cutoff
-from ..operators.windows import run_sizes, with_runs
+from ..operators.windows import with_runs
 from ..sources.epireads import read_epireads
 from ..sources.fasta import read_fasta
 
@@ -43,8 +43,7 @@ def hits(runs: DataFrame, options: Options = Options(), scored: DataFrame | None
     scored = tested_windows(runs, options) if scored is None else scored
     cutoff = F.col("score") < options.critical
     good = scored.where(cutoff | (F.col("score") < 0) if options.bic else cutoff)
-    sizes = run_sizes(runs, options.width).select("run_id", F.col("n_cpgs").alias("run_cpgs"))
-    placed = good.join(sizes, "run_id").withColumn("short", F.col("run_cpgs") < options.width)
+    placed = good.withColumn("short", F.col("run_cpgs") < options.width)
     placed = placed.withColumn("_block", F.struct("run_id", F.floor(F.col("w") / 65536)))
     numbered = with_before(placed.withColumn("_one", F.lit(1)), [], "_block", [F.col("run_id"), F.col("w")], ordinal=("sum", F.col("_one")), _run_before=("max", F.col("run_id")))
     first = ~F.col("short") | F.col("_run_before").isNull() | (F.col("_run_before") < F.col("run_id"))

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..operators.ordered import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,15 +37,15 @@ PATTERN = "CTTNCCTCTT"
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line_no, chr, pos, seq; line_no counts the reads by chromosome and place, as a sorted file has them."""
+    """line_no, chr, pos, seq; line_no ascends by chromosome and place, as in a sorted file (a sort by ranges, with gaps between them)."""
     long = F.floor(F.col("l_quantity") / 5).cast("int") + 1
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("chr"), F.col("l_partkey").alias("pos"), F.substring(F.lit(PATTERN * 3), F.col("l_linenumber").cast("int"), long).alias("seq")
     )
-    return numbered(rows, ["chr", "pos", "seq"], "line_no").select("line_no", "chr", "pos", "seq")
+    return rows.orderBy("chr", "pos", "seq").select(F.monotonically_increasing_id().alias("line_no"), "chr", "pos", "seq")
 
 
-READS_SQL = f"reads AS (SELECT l_returnflag AS chr, l_partkey AS pos, substr('{PATTERN * 3}', l_linenumber, CAST(floor(l_quantity / 5) AS INTEGER) + 1) AS seq FROM lineitem)"
+READS_SQL = f"reads AS (SELECT l_returnflag AS chr, l_partkey AS pos, substr('{PATTERN * 3}', l_linenumber, CAST(floor(l_quantity / 5) AS INTEGER) + 1) AS seq FROM lineitem WHERE l_partkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_quantity IS NOT NULL)"
 LIMITS_SQL = "lims AS (SELECT chr, greatest(1, max(pos + length(seq)) - 9) AS lim FROM reads GROUP BY chr)"
 EXPLODED_SQL = "ex AS (SELECT chr, pos, seq, unnest(generate_series(greatest(0, pos - 9), least(pos + length(seq), lim) - 1)) AS w FROM reads JOIN lims USING (chr))"
 

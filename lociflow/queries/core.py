@@ -32,9 +32,8 @@ counts AS (SELECT chr, w, site, sum(CASE WHEN state = 'C' THEN n ELSE 0 END) AS
 SELECT chr, w, round(sum(m * ln((m + 1e-10) / (t + 2e-10)) + (t - m) * ln(1 - (m + 1e-10) / (t + 2e-10))), 4) AS log_likelihood FROM counts GROUP BY chr, w"""
 )
 def single_allele_ll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = windows.with_runs(reads(spark, sf_dir))
-    names = windows.run_sizes(runs, 10).select("run_id", "chr")
-    return windows.single_allele_likelihood(windows.window_reads(runs)).join(names, "run_id").select("chr", "w", F.round("log_likelihood", 4).alias("log_likelihood"))
+    counts = windows.site_counts(windows.with_runs(reads(spark, sf_dir)))
+    return windows.single_allele_likelihood(counts).select("chr", "w", F.round("log_likelihood", 4).alias("log_likelihood"))
 
 
 EVENT_RUNS_SQL = """WITH c AS (SELECT event_id, ts, event_type, CASE WHEN event_type = lag(event_type) OVER (ORDER BY ts) THEN 0 ELSE 1 END AS f FROM events)

@@ -297,11 +297,18 @@ def hits_in_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cpgs.to_bases(hits, sites)
 
 
-@query(f"WITH {Q_SQL}, r AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS name, doc_id % 50 AS s, doc_id % 50 + 40 + doc_id % 9 AS e FROM documents), b AS (SELECT r.*, upper(substr(seq, s + 1, e - s)) AS x FROM r JOIN q USING (name)) SELECT name AS chrom, s AS \"start\", CASE doc_id % 2 WHEN 0 THEN x ELSE reverse(translate(x, 'ACGT', 'TGCA')) END AS seq FROM b WHERE x <> ''")
+@query(
+    f"""WITH {Q_SQL}, t AS (SELECT name, seq, CAST(name AS BIGINT) AS id, unnest(generate_series(0, length(seq) // 700)) AS k FROM q),
+r AS (SELECT name AS chrom, 700 * k + id % 50 AS "start", id % 2 = 0 AS plus, substr(seq, 700 * k + id % 50 + 1, 640 + id % 9) AS seq FROM t)
+SELECT chrom, "start", CASE WHEN plus THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END AS seq FROM r WHERE seq <> ''"""
+)
 def region_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.col("doc_id") % 50
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chrom"), start.alias("start"), (start + 40 + F.col("doc_id") % 9).alias("end"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"))
-    return regions.region_sequences(rows, sequences(spark, sf_dir), 32).where(F.col("seq") != "").select("chrom", "start", "seq")
+    """Regions all along each sequence, of either strand; the last one of a sequence may begin or end beyond it."""
+    found, own = sequences(spark, sf_dir), F.col("name").cast("bigint")
+    tiles = found.select("name", own.alias("id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.length("seq") / 700))).alias("k"))
+    start = F.col("k") * 700 + F.col("id") % 50
+    rows = tiles.select(F.col("name").alias("chrom"), start.alias("start"), (start + 640 + F.col("id") % 9).alias("end"), F.when(F.col("id") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return regions.region_sequences(rows, found, 256).where(F.col("seq") != "").select("chrom", "start", "seq")
 
 
 @query(f"WITH {Q_SQL}, k AS (SELECT substr(seq, i, 4) AS kmer FROM (SELECT seq, unnest(generate_series(1, length(seq) - 3)) AS i FROM q WHERE length(seq) > 3)), b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x) SELECT a.x || b.x || c.x || d.x AS kmer, (SELECT count(*) FROM k WHERE k.kmer = a.x || b.x || c.x || d.x) AS n FROM b a, b, b c, b d")

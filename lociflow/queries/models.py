@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,26 +82,47 @@ def _islands_sql(source: str, gap: int, name: str) -> str:
 REGIONS_SQL = f"{HITS_SQL}, {_islands_sql('hit', 1, 'joined')}, {_islands_sql('joined', 4, 'merged')}"
 
 
-@query(f"WITH {clipped_sql()}, {models_sql()}, {TEST_SQL}, {REGIONS_SQL} SELECT chrom, s AS \"start\", e AS \"end\", name, round(CAST(score AS DOUBLE), 6) AS score, '+' AS strand FROM merged WHERE CAST(score AS DOUBLE) < 0.01 AND e - s >= 2")
-def allele_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: reads to regions, in CpG numbers."""
-    found = scan.regions(spark, reads(spark, sf_dir), scan.Options(gap=4, no_fdr=True))
+def _shown(found: DataFrame) -> DataFrame:
     return found.select("chrom", "start", "end", "name", F.round(F.col("score").cast("double"), 6).alias("score"), "strand")
 
 
+def regions_sql(cutoff: str, hits: str = REGIONS_SQL) -> str:
+    return f"WITH {clipped_sql()}, {models_sql()}, {TEST_SQL}, {hits} SELECT chrom, s AS \"start\", e AS \"end\", name, round(CAST(score AS DOUBLE), 6) AS score, '+' AS strand FROM merged WHERE CAST(score AS DOUBLE) < {cutoff} AND e - s >= 2"
+
+
+#: The cutoff of the false discovery rate of the hits among all tests: the least p-value after which the next is too large.
+FDR_SQL = "(SELECT coalesce(min(p), 1e308) FROM (SELECT p, row_number() OVER (ORDER BY p) AS i, lead(p) OVER (ORDER BY p) AS q FROM (SELECT CAST(score AS DOUBLE) AS p FROM hit)) WHERE q IS NULL OR q >= 0.01 * i / (SELECT count(*) FROM scored))"
+
+
+@query(regions_sql(FDR_SQL))
+def allele_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: reads to regions, in CpG numbers, with the cutoff of the false discovery rate."""
+    return _shown(scan.regions(spark, reads(spark, sf_dir), scan.Options(gap=4)))
+
+
+ADJUSTED_SQL = HITS_SQL.replace("hit AS", "raw AS") + """, hit AS MATERIALIZED (SELECT chrom, s, e, name, CAST(max(p * ((SELECT count(*) FROM scored) / k)) OVER (ORDER BY p) AS FLOAT) AS score
+FROM (SELECT *, CAST(score AS DOUBLE) AS p, CAST(count(*) OVER (ORDER BY score) AS DOUBLE) AS k FROM raw))"""
+
+
+@query(regions_sql("0.01", REGIONS_SQL.replace(HITS_SQL, ADJUSTED_SQL)))
+def allele_regions_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with adjusted p-values as scores, in place of the cutoff."""
+    return _shown(scan.regions(spark, reads(spark, sf_dir), scan.Options(gap=4, adjust=True)))
+
+
 @query(f"WITH {clipped_sql()}, {models_sql()}, {TEST_SQL} SELECT (SELECT count(*) FROM reads) AS reads, (SELECT count(DISTINCT chr) FROM reads) AS runs, count(*) AS windows_tested, CAST(sum(n_reads) AS BIGINT) AS total_cost, count(*) FILTER (WHERE score < 0.01) AS windows_accepted FROM scored")
 def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.stats(reads(spark, sf_dir))
 
 
 @query(
-    f"""WITH {clipped_sql()}, {models_sql(3)}, b AS (SELECT chr, w, max(abs(a1 - a2)) AS far, avg(a1) AS mean FROM a3 JOIN win USING (chr, w) GROUP BY chr, w),
-r AS (SELECT chr, w, sum(n * q) AS q FROM (SELECT mix.chr, mix.w, mix.n, 0.5 * exp(coalesce(sum(CASE state WHEN 'C' THEN ln(a1) ELSE ln(1 - a1) END), 0)) / exp(any_value(l)) AS q FROM mix LEFT JOIN st USING (id) LEFT JOIN a3 a ON a.chr = st.chr AND a.w = st.w AND a.site = st.site GROUP BY mix.chr, mix.w, mix.id, mix.n) GROUP BY chr, w)
+    f"""WITH {clipped_sql()}, {models_sql()}, b AS (SELECT chr, w, max(abs(a1 - a2)) AS far, avg(a1) AS mean FROM a10 JOIN win USING (chr, w) GROUP BY chr, w),
+r AS (SELECT chr, w, sum(n * q) AS q FROM (SELECT mix.chr, mix.w, mix.n, 0.5 * exp(coalesce(sum(CASE state WHEN 'C' THEN ln(a1) ELSE ln(1 - a1) END), 0)) / exp(any_value(l)) AS q FROM mix LEFT JOIN st USING (id) LEFT JOIN a10 a ON a.chr = st.chr AND a.w = st.w AND a.site = st.site GROUP BY mix.chr, mix.w, mix.id, mix.n) GROUP BY chr, w)
 SELECT chr, w, round(far, 4) AS far, round(q / n_reads, 4) AS first_share FROM b JOIN r USING (chr, w) JOIN win USING (chr, w)"""
 )
 def resolved_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far apart the two alleles of each window are after three rounds, and the share of its reads in the first."""
-    found = epialleles.window_fits(windows.with_runs(reads(spark, sf_dir)), max_rounds=3, alleles=True)
+    """How far apart the two alleles of each window are, and the share of its reads in the first."""
+    found = epialleles.window_fits(windows.with_runs(reads(spark, sf_dir)), alleles=True)
     seen = F.array_distinct(F.flatten(F.transform("reads", lambda r: F.filter(F.transform(F.split(r["seq"], ""), lambda c, i: F.when(c.isin("C", "T"), r["pos"] + i - F.col("site"))), lambda x: x.isNotNull()))))
     apart = F.array_max(F.transform(seen, lambda i: F.abs(F.get("first", i.cast("int")) - F.get("second", i.cast("int")))))
     share = F.aggregate("reads", F.lit(0.0), lambda a, r: a + r["copies"] * r["share"]) / F.col("n_reads")
@@ -169,7 +192,7 @@ def _log_sum(terms: list[str]) -> str:
     return f"({top} + ln({' + '.join(f'exp({t} - {top})' for t in terms)}))"
 
 
-def forward_sql(model: hmm.Model) -> str:
+def forward_sql(model: hmm.Model, observed: str | None = None) -> str:
     """fb: the observations with forward (f0, ...) and backward (b0, ...) values and the total of each segment."""
     n, t = range(len(model.names)), model.transitions
     stop = model.end or (1.0,) * len(model.names)
@@ -178,7 +201,7 @@ def forward_sql(model: hmm.Model) -> str:
     back = ", ".join(_log_sum([f"ln({t[i][j]!r}) + b.b{j} + b.e{j}" for j in n]) for i in n)
     ends = ", ".join(f"ln({stop[j]!r}) AS b{j}" for j in n)
     own = ", ".join(f"ob.e{j}" for j in n)
-    return f"""{emissions_sql(model)},
+    return f"""{observed or emissions_sql(model)},
 f AS (SELECT segment, r, {start} FROM ob WHERE r = 1 UNION ALL SELECT ob.segment, ob.r, {step} FROM f JOIN ob ON ob.segment = f.segment AND ob.r = f.r + 1),
 b AS (SELECT segment, r, {', '.join(f'e{j}' for j in n)}, {ends} FROM ob WHERE r = last UNION ALL SELECT ob.segment, ob.r, {own}, {back} FROM b JOIN ob ON ob.segment = b.segment AND ob.r = b.r - 1),
 tot AS (SELECT segment, {_log_sum([f'f{j} + b{j}' for j in n])} AS total FROM f JOIN b USING (segment, r) WHERE r = 1),
@@ -230,6 +253,40 @@ def hmm_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.decode(observations(spark, sf_dir), TWO, "viterbi").select("segment", "i", "state")
 
 
+#: A replicate of counts, one of shares and another of counts, each with shapes of its own.
+REPLICATES = replace(TWO, replicates=(("betabin", ((0.8, 2.0), (2.0, 0.8))), ("beta", ((1.2, 3.0), (2.5, 1.1))), ("betabin", ((0.5, 4.0), (3.0, 0.7)))))
+
+
+def replicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user and an hour of the day as replicates of a place, of which any may be missing or come again."""
+    m = F.floor(F.col("value") / 50) % 10
+    share = F.col("replicate") == 1
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("segment"), F.hour("ts").cast("bigint").alias("i"), (F.col("event_id") % 3).alias("replicate"), m.cast("double").alias("m"))
+    return rows.select("segment", "i", "replicate", F.when(share, F.col("m") + 0.5).otherwise(F.col("m")).alias("m"), F.when(share, 10.0).otherwise(10 - F.col("m")).alias("u"))
+
+
+def replicates_sql(model: hmm.Model) -> str:
+    """ob as of emissions_sql(), from the events of replicated()."""
+    each = []
+    for k in range(len(model.names)):
+        terms = []
+        for r, (family, shapes) in enumerate(model.replicates):
+            a, b = shapes[k]
+            norm = f"(lgamma({a!r}) + lgamma({b!r}) - lgamma({a + b!r}))"
+            counts = f"lgamma(11) - lgamma(m + 1) - lgamma(11 - m) + lgamma({a!r} + m) + lgamma({b!r} + 10 - m) - lgamma({a + b!r} + 10) - {norm}"
+            shares = f"({a!r} - 1) * ln((m + 0.5) / 10) + ({b!r} - 1) * ln(1 - (m + 0.5) / 10) - {norm}"
+            terms.append(f"WHEN {r} THEN {shares if family == 'beta' else counts}")
+        each.append(f"sum(CASE replicate {' '.join(terms)} END) AS e{k}")
+    return f"""ob AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY i) AS r, count(*) OVER (PARTITION BY segment) AS last
+FROM (SELECT segment, i, {', '.join(each)} FROM (SELECT user_id AS segment, hour(ts) AS i, event_id % 3 AS replicate, CAST(floor(value / 50) % 10 AS DOUBLE) AS m FROM events) GROUP BY segment, i))"""
+
+
+@query(f"WITH RECURSIVE {forward_sql(TWO, replicates_sql(REPLICATES))} SELECT segment, i, CASE WHEN f0 + b0 > f1 + b1 THEN 'foreground' ELSE 'background' END AS state, round(exp(f0 + b0 - total) / (exp(f0 + b0 - total) + exp(f1 + b1 - total)), 6) AS p FROM fb")
+def hmm_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicates with families and shapes of their own, any of them missing at a place."""
+    return hmm.decode(replicated(spark, sf_dir), REPLICATES).select("segment", "i", "state", F.round(F.get("p", F.lit(0)), 6).alias("p"))
+
+
 @query()
 def hmm_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, history = hmm.train(observations(spark, sf_dir), TWO)

@@ -2,9 +2,11 @@
 
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from lociflow.functions import dna, quality, sam, text
@@ -70,6 +72,38 @@ def all_paths(m, u, model):
     return emit, {p: math.log(model.start[p[0]]) + sum(math.log(model.transitions[a][b]) for a, b in zip(p, p[1:])) + math.log(end[p[-1]]) + sum(emit[i, s] for i, s in enumerate(p)) for p in itertools.product(range(n), repeat=len(m))}
 
 
+@pytest.mark.parametrize("gone", [0, 1, 2])
+def test_a_missing_replicate_is_not_another(spark, gone):
+    """Each replicate keeps its family and shapes, whichever of them has no row at a place."""
+    shapes = (((0.8, 2.0), (2.0, 0.8)), ((1.2, 3.0), (2.5, 1.1)), ((0.5, 4.0), (3.0, 0.7)))
+    families = ("betabin", "beta", "betabin")
+    model = replace(hmm.two_states(0.1, 0.2, *shapes[0]), replicates=tuple(zip(families, shapes)))
+    counts = {0: (3.0, 4.0), 1: (2.0, 9.0), 2: (6.0, 1.0)}
+    rows = [("s", 0, r, *counts[r]) for r in counts if r != gone] + [("s", 1, 1, *counts[1]), ("s", 1, 1, 5.0, 9.0), (None, 0, gone, *counts[gone])]
+    df = spark.createDataFrame(rows, "segment string, i bigint, replicate bigint, m double, u double")
+    got = {(r.segment, r.i): (r.foreground, r.background) for r in hmm.prefix_likelihood(df, model).collect()}
+    one = lambda r, m, u: hmm.emissions(np.array([m]), np.array([u]), shapes[r], families[r])[0]
+    first = sum(one(r, *counts[r]) for r in counts if r != gone)
+    assert got["s", 0] == pytest.approx(tuple(first)) and got[None, 0] == pytest.approx(tuple(one(gone, *counts[gone])))
+    assert got["s", 1] == pytest.approx(tuple(first + one(1, *counts[1]) + one(1, 5.0, 9.0)))
+    with pytest.raises(PythonException, match="replicates 0 to 2"):
+        hmm.prefix_likelihood(df.withColumn("replicate", F.col("replicate") + 3), model).collect()
+
+
+@pytest.mark.parametrize("bits", [1, 12])
+def test_viterbi_keeps_null_segments_and_repeated_places(spark, monkeypatch, bits):
+    monkeypatch.setattr(hmm, "BLOCK_BITS", bits)
+    model = hmm.two_states(0.2, 0.3, (0.8, 2.0), (2.0, 0.8))
+    rows = [(s, i, float(m), float(10 - m)) for s in (None, "a") for i, m in ((0, 9), (1, 8), (1, 8), (2, 0), (3, 1), (3, 1), (4, 9))]
+    df = spark.createDataFrame(rows, "segment string, i bigint, m double, u double")
+    got = hmm.decode(df, model, "viterbi").collect()
+    whole = all_paths(np.array([r[2] for r in rows[:7]]), np.array([r[3] for r in rows[:7]]), model)[1]
+    best = sorted(zip([r[1] for r in rows[:7]], [model.names[k] for k in max(whole, key=whole.get)]))
+    for s in (None, "a"):
+        assert sorted((r.i, r.state) for r in got if r.segment == s) == best
+        assert hmm.decode(df, model).where(F.col("segment").eqNullSafe(F.lit(s))).count() == 7
+
+
 @pytest.mark.parametrize("end", [None, 0.05])
 @pytest.mark.parametrize("bits", [1, 2, 12])
 def test_hmm_against_all_paths(spark, monkeypatch, bits, end):

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -159,10 +160,43 @@ def test_a_window_of_very_many_equal_reads():
 
 
 def test_single_allele_of_equal_reads(spark):
-    df = spark.createDataFrame([(1, 0, 0, "CC")], "run_id bigint, w bigint, pos bigint, seq string").select("*", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("line_no"))
-    counts = windows.site_counts(df).withColumn("meth", F.lit(10_000_000)).withColumn("total", F.lit(10_000_000))
-    assert counts.count() == 2
-    assert windows.single_allele_likelihood(df).first().log_likelihood == pytest.approx(0, abs=1e-6)
+    df = spark.createDataFrame([(1, "c", 0, 0, 2, "CC")], "run_id bigint, chr string, pos bigint, furthest bigint, n_cpgs bigint, seq string").select("*", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("line_no"))
+    counts = windows.site_counts(df)
+    assert sorted(tuple(r) for r in counts.collect()) == [(1, "c", 0, 0, 5, 5), (1, "c", 0, 1, 5, 5)]
+    many = counts.withColumn("meth", F.lit(10_000_000)).withColumn("total", F.lit(10_000_000))
+    assert windows.single_allele_likelihood(many).first().log_likelihood == pytest.approx(0, abs=1e-6)
+
+
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_coverage_and_site_counts(spark, runs, bits):
+    """By events over blocks of a few starts as by the reads of each window; late reads are left out of some."""
+    cover, counts = {}, {}
+    for run in plain_runs(made_reads()):
+        for w, inside in plain_windows(run, 10):
+            cover[run[0][0], w] = (len(inside), sum(len(s) for _, s in inside))
+            for p, s in inside:
+                for j, c in enumerate(s):
+                    if c in "CT":
+                        m, t = counts.get((run[0][0], w, p + j), (0, 0))
+                        counts[run[0][0], w, p + j] = (m + (c == "C"), t + 1)
+    assert {(r.run_id, r.w): (r.n_reads, r.coverage) for r in windows.window_coverage(runs, 10, bits).collect()} == cover
+    assert {(r.run_id, r.w, r.site): (r.meth, r.total) for r in windows.site_counts(runs, 10).collect()} == counts
+
+
+def test_reads_without_place_or_states_go(spark):
+    rows = [(0, "a", None, "CC"), (1, "a", 3, None), (2, "a", 0, "CTCT"), (3, None, 5, "CC"), (4, None, 6, "T"), (5, "a", 1, "")]
+    df = windows.with_runs(spark.createDataFrame(rows, "line_no bigint, chr string, pos bigint, seq string"))
+    assert sorted((r.line_no, r.run_id, r.furthest, r.n_cpgs) for r in df.collect()) == [(2, 2, 0, 4), (3, 3, 5, 7), (4, 3, 6, 7), (5, 5, 1, 1)]
+    assert [(r.chr, r.w, r.n_reads, r.coverage) for r in windows.window_coverage(df).where("run_id = 2").collect()] == [("a", 0, 1, 4)]
+
+
+def test_no_task_gets_a_whole_run(spark):
+    """No exchange of reads, events or windows is by run_id alone; the one of window_coverage() has a row for each block of starts."""
+    found = windows.with_runs(spark.createDataFrame(made_reads(), "line_no bigint, chr string, pos bigint, seq string"))
+    plans = [(windows.window_coverage(found), 1), (windows.single_allele_likelihood(windows.site_counts(found)), 0), (epialleles.window_fits(found), 0), (windows.window_reads(found), 0)]
+    for plan, allowed in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert len(set(re.findall(r"hashpartitioning\(run_id#\d+L?, \d+\), [^\n]*", text))) <= allowed, text
 
 
 def test_deep_windows_are_taken_apart(spark, runs, monkeypatch):
@@ -188,6 +222,8 @@ def test_runs_over_blocks(spark):
         want[n] = (run, far)
     for bits in (0, 1, 3, 20):
         assert {r.line_no: (r.run_id, r.furthest) for r in windows.with_runs(df, bits).collect()} == want
+        ends = {run[0][0]: max(p + len(x) for _, _, p, x in run) for run in plain_runs(rows)}
+        assert {r.run_id: r.n_cpgs for r in windows.with_runs(df, bits).collect()} == ends
 
 
 def test_numbered(spark):
