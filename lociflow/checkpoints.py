@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the session's shared checkpoint folder and goes on from the files; Spark removes them if told to by
-    spark.cleaner.referenceTracking.cleanCheckpoints. On a local master without that folder, one of its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: that of spark.checkpoint.dir, or on a local master without it one of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not (context.master.startswith("local[") or context.master == "local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or f"/tmp/lociflow-checkpoint-{uuid.uuid4().hex}")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the session's shared checkpoint folder and goes on from the files; Spark removes them if told to by
+    spark.cleaner.referenceTracking.cleanCheckpoints."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna, quality, sam, text
 from ..operators import cpgs, distributions, intervals, levels
-from ..sources import fasta, regions
+from ..checkpoints import shared_folder
+from ..sources import bam, fasta, regions
 from .base import L_SQL, Q_SQL, line_regions, query, sequences, table
 
 LETTERS_SQL = "t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS s FROM documents)"
@@ -74,6 +77,16 @@ def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.parse_sam(lines.unionByName(spark.range(1).select(F.lit("@HD\tVN:1.0").alias("value")))).withColumn("tags", F.array_join("tags", ","))
 
 
+@query(f"WITH {ALIGNED_SQL} SELECT qname, flags, rname, pos, CAST(mapq AS SMALLINT) AS mapq, cigar, rnext, pnext, tlen, seq, qual, tag || ',XX:Z:a b' AS tags FROM a")
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments written as BAM files below the checkpoint folder and read again in many splits."""
+    rows = alignments(spark, sf_dir)
+    names = rows.select("rname").distinct().orderBy("rname").collect()  # the references, as in any header
+    folder = f"{shared_folder(spark)}/bam-{uuid.uuid4().hex}"
+    bam.write_bam(rows.withColumn("mapq", F.col("mapq").cast("smallint")), folder, "@HD\tVN:1.6\n" + "\n".join(f"@SQ\tSN:{r.rname}\tLN:{1 << 29}" for r in names))
+    return bam.read_bam(spark, folder, 1 << 20).withColumn("tags", F.array_join("tags", ","))
+
+
 @query("SELECT unnest(['@HD' || chr(9) || 'VN:1.0', '@PG' || chr(9) || 'ID:scan' || chr(9) || 'CL:scan -w 10']) AS value UNION ALL SELECT '@SQ' || chr(9) || 'SN:' || n_name || chr(9) || 'LN:' || n_nationkey FROM nation")
 def sam_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.sam_header(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("n")), "scan", "scan -w 10")
