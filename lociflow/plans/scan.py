@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import cut
@@ -16,7 +18,7 @@ from ..operators.ordered import with_before
 from ..operators.significance import adjusted, fdr_cutoff
 from ..operators.windows import with_runs
 from ..sources.epireads import read_epireads
-from ..sources.fasta import read_fasta
+from ..sources.fasta import bases_of_files, read_fasta
 
 
 @dataclass(frozen=True)
@@ -38,9 +40,8 @@ def tested_windows(runs: DataFrame, options: Options = Options()) -> DataFrame:
     return with_scores(window_fits(runs, options.width, int(options.min_coverage), options.max_rounds), options.bic)
 
 
-def hits(runs: DataFrame, options: Options = Options(), scored: DataFrame | None = None) -> DataFrame:
-    """chrom, start, end (CpG numbers, both inclusive), name and score (float) of each significant window."""
-    scored = tested_windows(runs, options) if scored is None else scored
+def hits(scored: DataFrame, options: Options = Options()) -> DataFrame:
+    """chrom, start, end (CpG numbers, both inclusive), name and score (float) of each significant one of tested_windows()."""
     cutoff = F.col("score") < options.critical
     good = scored.where(cutoff | (F.col("score") < 0) if options.bic else cutoff)
     placed = good.withColumn("short", F.col("run_cpgs") < options.width)
@@ -52,14 +53,30 @@ def hits(runs: DataFrame, options: Options = Options(), scored: DataFrame | None
     return numbered.where(first).select("run_id", F.col("chr").alias("chrom"), F.col("w").alias("start"), end.alias("end"), name.alias("name"), F.col("score").cast("float").alias("score"))
 
 
-def regions(spark: SparkSession, reads: DataFrame, options: Options = Options(), sequences: DataFrame | None = None) -> DataFrame:
-    """chrom, start, end, name, score, strand of the regions; in CpG numbers without sequences, else in bases."""
-    runs = cut(with_runs(reads))
-    scored = cut(tested_windows(runs, options))
-    found = cut(hits(runs, options, scored))
+#: Counters of a scan, which its own jobs give.
+COUNTERS = ("reads", "runs", "windows_tested", "total_cost", "windows_accepted")
+
+
+def counted_runs(reads: DataFrame) -> tuple[DataFrame, dict]:
+    """Reads with their runs, written, and how many there are."""
+    seen = Observation()
+    runs = cut(with_runs(reads).observe(seen, F.count(F.lit(1)).alias("reads"), F.count_if(F.col("line_no") == F.col("run_id")).alias("runs")))
+    return runs, seen.get
+
+
+def counted_windows(runs: DataFrame, options: Options) -> tuple[DataFrame, dict]:
+    """Tested windows, written, how many there are, how many reads they have in all, and how many are hits."""
+    seen = Observation()
+    cost = F.coalesce(F.sum("n_reads"), F.lit(0)).alias("total_cost")
+    accepted = F.count_if(F.col("score") < options.critical).alias("windows_accepted")
+    return cut(tested_windows(runs, options).observe(seen, F.count(F.lit(1)).alias("windows_tested"), cost, accepted)), seen.get
+
+
+def joined_regions(scored: DataFrame, tests: int, options: Options = Options(), to_base: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Regions of scored windows (tested_windows()), of which there are tests; to_base turns hits in CpG numbers to bases."""
+    found = cut(hits(scored, options))
     cutoff = options.critical
     if not options.bic:
-        tests = scored.count()
         doubled = found.withColumn("p", F.col("score").cast("double"))
         if not (options.no_fdr or options.adjust):
             cutoff = fdr_cutoff(doubled, "p", tests, options.critical)
@@ -67,22 +84,31 @@ def regions(spark: SparkSession, reads: DataFrame, options: Options = Options(),
             found = adjusted(doubled, "p", tests).withColumn("score", F.col("adjusted").cast("float")).drop("p", "adjusted")
     by_run = found.withColumn("_chrom", F.col("chrom")).withColumn("chrom", F.concat_ws("\t", "run_id", "chrom"))
     joined = collapse(by_run, ("name", "_chrom")).withColumn("chrom", F.col("_chrom")).drop("_chrom")
-    if sequences is not None:
-        joined = to_bases(joined, cpg_sites(sequences))
-    merged = merge_by_gap(joined, options.gap)
+    merged = merge_by_gap(to_base(joined) if to_base else joined, options.gap)
     if not options.bic:
         merged = merged.where(F.col("score").cast("double") < cutoff)
     wide = merged.where(F.greatest(F.col("end") - F.col("start"), F.lit(0)) >= options.gap // 2)
     return wide.select("chrom", "start", "end", "name", "score", F.lit("+").alias("strand"))
 
 
+def scanned(reads: DataFrame, options: Options = Options(), to_base: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """The regions (chrom, start, end, name, score, strand), and the scan's counters (COUNTERS) from the jobs that made them."""
+    runs, counters = counted_runs(reads)
+    scored, more = counted_windows(runs, options)
+    counters = {k: int((counters | more)[k]) for k in COUNTERS}
+    return joined_regions(scored, counters["windows_tested"], options, to_base), counters
+
+
+def regions(spark: SparkSession, reads: DataFrame, options: Options = Options(), sequences: DataFrame | None = None) -> DataFrame:
+    """chrom, start, end, name, score, strand of the regions; in CpG numbers without sequences, else in bases."""
+    return scanned(reads, options, None if sequences is None else lambda found: to_bases(found, cpg_sites(sequences)))[0]
+
+
 def stats(reads: DataFrame, options: Options = Options()) -> DataFrame:
-    """One row of counters: reads, runs, windows with coverage, hits."""
-    runs = cut(with_runs(reads))
-    scored = tested_windows(runs, options)
-    tested = scored.agg(F.count(F.lit(1)).alias("windows_tested"), F.coalesce(F.sum("n_reads"), F.lit(0)).alias("total_cost"), F.count_if(F.col("score") < options.critical).alias("windows_accepted"))
-    whole = runs.agg(F.count(F.lit(1)).alias("reads"), F.countDistinct("run_id").alias("runs"))
-    return tested.join(whole)  # one row each
+    """One row of counters: reads, runs, windows tested, the reads in them, hits."""
+    runs, counters = counted_runs(reads)
+    counters |= counted_windows(runs, options)[1]
+    return reads.sparkSession.createDataFrame([tuple(int(counters[k]) for k in COUNTERS)], ", ".join(f"{k} bigint" for k in COUNTERS))
 
 
 def score_text(score) -> object:
@@ -99,9 +125,9 @@ def score_text(score) -> object:
 
 
 def write_regions(found: DataFrame, path: str) -> None:
-    """One text file, regions in the order of chrom and start."""
+    """Text files whose names' order is that of chrom and start: a sort by ranges, each of which writes its own file."""
     line = F.concat_ws("\t", "chrom", "start", "end", "name", score_text(F.col("score")), "strand")
-    found.orderBy("chrom", "start", "end").select(line.alias("value")).coalesce(1).write.text(path)
+    found.orderBy("chrom", "start", "end").select(line.alias("value")).write.text(path)
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -112,13 +138,21 @@ def main(arguments: list[str] | None = None) -> None:
     defaults = Options()
     for flag, name in (("-i", "max_rounds"), ("-w", "width"), ("-m", "min_coverage"), ("-g", "gap"), ("-C", "critical")):
         parser.add_argument(flag, f"--{name}", type=type(getattr(defaults, name)), default=getattr(defaults, name))
-    for flag, name in (("-f", "no_fdr"), ("-a", "adjust"), ("-b", "bic")):
+    for flag, name in (("-f", "no_fdr"), ("-j", "adjust"), ("-b", "bic"), ("-a", "assume")):
         parser.add_argument(flag, f"--{name}", action="store_true")
+    parser.add_argument("-s", "--suffix", default=".fa", help="of chromosome files, for -a")
     got = vars(parser.parse_args(arguments))
+    if got["assume"] and not got["chrom"]:
+        parser.error("-a needs the folder of chromosome files (-c)")
     spark = SparkSession.builder.getOrCreate()
-    sequences = read_fasta(spark, got["chrom"]) if got["chrom"] else None
-    options = Options(**{k: got[k] for k in Options.__dataclass_fields__})
-    write_regions(regions(spark, read_epireads(spark, got["reads"]), options, sequences), got["output"])
+    to_base = None
+    if got["assume"]:
+        to_base = lambda found: bases_of_files(found, got["chrom"], got["suffix"])
+    elif got["chrom"]:
+        to_base = lambda found: to_bases(found, cpg_sites(read_fasta(spark, got["chrom"])))
+    found, counters = scanned(read_epireads(spark, got["reads"]), Options(**{k: got[k] for k in Options.__dataclass_fields__}), to_base)
+    write_regions(found, got["output"])
+    print(*[f"{k}: {v}" for k, v in counters.items()], sep="\n", file=sys.stderr)
 
 
 if __name__ == "__main__":

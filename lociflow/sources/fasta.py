@@ -45,6 +45,22 @@ def read_chromosomes(spark: SparkSession, catalogue: DataFrame, names: list[str]
     return read_fasta(spark, sorted(set(found.values()))).where(F.col("name").isin(*names))
 
 
+def read_assumed(spark: SparkSession, folder: str, names: list[str], suffix: str = ".fa") -> DataFrame:
+    """The sequences of some names, each from the file of the folder that is called by it; no other file is opened, and a
+    name without a file fails."""
+    if not names:
+        return spark.createDataFrame([], "name string, seq string")
+    return read_fasta(spark, [f"{folder.removesuffix('/')}/{n}{suffix}" for n in sorted(names)]).where(F.col("name").isin(*names))
+
+
+def bases_of_files(hits: DataFrame, folder: str, suffix: str = ".fa") -> DataFrame:
+    """Hits in CpG numbers as bases, with the files of their chromosomes alone."""
+    from ..operators.cpgs import cpg_sites, to_bases
+
+    names = [r.chrom for r in hits.select("chrom").distinct().collect()]  # chromosomes
+    return to_bases(hits, cpg_sites(read_assumed(hits.sparkSession, folder, names, suffix)))
+
+
 def file_names(spark: SparkSession, path: str) -> list[str]:
     """The names in a file of file names, one in a line."""
     return [r.value.strip() for r in spark.read.text(path).collect() if r.value.strip()]
