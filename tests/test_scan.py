@@ -1,10 +1,14 @@
 """Windows, models and tests against plain versions of them."""
 
+import itertools
 import math
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,16 +336,54 @@ def test_chromosome_files_by_name(spark, tmp_path):
         fasta.bases_of_files(hit, str(tmp_path)).collect()
 
 
-def test_streams(spark, tmp_path):
+def put(rows, folder, sizes):
+    """Rows as Parquet files of these sizes, one after another in time."""
+    folder.mkdir(exist_ok=True)
+    n, at = len(list(folder.iterdir())), 0
+    for i, size in enumerate(sizes):
+        part = rows[at : at + size]
+        at += size
+        name = folder / f"{n + i:04d}.parquet"
+        kind = pa.schema([("line_no", pa.int64()), ("chr", pa.string()), ("pos", pa.int64()), ("seq", pa.string()), ("sample", pa.string())])
+        pq.write_table(pa.Table.from_pylist([dict(zip(kind.names, r)) for r in part], schema=kind), name)
+        os.utime(name, (1_700_000_000 + n + i,) * 2)
+
+
+@pytest.mark.parametrize("sizes", [[10_000], [7, 1, 50, 300, 10_000], [200] * 5])
+def test_streams_give_the_same_regions_however_reads_are_cut(spark, tmp_path, sizes):
+    """Two samples in turns, runs over files, and a query that is started again in the middle."""
+    rows = [(*r, "s") for r in scan_reads()] + [(10**6, None, None, None, "s")]
+    other = [(*r, "t") for r in made_reads()] + [(10**6, None, None, None, "t")]
+    rows = [x for pair in itertools.zip_longest(rows, other) for x in pair if x]
+    options = scan.Options(gap=4)
+    folder, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    done = 0
+    for part in (sizes[: len(sizes) // 2], sizes[len(sizes) // 2 :]):
+        if not part:
+            continue
+        put(rows[done:], folder, part)
+        done += sum(part)
+        streams.scan_stream(streams.read_stream(spark, str(folder), 2), out, check, options).awaitTermination(240)
+    for name, own in (("s", scan_reads()), ("t", made_reads())):
+        df = spark.createDataFrame(own, "line_no bigint, chr string, pos bigint, seq string")
+        want = sorted(tuple(r) for r in scan.regions(spark, df, options).collect())
+        assert sorted(tuple(r) for r in streams.regions_so_far(spark, out, name, options).collect()) == want
+        assert want or name == "t"
+
+
+def test_the_state_of_a_stream_is_bounded():
+    """A run of any length holds the reads of a window's width alone."""
+    run, most, told, options = streams.Run(0, "c"), 0, 0, scan.Options()
+    for i in range(20_000):
+        run.add(i, i // 10, "CT" * 6, options.width)
+        told += sum(len(x) for x in run.closed(options, False)) if i % 100 == 0 else 0
+        most = max(most, len(run.reads))
+    assert most <= (12 + options.width + 10) * 10 and told > 1900
+
+
+def test_coverage_by_time(spark, tmp_path):
     rows = [(i, "c", i // 3, ("C" if i % 2 else "T") * 12) for i in range(40)]
-    df = spark.createDataFrame(rows, "line_no bigint, chr string, pos bigint, seq string")
-    df.write.parquet(str(tmp_path / "in"))
-    options = scan.Options(gap=4, no_fdr=True)
-    streams.scan_stream(streams.read_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), options).awaitTermination(120)
-    want = sorted(tuple(r) for r in scan.regions(spark, df, options).collect())
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(tuple(r) for r in got.select("chrom", "start", "end", "name", "score", "strand").collect()) == want and want
-    timed = df.withColumn("ts", F.timestamp_seconds(F.col("line_no") * 60))
+    timed = spark.createDataFrame(rows, "line_no bigint, chr string, pos bigint, seq string").withColumn("ts", F.timestamp_seconds(F.col("line_no") * 60))
     timed.write.parquet(str(tmp_path / "timed"))
     told = streams.coverage_stream(streams.timed_stream(spark, str(tmp_path / "timed"))).writeStream.format("memory").queryName("told").outputMode("complete").trigger(availableNow=True).start()
     told.awaitTermination(120)
