@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dna, quality, sam, text
+from ..functions import dna, quality, sam, sql, text
 from ..operators import cpgs, distributions, intervals, levels
 from ..checkpoints import shared_folder
-from ..sources import bam, fasta, regions
+from ..sources import bam, fasta, indexed_fasta, regions
 from .base import L_SQL, Q_SQL, line_regions, query, sequences, table
 
 LETTERS_SQL = "t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS s FROM documents)"
@@ -77,6 +77,28 @@ def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.parse_sam(lines.unionByName(spark.range(1).select(F.lit("@HD\tVN:1.0").alias("value")))).withColumn("tags", F.array_join("tags", ","))
 
 
+@query(
+    f"""WITH {Q_SQL}, p AS (SELECT name, seq, unnest(generate_series(1, length(seq) - 1)) AS i FROM q WHERE length(seq) > 1)
+SELECT name AS chrom, row_number() OVER (PARTITION BY name ORDER BY i) - 1 AS ordinal, i - 1 AS position, name || ':' || (i - 1) || '-' || (i + 1) AS place FROM p WHERE substr(seq, i, 2) = 'CG'"""
+)
+def cpgs_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function of CpG sites, and a function, in SQL text."""
+    sql.register(spark)
+    return spark.sql("SELECT name AS chrom, ordinal, position, region_text(name, position, position + 2) AS place FROM {q} AS q, LATERAL cpgs(q.seq)", q=sequences(spark, sf_dir))
+
+
+@query(
+    f"""WITH {ALIGNED_SQL} SELECT qname, (flags & 16) <> 0 AS reverse, flags | 1024 AS marked, flags & ~4 AS mapped, mapq AS bases, '7S' || cigar AS "reversed", repeat('M', mapq) || 'SSSSSSS' AS letters, mapq + 7 AS query, round(ln(0.2) + tlen * ln(0.8), 6) AS geometric,
+round(lgamma(pos), 4) AS log_gamma FROM a"""
+)
+def alignments_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of flags, CIGARs and distributions in SQL text."""
+    sql.register(spark)
+    text = """SELECT qname, has_flag(flags, 'reverse') AS reverse, set_flag(flags, 'duplicate') AS marked, unset_flag(flags, 'unmapped') AS mapped, cigar_reference_length(c) AS bases, cigar_reverse(c) AS reversed,
+    cigar_letters(c) AS letters, cigar_query_length(c) AS query, round(geometric_log_likelihood(tlen, 0.2), 6) AS geometric, round(lgamma(CAST(pos AS DOUBLE)), 4) AS log_gamma FROM (SELECT *, concat(cigar, '7S') AS c FROM {a})"""
+    return spark.sql(text, a=alignments(spark, sf_dir))
+
+
 @query(f"WITH {ALIGNED_SQL} SELECT qname, flags, rname, pos, CAST(mapq AS SMALLINT) AS mapq, cigar, rnext, pnext, tlen, seq, qual, tag || ',XX:Z:a b' AS tags FROM a")
 def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments written as BAM files below the checkpoint folder and read again in many splits."""
@@ -310,6 +332,20 @@ def hits_in_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cpgs.to_bases(hits, sites)
 
 
+@query(
+    f"""WITH {Q_SQL}, t AS (SELECT name, seq, unnest(generate_series(0, length(seq) // 900)) AS k FROM q)
+SELECT name AS chrom, 900 * k AS "start", substr(seq, 900 * k + 1, 333) AS seq FROM t"""
+)
+def fasta_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of each sequence, read from FASTA files below the checkpoint folder by an index of their offsets."""
+    found = sequences(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    fasta.write_fasta(found, folder)
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.length("seq") / 900)))
+    rows = found.select(F.col("name").alias("chrom"), starts.alias("k")).select("chrom", (F.col("k") * 900).alias("start"), (F.col("k") * 900 + 333).alias("end"))
+    return indexed_fasta.regions_of_index(rows, indexed_fasta.fasta_index(spark, folder)).select("chrom", "start", "seq")
+
+
 @query(
     f"""WITH {Q_SQL}, t AS (SELECT name, seq, CAST(name AS BIGINT) AS id, unnest(generate_series(0, length(seq) // 700)) AS k FROM q),
 r AS (SELECT name AS chrom, 700 * k + id % 50 AS "start", id % 2 = 0 AS plus, substr(seq, 700 * k + id % 50 + 1, 640 + id % 9) AS seq FROM t)

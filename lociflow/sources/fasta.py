@@ -66,10 +66,6 @@ def file_names(spark: SparkSession, path: str) -> list[str]:
     return [r.value.strip() for r in spark.read.text(path).collect() if r.value.strip()]
 
 
-def read_fasta_target(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return read_fasta(spark, path).where(F.col("name") == name)
-
-
 def parse_fastq(lines: DataFrame) -> DataFrame:
     """name, seq and qual of four-line records; line_no must be gapless from 0, and may be numbered by file.
 

@@ -56,8 +56,19 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return parse_sites(spark.read.text(path))
 
 
+#: Rows of a row group of a table of sites.
+GROUP_ROWS = 100_000
+
+
+def write_site_table(sites: DataFrame, path: str, group_rows: int = GROUP_ROWS) -> None:
+    """Parquet files by ranges of chromosome and position, sorted, with row groups of bounded rows whose least and greatest
+    values let sites_between() pass over them."""
+    ordered = sites.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+    ordered.write.option("parquet.block.row.count.limit", str(group_rows)).option("parquet.page.row.count.limit", str(max(100, group_rows // 5))).parquet(path)
+
+
 def sites_between(sites: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
-    """The sites of a stretch; on Parquet or a table ordered by chrom and pos, only its part is read."""
+    """The sites of a stretch; of a table of write_site_table() only the row groups that it meets are read."""
     return sites.where((F.col("chrom") == chrom) & F.col("pos").between(start, end - 1))
 
 

@@ -2,16 +2,18 @@
 
 import itertools
 import math
+import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from lociflow.functions import dna, quality, sam, text
-from lociflow.operators import cpgs, distributions, hmm, intervals, levels
-from lociflow.sources import epireads, fasta, regions
+from lociflow.operators import cpgs, distributions, hmm, intervals, levels, smoothing
+from lociflow.sources import epireads, fasta, indexed_fasta, regions
 
 
 def one(spark, **columns):
@@ -215,7 +217,7 @@ def test_files_of_chromosomes(spark, tmp_path):
     assert {r.name: r.path.rsplit("/", 1)[1] for r in found.collect()} == {"a": "a.fa", "b": "b.fa", "c": "b.fa"}
     assert sorted(r.name for r in fasta.chromosomes(spark, str(tmp_path), by_content=False).collect()) == ["a", "b"]
     read = fasta.read_chromosomes(spark, found, ["c"])
-    assert [(r.name, r.seq) for r in read.collect()] == [("c", "TT")] and fasta.read_fasta_target(spark, str(tmp_path), "a").first().seq == "ACG"
+    assert [(r.name, r.seq) for r in read.collect()] == [("c", "TT")] and indexed_fasta.read_fasta_target(spark, str(tmp_path), "a").first().seq == "ACG"
     with pytest.raises(ValueError, match="no file of z"):
         fasta.read_chromosomes(spark, found, ["z"])
     (tmp_path / "list").write_text(f"{tmp_path}/a.fa\n{tmp_path}/b.fa\n")
@@ -280,3 +282,71 @@ def test_kmers_and_pieces(spark):
     own = spark.createDataFrame([("s", 2, 30, "-"), ("s", 2, 30, "-"), ("s", 65, 99, "+")], "chrom string, start bigint, end bigint, strand string")
     bases = [r.seq for r in regions.region_sequences(own, df, 8).collect()]
     assert sorted(bases) == sorted([seq[2:30][::-1].translate(str.maketrans("ACGT", "TGCA"))] * 2 + [seq[65:99].upper()])
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_indexed_fasta(spark, tmp_path, newline):
+    """The index over several splits and files, and reads of no more bytes than are asked for."""
+    r = random.Random(3)
+    seqs = {f"s{i}": "".join(r.choice("ACGTacgtN") for _ in range(n)) for i, n in enumerate((0, 1, 49, 50, 51, 5000, 120_000))}
+    for file, names in (("a.fa", list(seqs)[:4]), ("b.fa", list(seqs)[4:])):
+        (tmp_path / file).write_bytes("".join(f">{n} more words{newline}" + "".join(seqs[n][i : i + 50] + newline for i in range(0, len(seqs[n]), 50)) for n in names).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        index = indexed_fasta.fasta_index(spark, str(tmp_path)).cache()
+        assert {x.name: x.length for x in index.collect()} == {n: len(s) for n, s in seqs.items()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    wanted = [(n, a, b, "x") for n in seqs for a, b in ((0, 10), (40, 60), (49, 50), (50, 51), (4990, 5010), (100, 119_000), (-5, 3), (10**6, 10**6 + 5))]
+    df = spark.createDataFrame([*wanted, ("none", 0, 5, "x")], "chrom string, start bigint, end bigint, seq_name string")
+    got = indexed_fasta.regions_of_index(df, index).collect()
+    assert sorted((x.chrom, x.start, x.end, x.seq) for x in got) == sorted((n, a, b, seqs[n][max(a, 0) : max(b, 0)]) for n, a, b, _ in wanted)
+    assert all(x.bytes_read <= len(x.seq) + 2 * (len(x.seq) // 50 + 1) for x in got)
+    assert {x.name: x.seq for x in indexed_fasta.sequences_of_index(index, ["s6", "s2", "s0"], 999).collect()} == {n: seqs[n] for n in ("s6", "s2", "s0")}
+    (tmp_path / "odd.fa").write_text(">x\nACGT\nAC\nACGT\n")
+    with pytest.raises(Exception, match="different lengths"):
+        indexed_fasta.fasta_index(spark, str(tmp_path / "odd.fa")).collect()
+
+
+def test_sites_that_are_sought(spark, tmp_path):
+    """Only the row groups that a stretch meets are read."""
+    rows = spark.range(20_000).select(F.concat(F.lit("chr"), F.col("id") % 4).alias("chrom"), F.col("id").alias("pos"), F.lit("+").alias("strand"), F.lit("CpG").alias("context"), F.lit(0.5).alias("meth"), F.lit(3).cast("bigint").alias("n_reads"))
+    regions.write_site_table(rows.repartition(7), str(tmp_path / "t"), 500)
+    found = regions.sites_between(spark.read.parquet(str(tmp_path / "t")), "chr2", 8000, 8200)
+    assert sorted(r.pos for r in found.collect()) == list(range(8002, 8200, 4))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "t").glob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert len(groups) >= 40
+    plan = found._jdf.queryExecution().executedPlan()
+    found._jdf.queryExecution().toRdd().count()
+    scans = [plan]
+    while scans and not scans[0].nodeName().startswith("Scan"):
+        node = scans.pop(0)
+        scans += [node.children().apply(i) for i in range(node.children().size())]
+    assert scans[0].metrics().apply("numOutputRows").value() <= 1000
+
+
+@pytest.mark.parametrize("rows", [5, 50_000])
+def test_smoothing_against_plain_sums(spark, monkeypatch, rows):
+    """Stretches in blocks of a few points or whole, null values, null keys and targets of their own."""
+    monkeypatch.setattr(smoothing, "BLOCK_ROWS", rows)
+    r = random.Random(6)
+    points = [(k, r.choice([r.uniform(-30, 30), float(r.randrange(-20, 20))]), r.choice([None, *[r.gauss(0, 3) for _ in range(9)]])) for k in ("a", None) for _ in range(150)]
+    df = spark.createDataFrame([*points, ("a", None, 1.0)], "key string, x double, y double")
+    asked = spark.createDataFrame([(k, x) for k in ("a", None, "b") for x in (-31.0, 0.0, 0.5, 100.0, None)], "key string, x double")
+    for targets, wanted in ((None, {(k, x) for k, x, _ in points}), (asked, {(k, x) for k in ("a", None) for x in (-31.0, 0.0, 0.5)})):
+        mean, line = {}, {}
+        for k, x in wanted:
+            near = [(b - x, y) for q, b, y in points if q == k and -4 <= b - x < 4]
+            w = [(0.75 * (1 - (d / 4) ** 2), d, y) for d, y in near]
+            s = [sum(a * d**j for a, d, _ in w) for j in range(3)]
+            t = [sum(a * d**j * y for a, d, y in w if y is not None) for j in range(2)]
+            if s[0] > 1e-9 and any(y is not None for _, _, y in w):
+                mean[k, x] = t[0] / s[0]
+                det = s[0] * s[2] - s[1] ** 2
+                line[k, x] = (s[2] * t[0] - s[1] * t[1]) / det if det > 1e-9 else t[0] / s[0]
+        got = {(g.key, g.x): g.y for g in smoothing.kernel_smooth(df, 4.0, targets=targets).collect()}
+        assert {k: got[k] for k in mean} == pytest.approx(mean, abs=1e-9)
+        got = {(g.key, g.x): g.y for g in smoothing.local_linear(df, 4.0, targets=targets).collect()}
+        assert {k: got[k] for k in line} == pytest.approx(line, abs=1e-6)
