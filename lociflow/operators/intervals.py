@@ -76,6 +76,47 @@ def intersect_by_base(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
     return overlap_join(a, b, size).select("chrom", F.greatest("start", "b_start").alias("start"), F.least("end", "b_end").alias("end"))
 
 
+def sweep(a: DataFrame, b: DataFrame, by: str = "start", order: tuple[tuple[str, ...], tuple[str, ...]] = ((), ()), block: int = BLOCK) -> DataFrame:
+    """The pairs that one pass over both sorted lists compares, where they overlap: a's columns in a, b's in b (structs).
+
+    The pass drops the lesser of the two foremost regions, by start or by end, and b's of equal ones. A region is so
+    compared with the foremost of the other list at its turn, which is the next one of that list in the merged order: a
+    running value from the far end, over blocks. Of nested regions that are fewer pairs than overlap_join() has. By end,
+    a region takes its turn by the greatest end so far in its list, as those before it hold it up. order: columns that
+    decide between equal regions of a and of b.
+    """
+    strand = ["strand"] if "strand" in a.columns and "strand" in b.columns else []
+    sides = []
+    for side, (df, ties) in enumerate(((b, order[1]), (a, order[0]))):
+        place = F.struct("start", "end", *strand)
+        other = [F.lit(None).cast(x.select(F.struct(*x.columns).alias("x")).schema["x"].dataType).alias(n) for n, x in (("_b", b), ("_a", a))]
+        other[side] = F.struct(*df.columns).alias("_a" if side else "_b")
+        tie = F.to_json(F.struct(*ties)) if ties else F.lit("")
+        sides.append(df.select("chrom", "start", "end", place.alias("_place"), F.struct("end", "start", *strand).alias("_turn"), F.lit(side).alias("_side"), tie.alias("_tie"), *other))
+    rows = sides[0].unionByName(sides[1]).withColumn("_block", _block(block))
+    if by == "end":
+        far = with_before(rows, ["chrom", "_side"], "_block", [F.col("_place"), F.col("_tie")], _far=("max", F.col("_turn")))
+        rows = far.withColumn("_turn", F.greatest("_turn", "_far")).withColumn("_block", F.floor(F.col("_turn.end") / block))
+    else:
+        rows = rows.withColumn("_turn", F.col("_place"))
+    rank = F.struct("_turn", "_side", "_place", "_tie")
+    following = [F.when(F.col("_side") == side, F.struct(rank.alias("rank"), F.col(name).alias("own"))) for side, name in ((0, "_b"), (1, "_a"))]
+    back = rows.withColumn("_back", -F.col("_block")).withColumn("_rank", rank)
+    met = with_before(back, ["chrom"], "_back", [F.col("_rank").desc()], _next_b=("min", following[0]), _next_a=("min", following[1]))
+    pairs = met.select(F.coalesce("_a", F.col("_next_a.own")).alias("a"), F.coalesce("_b", F.col("_next_b.own")).alias("b"))
+    return pairs.where(overlaps(F.col("a"), F.col("b")))
+
+
+def sweep_intersection(a: DataFrame, b: DataFrame, order: tuple[tuple[str, ...], tuple[str, ...]] = ((), ()), block: int = BLOCK) -> DataFrame:
+    """The regions of b that overlap, told once for each step of the sweep by start at which they do."""
+    return sweep(a, b, "start", order, block).select("b.*")
+
+
+def sweep_by_base(a: DataFrame, b: DataFrame, order: tuple[tuple[str, ...], tuple[str, ...]] = ((), ()), block: int = BLOCK) -> DataFrame:
+    """chrom, start and end of what is shared at each step of the sweep by end."""
+    return sweep(a, b, "end", order, block).select("a.chrom", F.greatest("a.start", "b.start").alias("start"), F.least("a.end", "b.end").alias("end"))
+
+
 def assign_by_start(regions: DataFrame, big: DataFrame, size: int = BIN, order: tuple[str, ...] = (), how: str = "start") -> DataFrame:
     """Each region with the first big region (big_ columns) that its start falls into, or with how="overlap" that it meets."""
     own = regions.columns

@@ -168,6 +168,25 @@ def kernel_smoothing_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smoothing.kernel_smooth_by_rank(series(spark, sf_dir), 4.0).select("key", F.round("x", 4).alias("x"), F.round("y", 6).alias("y"))
 
 
+def sweep_sql(first: str, second: str) -> str:
+    """t: the steps (chrom, i, j) of a pass over l and o, each sorted by start, that drops l's region if it is less by (first, second)."""
+    return f"""WITH RECURSIVE {L_SQL}, {O_SQL}, a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY s, e, name) AS i FROM l), b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY s, e, id) AS j FROM o),
+t AS (SELECT chrom, 1::BIGINT AS i, 1::BIGINT AS j FROM (SELECT DISTINCT chrom FROM a) SEMI JOIN b USING (chrom)
+UNION ALL SELECT t.chrom, t.i + k, t.j + 1 - k FROM (SELECT t.chrom, t.i, t.j, CASE WHEN a.{first} < b.{first} OR a.{first} = b.{first} AND a.{second} < b.{second} THEN 1 ELSE 0 END AS k FROM t JOIN a ON a.chrom = t.chrom AND a.i = t.i JOIN b ON b.chrom = t.chrom AND b.j = t.j) t),
+met AS (SELECT a.chrom AS chrom, a.s AS s1, a.e AS e1, b.s AS s2, b.e AS e2, b.id AS id FROM t JOIN a ON a.chrom = t.chrom AND a.i = t.i JOIN b ON b.chrom = t.chrom AND b.j = t.j WHERE a.s < b.e AND b.s < a.e)"""
+
+
+@query(sweep_sql("s", "e") + ' SELECT chrom, s2 AS "start", e2 AS "end", id FROM met')
+def sweep_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one pass over two sorted lists with nested regions tells."""
+    return intervals.sweep_intersection(line_regions(spark, sf_dir), order_regions(spark, sf_dir), (("name",), ("id",)), 64)
+
+
+@query(sweep_sql("e", "s") + ' SELECT chrom, greatest(s1, s2) AS "start", least(e1, e2) AS "end" FROM met')
+def sweep_by_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.sweep_by_base(line_regions(spark, sf_dir), order_regions(spark, sf_dir), (("name",), ("id",)), 64)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.floor(F.col("value") / 50)
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("segment"), F.col("event_id").alias("i"), m.cast("double").alias("m"), F.greatest(10 - m, F.lit(0)).cast("double").alias("u"))
