@@ -94,16 +94,17 @@ def percent(a: Column, b: Column) -> Column:
 
 
 def four_bit_words(seq: Column) -> Column:
-    """Arrays of hexadecimal digits, 16 bases each, the first base lowest: four bits say which bases a letter may be."""
+    """Arrays of longs, 16 bases each, the first base in the lowest bits: four bits say which bases a letter may be."""
     codes = F.translate(F.upper(seq), "".join(FOUR_BIT), "".join(f"{v:X}" for v in FOUR_BIT.values()))
     words = F.sequence(F.lit(0), F.floor((F.greatest(F.length(seq), F.lit(1)) - 1) / 16).cast("int"))
-    each = lambda all: F.transform(words, lambda i: F.lpad(F.reverse(F.substring(all, i * 16 + 1, F.lit(16)).cast("string")), 16, "0"))
+    half = lambda all, i: F.conv(F.reverse(F.rpad(F.substring(all, i + 1, F.lit(8)).cast("string"), 8, "0")), 16, 10).cast("bigint")
+    each = lambda all: F.transform(words, lambda i: F.shiftleft(half(all, i * 16 + 8), 32).bitwiseOR(half(all, i * 16)))
     return F.transform(F.array(codes.cast("binary")), each)[0]  # an array of one, so that the codes are worked out once
 
 
 def four_bit_text(words: Column, n: Column) -> Column:
     """The letters of such words; n of them."""
-    digits = F.array_join(F.transform(words, lambda w: F.reverse(w)), "")
+    digits = F.array_join(F.transform(words, lambda w: F.reverse(F.lpad(F.hex(w), 16, "0"))), "")
     return F.left(F.translate(digits, "".join(f"{v:X}" for v in FOUR_BIT.values()), "".join(FOUR_BIT)), n)
 
 

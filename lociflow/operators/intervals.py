@@ -91,15 +91,16 @@ def sweep(a: DataFrame, b: DataFrame, by: str = "start", order: tuple[tuple[str,
         place = F.struct("start", "end", *strand)
         other = [F.lit(None).cast(x.select(F.struct(*x.columns).alias("x")).schema["x"].dataType).alias(n) for n, x in (("_b", b), ("_a", a))]
         other[side] = F.struct(*df.columns).alias("_a" if side else "_b")
-        tie = F.to_json(F.struct(*ties)) if ties else F.lit("")
-        sides.append(df.select("chrom", "start", "end", place.alias("_place"), F.struct("end", "start", *strand).alias("_turn"), F.lit(side).alias("_side"), tie.alias("_tie"), *other))
+        tie = [F.lit(None).cast(x.select(F.struct(F.lit(0).alias("_0"), *t).alias("x")).schema["x"].dataType).alias(f"_tie{i}") for i, (x, t) in enumerate(((b, order[1]), (a, order[0])))]
+        tie[side] = F.struct(F.lit(0).alias("_0"), *ties).alias(f"_tie{side}")
+        sides.append(df.select("chrom", "start", "end", place.alias("_place"), F.struct("end", "start", *strand).alias("_turn"), F.lit(side).alias("_side"), *tie, *other))
     rows = sides[0].unionByName(sides[1]).withColumn("_block", _block(block))
     if by == "end":
-        far = with_before(rows, ["chrom", "_side"], "_block", [F.col("_place"), F.col("_tie")], _far=("max", F.col("_turn")))
+        far = with_before(rows, ["chrom", "_side"], "_block", [F.col("_place"), F.col("_tie0"), F.col("_tie1")], _far=("max", F.col("_turn")))
         rows = far.withColumn("_turn", F.greatest("_turn", "_far")).withColumn("_block", F.floor(F.col("_turn.end") / block))
     else:
         rows = rows.withColumn("_turn", F.col("_place"))
-    rank = F.struct("_turn", "_side", "_place", "_tie")
+    rank = F.struct("_turn", "_side", "_place", "_tie0", "_tie1")
     following = [F.when(F.col("_side") == side, F.struct(rank.alias("rank"), F.col(name).alias("own"))) for side, name in ((0, "_b"), (1, "_a"))]
     back = rows.withColumn("_back", -F.col("_block")).withColumn("_rank", rank)
     met = with_before(back, ["chrom"], "_back", [F.col("_rank").desc()], _next_b=("min", following[0]), _next_a=("min", following[1]))

@@ -36,13 +36,14 @@ def _sums(points: DataFrame, targets: DataFrame, bandwidth: float, key: str, deg
     places = [(own - 1, F.col("x") - h, -1), (own - 1, end, 1), (own, end, 1), (own + 1, F.col("x") + h, 1)]
     asked = targets.withColumn("p", F.explode(F.array(*[F.struct(s.alias("s"), a.cast("double").alias("a"), F.lit(sign).alias("sign")) for s, a, sign in places])))
     asked = asked.select(key, F.col("p.s").alias("_stretch"), F.col("p.a").alias("_at"), F.col("x").cast("double").alias("x"), F.col("p.sign").alias("_sign"), F.lit(0).alias("_one"), F.lit(None).cast("double").alias("_y"))
-    u = F.col("_at") / h - F.col("_stretch") - 0.5
+    centre = (F.col("_stretch") + 0.5) * h
+    u = (F.col("_at") - centre) / h
     power = lambda v, k: F.lit(1.0) if k == 0 else F.pow(v, F.lit(float(k)))
     inside = F.when(F.col("_at") == math.inf, blocks - 1).otherwise(F.least(F.lit(blocks - 1), F.greatest(F.lit(0), F.floor((u + 0.5) * blocks)))).cast("int")
     point = lambda value: F.when(F.col("_one") == 1, value)
     moments = {f"_m{k}": ("sum", point(power(u, k))) for k in powers} | {f"_n{k}": ("sum", point(power(u, k) * F.col("_y"))) for k in powers}
     found = with_before(at.unionByName(asked).withColumn("_block", inside), [key, "_stretch"], "_block", [F.col("_at"), F.col("_one")], **moments).where(F.col("_one") == 0)
-    shift = F.col("_stretch") + 0.5 - F.col("x") / h
+    shift = (centre - F.col("x")) / h
 
     def around(name: str, k: int) -> Column:
         """The moment of a power of the distance from x."""
