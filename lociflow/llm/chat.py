@@ -2,16 +2,17 @@ r"""Chat formatting by prefix-target expansion.
 
 Every assistant turn is the target of an example of its own: all turns before it are the context, and its reply alone
 is trainable. Contexts of a conversation are prefixes of one formatted text: example_segments() has what each turn adds,
-and examples() a row for each assistant turn with its whole text and loss span. The rows grow with the turns, their
-texts with the square of a conversation's turns.
+and examples() a row for each assistant turn with its whole text and loss span, cut from that text by its offset. A task
+holds a conversation's turns once; the examples that it tells grow with the square of them, as they are whole.
 
 Template: user [INST]text[/INST], assistant <s>text</s>, system [SYS]text[/SYS], any other role
 [ROLE]role[TEXT]text[/ROLE]. Inside texts and role names the backslash becomes \b and the first character of a control
 string \l or \a, so that no control string stands in a text; unescape() reverses it.
 
 Defined cases: null texts are empty; a null role is the empty one; turns are ordered by turn (null first), role and
-text, so that ties have one order; rows of a null conv_id are one conversation; turns after the last reply form a
-segment that trains nothing; an empty table gives an empty result; other columns are not looked at.
+text, so that ties have one order; a row of a null conv_id is a conversation of its own (lone tells them apart), so that
+they are never gathered; turns after the last reply form a segment that trains nothing; an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -46,18 +47,20 @@ def format_turn(role: Column, text: Column) -> Column:
 
 
 def example_segments(conversations: DataFrame) -> DataFrame:
-    """A row for each turn: conv_id, n (place in the conversation), example, start, end, loss_start, loss_end, segment.
+    """A row for each turn: conv_id, lone, n (place in the conversation), example, start, end, loss_start, loss_end, segment.
 
     example counts the replies before the turn, so that it is the first example whose text has the turn; start and end
     are the turn's place in the formatted conversation, and context of the example that ends with it is all before
-    start. The loss span is null but for replies.
+    start. The loss span is null but for replies; lone is null but for rows of a null conv_id.
     """
-    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("lone")
+    turns = conversations.select("conv_id", lone, "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = W.partitionBy("conv_id", "lone").orderBy("turn", "role", "text")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     reply = F.col("role") == "assistant"
     rows = turns.withColumn("segment", format_turn(F.col("role"), F.col("text"))).select(
         "conv_id",
+        "lone",
         (F.row_number().over(order) - 1).alias("n"),
         F.coalesce(F.sum(reply.cast("long")).over(before), F.lit(0)).alias("example"),
         F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0)).alias("start"),
@@ -67,6 +70,7 @@ def example_segments(conversations: DataFrame) -> DataFrame:
     end = F.col("start") + F.length("segment")
     return rows.select(
         "conv_id",
+        "lone",
         "n",
         "example",
         "start",
@@ -78,15 +82,17 @@ def example_segments(conversations: DataFrame) -> DataFrame:
 
 
 def examples(segments: DataFrame) -> DataFrame:
-    """conv_id, n, example, text, loss_start, loss_end: a row for each assistant turn, with all turns up to it.
+    """conv_id, lone, n, example, text, loss_start, loss_end: a row for each assistant turn, with all turns up to it.
 
     Turns after the last reply (or of a conversation without one) have a last row that trains nothing: no loss span.
     """
-    order = W.partitionBy("conv_id").orderBy("n")
-    said = F.collect_list("segment").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = segments.select("conv_id", "n", "example", "loss_start", "loss_end", said.alias("said"), F.lead("n").over(order).alias("next"))
-    kept = rows.where(F.col("loss_start").isNotNull() | F.col("next").isNull())
-    return kept.select("conv_id", "n", "example", F.array_join("said", "").alias("text"), "loss_start", "loss_end")
+    turn = F.struct("n", "example", "end", "loss_start", "loss_end", "segment")
+    grouped = segments.groupBy("conv_id", "lone").agg(F.array_sort(F.collect_list(turn)).alias("said"))
+    kept = F.filter("said", lambda x, i: x["loss_start"].isNotNull() | (i == F.size("said") - 1))
+    offsets = F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("n", "example", "end", "loss_start", "loss_end")]))
+    whole = grouped.select("conv_id", "lone", F.array_join(F.transform("said", lambda x: x["segment"]), "").alias("whole"), offsets.alias("turns"))
+    each = whole.select("conv_id", "lone", "whole", F.explode("turns").alias("t"))
+    return each.select("conv_id", "lone", "t.n", "t.example", F.substring("whole", F.lit(1), F.col("t.end").cast("int")).alias("text"), "t.loss_start", "t.loss_end")
 
 
 def whole_examples(segments: DataFrame) -> DataFrame:
@@ -127,7 +133,7 @@ def digests(conversations: DataFrame) -> DataFrame:
     """Counts and digests of every conversation: turns read back from its last example, losses from the spans of all."""
     masked = F.substring("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
     losses = F.array_sort(F.collect_list(F.struct("n", F.coalesce(unescape(masked), F.lit("")).alias("trained"))))
-    grouped = examples(example_segments(conversations)).groupBy("conv_id").agg(losses.alias("l"), F.max_by("text", "n").alias("text"))
+    grouped = examples(example_segments(conversations)).groupBy("conv_id", "lone").agg(losses.alias("l"), F.max_by("text", "n").alias("text"))
     grouped = grouped.select("conv_id", turns_of(F.col("text")).alias("t"), F.array_join(F.transform("l", lambda x: x["trained"]), "").alias("loss"), F.length("text").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return grouped.select("conv_id", F.size("t").cast("long").alias("n_turns"), sha256_hex(said).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha256_hex(F.col("loss")).alias("loss_sha256"), "formatted_chars")
@@ -146,13 +152,13 @@ def op8_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ESCAPED = r"length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + len(regexp_extract_all(text, '\[/?(?:INST|SYS|ROLE)\]|\[TEXT\]|</?s>'))"
 OP8_SQL = rf"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({_ESCAPED} + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 11 END) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+FROM t GROUP BY conv_id, lone
 """

@@ -229,6 +229,17 @@ def test_chat(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_of_null_ids_and_of_many_turns(spark):
+    """Rows of a null conv_id are told apart, and a long conversation's examples are cut from one text."""
+    rows = [(None, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)] + [(7, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    found = chat.digests(df).collect()
+    lone = [r for r in found if r.conv_id is None]
+    assert len(lone) == 3000 and {r.n_turns for r in lone} == {1} and sum(r.loss_chars for r in lone) == sum(len(r[3]) for r in rows[:3000] if r[2] == "assistant")
+    [long] = [r for r in found if r.conv_id == 7]
+    assert long.n_turns == 1200 and long.loss_sha256 == sha("".join(r[3] for r in rows[3000:] if r[2] == "assistant"))
+
+
 def test_chat_examples(spark, monkeypatch):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "tool", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e"), (2, 0, "user", "f")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
