@@ -86,7 +86,7 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def if_small(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def if_small(rows: DataFrame, table: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """rows joined with a table of narrow rows, which is broadcast once it is written and its rows are counted, if few."""
     table = cut(table)
     return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, key, how)

@@ -5,9 +5,10 @@ sorted by hash, document and position. Windows stream over that one order: they
 and count its documents, without another exchange, and only rows of lines that may go leave the stage. What comes back
 for a document is not its text but the runs of its keep bitmap, from which its kept text is cut.
 
-A line that makes up more than a share of 1 / HOT_KEYS of a sample of documents is dealt by hash and document to SALTS
-parts; first places and counts of the parts are put together in a table of at most HOT_KEYS rows. The sample decides how
-rows are dealt, not what is found: every line is counted over all documents.
+A line that makes up more than a share of 1 / HOT_KEYS of a sample of documents, or of which the sample tells PART_ROWS rows
+or more in all, is dealt by hash and document to so many parts that each has about PART_ROWS rows, and SALTS at least;
+first places and counts of the parts are put together in a table with a row for each such line, which is broadcast if a
+count finds it small. The sample decides how rows are dealt, not what is found: every line is counted over all documents.
 
 Defined cases: a null or empty text is one empty line; lines whose key is shorter than min_chars are always kept; a
 document is a row, so that rows of equal doc_id and text share one bitmap but each counts as a document of its own; null
@@ -21,12 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, documents, kept_runs, kept_text, row_key, sha256_hex
+from .common import ascii_lower, cut, documents, if_small, kept_runs, kept_text, row_key, sha256_hex
 
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
-#: Lines are dealt in SALTS parts if they have HOT_ROWS rows in a sample of so many documents, and a share of 1 / HOT_KEYS.
-SAMPLED, HOT_ROWS, HOT_KEYS, SALTS = 1 / 64, 8, 4096, 256
+#: Lines are dealt in parts if they have HOT_ROWS rows in a sample of so many documents, and a share of 1 / HOT_KEYS of it or
+#: PART_ROWS rows in all by its estimate.
+SAMPLED, HOT_ROWS, HOT_KEYS, SALTS, PART_ROWS = 1 / 64, 8, 4096, 256, 1 << 16
 
 
 def lines_of(text: Column) -> Column:
@@ -48,10 +50,12 @@ def line_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def hot_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h1 of the lines that make up a share of 1 / HOT_KEYS or more of a sample: at most HOT_KEYS rows."""
+    """h1 and parts of the lines that a sample shows to be very common."""
     counts = cut(line_places(docs.sample(SAMPLED, seed=0), min_chars).groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") * HOT_KEYS >= total).select("h1", F.lit(True).alias("hot"))
+    rows = F.col("n") / SAMPLED
+    parts = F.greatest(F.lit(SALTS), F.ceil(rows / PART_ROWS)).cast("long")
+    return counts.where((F.col("n") * HOT_KEYS >= total) | (rows >= PART_ROWS)).select("h1", parts.alias("parts"))
 
 
 def streamed(places: DataFrame) -> DataFrame:
@@ -74,13 +78,13 @@ def keep_bitmaps(docs: DataFrame, min_documents: int = 2, min_chars: int = MIN_C
     A line goes if its key is found in min_documents documents or more; with keep_first its first occurrence stays.
     keep_runs has the start and length of each run of kept lines, ascending.
     """
-    places = line_places(docs, min_chars).join(F.broadcast(hot_lines(docs, min_chars)), "h1", "left")
-    hot = F.coalesce("hot", F.lit(False))
-    part = F.xxhash64("h2", F.when(hot, F.pmod("k.a", F.lit(SALTS))).otherwise(-1))
+    places = if_small(line_places(docs, min_chars), hot_lines(docs, min_chars), "h1", "left")
+    hot = F.col("parts").isNotNull()
+    part = F.xxhash64("h2", F.coalesce(F.pmod("k.a", "parts"), F.lit(-1)))
     rows = streamed(places.select("h1", "h2", part.alias("part"), hot.alias("hot"), "doc_id", "k", "at", "n_lines"))
     found = cut(rows.where(F.col("hot") | (F.col("documents") >= min_documents)))
     parts = found.where("hot").groupBy("h1", "h2").agg(F.sum("leads").alias("all_documents"), F.min("first").alias("all_first"))
-    whole = found.join(F.broadcast(parts), ["h1", "h2"], "left")
+    whole = if_small(found, parts, ["h1", "h2"], "left")
     lost = whole.where(~F.col("hot") | (F.col("all_documents") >= min_documents))
     if keep_first:
         kept = F.when(F.col("hot"), F.col("all_first")).otherwise(F.col("first"))

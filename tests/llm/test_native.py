@@ -108,6 +108,10 @@ def test_line_dedup_repeated_rows_and_hot_lines(spark, monkeypatch):
     docs = [(1, "a\nown\na")] * 10 + [(2, "b\nb")] * 9 + [(i, f"hot \nline {i}\nHOT") for i in range(10, 60)] + [(None, "hot")]
     monkeypatch.setattr(line_dedup, "SAMPLED", 1.0)
     assert {r.h1 for r in line_dedup.hot_lines(frame(spark, docs)).collect()} and line_dedup.HOT_ROWS < 50
+    monkeypatch.setattr(line_dedup, "SALTS", 4)
+    few = {r.h1: r.parts for r in line_dedup.hot_lines(frame(spark, docs)).collect()}
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 1)  # parts follow the rows that the sample tells
+    assert max(few.values()) == line_dedup.SALTS < max(r.parts for r in line_dedup.hot_lines(frame(spark, docs)).collect())
     con = duckdb.connect()
     table = pd.DataFrame(docs, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
     con.register("documents", table)
