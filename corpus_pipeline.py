@@ -63,17 +63,28 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in a new folder below the checkpoint folder, read again from there."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as Parquet in a new folder below the checkpoint folder, read again from there; and the folder."""
     use_checkpoint_dir(df.sparkSession)
     folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    return df.sparkSession.read.parquet(folder), folder
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over the documents, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in turn over the documents, each written as Parquet and read again by the next.
+
+    A stage's folder goes once the next one is written; the last of them stays, as the result is read from it.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs, folder = written(stage(spark, docs, sf_dir))
+        if last:
+            removed(spark, last)
+        last = folder
     return STAGES[-1][1](spark, docs, sf_dir)
