@@ -41,9 +41,12 @@ class Empirical:
     log_density: tuple[float, ...]
 
     def bin(self, x: Column) -> Column:
-        """The last bin whose break isn't above x; the greatest value's bin is the last one."""
-        below = F.size(F.filter(F.array(*[F.lit(float(b)) for b in self.breaks]), lambda b: b <= x)) - 1
-        return F.least(below, F.lit(len(self.log_density) - 1))
+        """The last bin whose break isn't above x; the greatest value's bin is the last one. Breaks are multiples of the
+        second one, so that a division finds the bin, and its neighbours where rounding moved it over a break."""
+        size, last = self.breaks[1], len(self.log_density) - 1
+        near = F.floor(x / size)
+        found = F.when(near * size > x, near - 1).when((near + 1) * size <= x, near + 1).otherwise(near)
+        return F.least(found, F.lit(last)).cast("int")
 
     def log_likelihood(self, x: Column) -> Column:
         """Null below the first break."""

@@ -32,7 +32,7 @@ from .regions import SAM_FIELDS
 BLOCK_HEAD, MAGIC = b"\x1f\x8b\x08\x04", b"BAM\x01"
 LETTERS, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-FULL_BLOCK = 0xFF00
+FULL_BLOCK, LEAST_BLOCK = 0xFF00, 18
 #: Number tags by letter: their struct code and size.
 NUMBERS = {"c": ("b", 1), "C": ("B", 1), "s": ("h", 2), "S": ("H", 2), "i": ("i", 4), "I": ("I", 4), "f": ("f", 4)}
 PAIRS = [a + b for a in LETTERS for b in LETTERS]
@@ -51,7 +51,7 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 def block_size(head: bytes) -> int:
     """The bytes of the block that begins with head, or 0 if none does."""
-    if len(head) < 18 or head[:4] != BLOCK_HEAD:
+    if len(head) < LEAST_BLOCK or head[:4] != BLOCK_HEAD:
         return 0
     extra = struct.unpack_from("<H", head, 10)[0]
     at = 12
@@ -76,7 +76,7 @@ class Blocks:
         return self.held[at - self.at : at - self.at + n]
 
     def first(self, at: int) -> int:
-        """The first block from at on: a header whose chain of CHAIN headers holds, or ends with the file."""
+        """The first block from at on: a header whose chain of CHAIN headers holds, or ends with the file or beyond."""
         while at < self.size:
             found = self.window(at, LARGEST_BLOCK).find(BLOCK_HEAD)
             if found < 0:
@@ -85,12 +85,13 @@ class Blocks:
             at += found
             place = at
             for _ in range(CHAIN):
-                if place >= self.size or not (n := block_size(self.window(place, 64))):
+                n = block_size(self.window(place, 64)) if place < self.size else 0
+                if not n:
                     break
                 place += n
             else:
                 return at
-            if place == self.size:
+            if place > at and self.size - place < LEAST_BLOCK:  # the file's end, or a block that is cut off and fails when it is read
                 return at
             at += 1
         return self.size
@@ -265,11 +266,13 @@ class BamReader(DataSourceReader):
         if any(x.type == fs.FileType.NotFound for x in inside):
             raise FileNotFoundError(self.path)
         files = [x for x in inside if x.is_file and (x is found or x.path.endswith(".bam"))]
-        return [Range(prefix + x.path, a, min(a + self.split, x.size), x.size) for x in sorted(files, key=lambda x: x.path) for a in range(0, x.size, self.split)] or [Range("", 0, 0, 0)]
+        return [Range(prefix + x.path, a, min(a + self.split, x.size), x.size) for x in sorted(files, key=lambda x: x.path) for a in range(0, max(x.size, 1), self.split)] or [Range("", 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[tuple]:
-        if not part.size:
+        if not part.path:
             return
+        if not part.size:
+            raise ValueError(f"not a BAM file, but an empty one: {part.path}")
         system, path = opened(part.path)
         with system.open_input_file(path) as source:
             blocks = Blocks(source, part.size)

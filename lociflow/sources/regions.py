@@ -131,7 +131,7 @@ def parse_sam(lines: DataFrame) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """SAM text, also compressed. BAM and CRAM need a decoder that isn't here."""
+    """SAM text, also compressed. BAM files are read by bam.read_bam(); CRAM needs a decoder that isn't here."""
     return parse_sam(spark.read.text(path))
 
 

@@ -70,6 +70,21 @@ def test_records_that_span_blocks(spark, tmp_path):
         assert sorted(r.value for r in got) == sorted(map(same_mate, sam_lines(400)))
 
 
+@pytest.mark.parametrize("split", [1 << 25, 1_000])
+def test_a_file_that_is_cut_off_fails(spark, tmp_path, split):
+    """Wherever the cut is: within a block, within a block's header, or between blocks and within a record."""
+    first, numbers = bam.header_bytes(HEADER)
+    data = first + b"".join(bam.record_bytes(r.asDict(), numbers) for r in regions.parse_sam(spark.createDataFrame([(x,) for x in sam_lines(600)], "value string")).collect())
+    blocks = [bam.packed_block(data[i : i + 9_000]) for i in range(0, len(data), 9_000)]
+    whole = b"".join(blocks)
+    for n in (10, len(blocks[-1]) - 5, len(blocks[-1]) - 30, len(blocks[-1]), len(whole) - 3):
+        (tmp_path / "cut.bam").write_bytes(whole[:-n])
+        with pytest.raises(Exception, match="no whole block|ends within a record"):
+            bam.read_bam(spark, str(tmp_path / "cut.bam"), split).collect()
+    (tmp_path / "cut.bam").write_bytes(whole)  # without the block that ends files
+    assert bam.read_bam(spark, str(tmp_path / "cut.bam"), split).count() == 600
+
+
 def test_odd_files(spark, tmp_path):
     empty = spark.createDataFrame([], "value string")
     bam.write_bam(regions.parse_sam(empty), str(tmp_path / "none"), HEADER)
@@ -77,6 +92,9 @@ def test_odd_files(spark, tmp_path):
     (tmp_path / "no.bam").write_bytes(bam.packed_block(b"text") + bam.LAST_BLOCK)
     with pytest.raises(Exception, match="not a BAM file"):
         bam.read_bam(spark, str(tmp_path / "no.bam")).collect()
+    (tmp_path / "empty.bam").write_bytes(b"")
+    with pytest.raises(Exception, match="an empty one"):
+        bam.read_bam(spark, str(tmp_path / "empty.bam")).collect()
     with pytest.raises(Exception, match="FileNotFound|No such file"):
         bam.read_bam(spark, str(tmp_path / "missing.bam")).collect()
     with pytest.raises(Exception, match="KeyError|chrUnknown"):
