@@ -20,3 +20,12 @@ def test_sweeps_leave_out_chroms_of_one_list(spark, monkeypatch, by):
     got = intervals.sweep(a, b, by).collect()
     assert {r.a.chrom for r in got} == {"x"} and len(got) > 5
     assert max(seen) == 2 * (10 + 8)
+
+
+def test_nearest_leaves_out_chroms_of_b_alone(spark, monkeypatch):
+    a = spark.createDataFrame([("x", 5, 7, 1), ("only a", 5, 7, 2), (None, 5, 7, 3)], "chrom string, start bigint, end bigint, id bigint")
+    b = spark.createDataFrame([("x", 9, 10), (None, 1, 2), *[("only b", i, i + 1) for i in range(50)]], "chrom string, start bigint, end bigint")
+    seen = shuffled_rows(spark, monkeypatch, intervals)
+    got = {r.id: (r.near_start, r.near_end) for r in intervals.nearest(a, b).collect()}
+    assert got == {1: (9, 10), 2: (None, None), 3: (1, 2)}
+    assert max(seen) == 5
