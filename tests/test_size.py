@@ -1,8 +1,13 @@
 """Work and memory that follow the input, and what a larger input would bring out."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from lociflow import checkpoints
 from lociflow.operators import intervals
+from lociflow.queries import base
+
+SF = "/root/testdata/sf0.001"
 
 
 def shuffled_rows(spark, monkeypatch, module):
@@ -29,3 +34,21 @@ def test_nearest_leaves_out_chroms_of_b_alone(spark, monkeypatch):
     got = {r.id: (r.near_start, r.near_end) for r in intervals.nearest(a, b).collect()}
     assert got == {1: (9, 10), 2: (None, None), 3: (1, 2)}
     assert max(seen) == 5
+
+
+def test_ranges_of_reads_follow_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(base, "RANGE_ROWS", 400, raising=False)
+    rows = base.reads(spark, SF)
+    sizes = [r["count"] for r in rows.groupBy(F.shiftright("line_no", 33)).count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1200
+    got = [(r.chr, r.pos, r.seq) for r in rows.orderBy("line_no").collect()]
+    assert got == sorted(got)
+
+
+@pytest.mark.parametrize("size", ["64MB", "1g", "16777216", "4m"])
+def test_tasks_get_few_bytes_of_a_shuffle(spark, size):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, size)
+    checkpoints.cut(spark.range(3))
+    assert spark.conf.get(name) == (size if size == "4m" else str(8 << 20))
+    spark.conf.unset(name)
