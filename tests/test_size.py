@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociflow import checkpoints
-from lociflow.operators import intervals
+from lociflow.operators import epialleles, intervals, windows
 from lociflow.queries import base
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,13 @@ def test_tasks_get_few_bytes_of_a_shuffle(spark, size):
     checkpoints.cut(spark.range(3))
     assert spark.conf.get(name) == (size if size == "4m" else str(8 << 20))
     spark.conf.unset(name)
+
+
+def test_reads_of_batches_are_read_once_where_none_is_deep(spark, capsys):
+    """Batches that are taken apart have a branch of their own, which isn't planned where there are none."""
+    rows = spark.createDataFrame([(i, "c", i // 4, "CTCCTTCTC") for i in range(400)], "line_no bigint, chr string, pos bigint, seq string")
+    fits = epialleles.window_fits(windows.with_runs(rows))
+    capsys.readouterr()
+    fits.explain()
+    assert capsys.readouterr().out.count("Scan ExistingRDD") == 1
+    assert fits.count() > 50
