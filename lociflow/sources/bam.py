@@ -117,16 +117,20 @@ class Stream:
 
     def has(self, n: int) -> bool:
         """Whether n more bytes are there, after as many blocks as it takes."""
-        while len(self.data) - self.at < n and self.next < self.blocks.size:
+        if len(self.data) - self.at < n and self.next < self.blocks.size:
             if self.at > FULL_BLOCK:
                 gone = self.at
                 self.data, self.at = self.data[gone:], 0
                 self.starts = [(o - gone, b) for i, (o, b) in enumerate(self.starts) if i + 1 == len(self.starts) or self.starts[i + 1][0] > gone]
-            place = self.next
-            out, self.next = self.blocks.inflated(place)
-            if out:
-                self.starts.append((len(self.data), place))
-                self.data += out
+            held, length = [self.data], len(self.data)
+            while length - self.at < n and self.next < self.blocks.size:
+                place = self.next
+                out, self.next = self.blocks.inflated(place)
+                if out:
+                    self.starts.append((length, place))
+                    held.append(out)
+                    length += len(out)
+            self.data = b"".join(held)
         return len(self.data) - self.at >= n
 
     def place(self) -> tuple[int, int]:
@@ -155,6 +159,28 @@ def read_header(stream: Stream) -> tuple[str, list[str]]:
     return text, names
 
 
+#: The references of the files that a worker read last, and where their first records are: a file has as many splits as its
+#: records need, and each would read a header that grows with the references.
+HEADERS: dict[tuple[str, int, int], tuple[list[str], int, int]] = {}
+HEADERS_KEPT = 4
+
+
+def known_header(blocks: Blocks, key: tuple[str, int, int]) -> tuple[Stream, list[str]]:
+    """A stream at the first record, and the names of the references; key tells the file as it is now."""
+    if key not in HEADERS:
+        stream = Stream(blocks, 0)
+        _, names = read_header(stream)
+        while len(HEADERS) >= HEADERS_KEPT:
+            del HEADERS[next(iter(HEADERS))]
+        HEADERS[key] = (names, *stream.place())
+        return stream, names
+    names, block, at = HEADERS[key]
+    stream = Stream(blocks, block)
+    stream.has(at)
+    stream.at = at
+    return stream, names
+
+
 def likely(data: bytes, at: int, n_names: int, whole: bool) -> int:
     """The end of what may be a record at a place of data; 0 for none, -1 if data ends before that can be told."""
     if at + 36 > len(data):
@@ -276,8 +302,7 @@ class BamReader(DataSourceReader):
         system, path = opened(part.path)
         with system.open_input_file(path) as source:
             blocks = Blocks(source, part.size)
-            head = Stream(blocks, 0)
-            _, names = read_header(head)
+            head, names = known_header(blocks, (part.path, part.size, system.get_file_info(path).mtime_ns or 0))
             body = head.block() if head.has(1) else part.size  # a header ends anywhere in its last block
             first, limit = blocks.first(part.start), blocks.first(part.end) if part.end < part.size else part.size
             if first <= body:
@@ -310,11 +335,11 @@ def header_bytes(text: str) -> tuple[bytes, dict[str, int]]:
     """A file's first bytes, and the number of each reference that an @SQ line names."""
     found = [dict(x.split(":", 1) for x in line.split("\t")[1:]) for line in text.splitlines() if line.startswith("@SQ")]
     body = text.encode()
-    out = MAGIC + struct.pack("<i", len(body)) + body + struct.pack("<i", len(found))
+    out = [MAGIC, struct.pack("<i", len(body)), body, struct.pack("<i", len(found))]
     for x in found:
         name = x["SN"].encode() + b"\0"
-        out += struct.pack("<i", len(name)) + name + struct.pack("<i", int(x["LN"]))
-    return out, {x["SN"]: i for i, x in enumerate(found)}
+        out.append(struct.pack("<i", len(name)) + name + struct.pack("<i", int(x["LN"])))
+    return b"".join(out), {x["SN"]: i for i, x in enumerate(found)}
 
 
 def bin_of(start: int, end: int) -> int:

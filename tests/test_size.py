@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lociflow import checkpoints
 from lociflow.operators import epialleles, intervals, windows
 from lociflow.queries import base
+from lociflow.sources import bam
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +63,18 @@ def test_reads_of_batches_are_read_once_where_none_is_deep(spark, capsys):
     fits.explain()
     assert capsys.readouterr().out.count("Scan ExistingRDD") == 1
     assert fits.count() > 50
+
+
+def test_a_header_of_many_references_is_read_once_for_all_splits(spark, tmp_path, monkeypatch):
+    header = "@HD\tVN:1.6\n" + "\n".join(f"@SQ\tSN:chr{i}\tLN:1000" for i in range(20_000))
+    rows = spark.range(4000, numPartitions=1).select(
+        F.concat(F.lit("r"), "id").alias("qname"), F.lit(0).alias("flags"), F.concat(F.lit("chr"), F.col("id") * 5).alias("rname"), (F.col("id") + 1).alias("pos"), F.lit(9).cast("smallint").alias("mapq"), F.lit("4M").alias("cigar"),
+        F.lit("=").alias("rnext"), F.lit(7).cast("bigint").alias("pnext"), F.lit(0).alias("tlen"), F.lit("ACGT").alias("seq"), F.lit("IIII").alias("qual"), F.array(F.concat(F.lit("XX:Z:"), F.sha2(F.col("id").cast("string"), 512))).alias("tags"),
+    )
+    bam.write_bam(rows, str(tmp_path / "x"), header)
+    reader, calls, plain = bam.BamReader(str(tmp_path / "x"), 1 << 15), [], bam.read_header
+    monkeypatch.setattr(bam, "read_header", lambda stream: calls.append(1) or plain(stream))
+    parts = reader.partitions()
+    found = [row for part in parts for row in reader.read(part)]
+    assert len(parts) > 8 and len(calls) == 1
+    assert [(r[0], r[2], r[3]) for r in found] == [(f"r{i}", f"chr{i * 5}", i + 1) for i in range(4000)]
