@@ -23,22 +23,26 @@ from ..operators.ordered import with_before
 PIECE = 1 << 20
 
 
+def _measured(lines: DataFrame) -> DataFrame:
+    """What the index needs of each line, in place of its text, which no sort then has to hold."""
+    bare, head = F.rtrim(F.col("value"), F.lit("\r")), F.col("value").startswith(">")
+    name = F.when(head, F.split(F.substring(bare, 2, 1 << 30), r"[ \t]")[0])
+    return lines.select("path", "_split", "_id", (F.octet_length("value") + 1).cast("bigint").alias("width"), head.alias("head"), F.octet_length(bare).cast("bigint").alias("bases"), name.alias("name"))
+
+
 def fasta_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The index of files of any number of splits: bytes are added up by split, and splits by file.
 
     A sequence whose lines differ in length before its last, or that has an empty line within, fails the query; of equal
     names in a file each has a row.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
-    width = (F.octet_length("value") + 1).cast("bigint")
-    splits = cut(lines.groupBy("path", "_split").agg(F.sum(width).alias("_n")))
+    lines = _measured(spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id")))
+    splits = cut(lines.groupBy("path", "_split").agg(F.sum("width").alias("_n")))
     ahead = W.partitionBy("path").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
     begins = splits.select("path", "_split", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_begin"))  # a row for each split
     within = W.partitionBy("path", "_split").orderBy("_id").rowsBetween(W.unboundedPreceding, -1)
-    placed = lines.withColumn("_in", F.coalesce(F.sum(width).over(within), F.lit(0))).withColumn("width", width).join(begins, ["path", "_split"])
-    bare = F.rtrim(F.col("value"), F.lit("\r"))
-    head = F.col("value").startswith(">")
-    rows = placed.select("path", "_split", (F.col("_begin") + F.col("_in")).alias("at"), "width", head.alias("head"), F.octet_length(bare).cast("bigint").alias("bases"), F.when(head, F.split(F.substring(bare, 2, 1 << 30), r"[ \t]")[0]).alias("name"))
+    placed = lines.withColumn("_in", F.coalesce(F.sum("width").over(within), F.lit(0))).join(begins, ["path", "_split"])
+    rows = placed.select("path", "_split", (F.col("_begin") + F.col("_in")).alias("at"), "width", "head", "bases", "name")
     rows = rows.where(F.col("head") | (F.col("bases") > 0)).withColumn("_head", F.when(F.col("head"), F.col("at")))
     marked = with_before(rows, ["path"], "_split", [F.col("at")], _prior=("max", F.col("_head"))).withColumn("record", F.coalesce("_head", "_prior"))
     body = lambda c: F.when(~F.col("head"), F.col(c))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lociflow import checkpoints
 from lociflow.operators import epialleles, intervals, windows
 from lociflow.queries import base
-from lociflow.sources import bam
+from lociflow.sources import bam, indexed_fasta
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,12 @@ def test_a_header_of_many_references_is_read_once_for_all_splits(spark, tmp_path
     found = [row for part in parts for row in reader.read(part)]
     assert len(parts) > 8 and len(calls) == 1
     assert [(r[0], r[2], r[3]) for r in found] == [(f"r{i}", f"chr{i * 5}", i + 1) for i in range(4000)]
+
+
+def test_the_index_of_fasta_files_sorts_no_text(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.fa").write_text(">a b\nACGT\nAC\n>c\nGG\n")
+    seen = []
+    monkeypatch.setattr(indexed_fasta, "_measured", lambda lines, own=indexed_fasta._measured: seen.append(own(lines)) or seen[-1])
+    got = {r.name: (r.length, r.offset) for r in indexed_fasta.fasta_index(spark, str(tmp_path / "x.fa")).collect()}
+    assert got == {"a": (6, 5), "c": (2, 16)}
+    assert len(seen) == 1 and set(seen[0].columns) == {"path", "_split", "_id", "width", "head", "bases", "name"}
