@@ -214,10 +214,8 @@ def base_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequence_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CpG sites by the place predicate, and the sequence by way of its matrix of weights, from complements."""
     bases = F.col("bases")
-    places = F.when(F.length(bases) > 0, F.sequence(F.lit(0), F.length(bases) - 1)).otherwise(F.array().cast("array<int>"))
-    whole = F.transform(F.array(F.struct(bases.alias("s"), places.alias("p"))), lambda x: F.size(F.filter(x["p"], lambda i: dna.is_cpg(x["s"], i))))[0]
     rows = sequences(spark, sf_dir).select("name", F.explode_outer(F.array("seq")).alias("bases"))  # so that the bases are worked out once
-    return rows.select("name", F.length(bases).cast("bigint").alias("n"), whole.cast("bigint").alias("cpgs"), dna.call_bases(dna.complement_matrix(dna.consensus_matrix(bases))).alias("back"))
+    return rows.select("name", F.length(bases).cast("bigint").alias("n"), dna.cpg_count(bases).alias("cpgs"), dna.reverse_by_weights(bases).alias("back"))
 
 
 WEIGHTS_SQL = "w AS (SELECT DISTINCT CAST(l_quantity AS INTEGER) AS a, CAST(l_linenumber AS INTEGER) AS b FROM lineitem)"

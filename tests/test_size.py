@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow import checkpoints
+from lociflow import checkpoints, queries
+from lociflow.functions import dna
 from lociflow.operators import epialleles, intervals, windows
 from lociflow.queries import base
 from lociflow.sources import bam, indexed_fasta
@@ -87,3 +88,21 @@ def test_the_index_of_fasta_files_sorts_no_text(spark, tmp_path, monkeypatch):
     got = {r.name: (r.length, r.offset) for r in indexed_fasta.fasta_index(spark, str(tmp_path / "x.fa")).collect()}
     assert got == {"a": (6, 5), "c": (2, 16)}
     assert len(seen) == 1 and set(seen[0].columns) == {"path", "_split", "_id", "width", "head", "bases", "name"}
+
+
+def test_places_of_sequences_take_no_expression_for_each_base(spark, capsys):
+    """A lambda for each base, and a boxed array of weights, took 2 s a million bases."""
+    queries.QUERIES["sequence_places"](spark, SF).explain()
+    assert "lambda" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("chunk", [3, 1 << 16])
+def test_steps_over_batches_of_sequences(spark, chunk):
+    """Against the expressions for one base: sites at the edges of chunks and rows, rows without bases, nulls, any case."""
+    seqs = ["", None, "C", "G", "CG", "cGCgN", "", "TTC", "GAC", "GCG", "CGCGCGCG", "xcg-ACGTacgtnN", None, "A"]
+    plain = dna.call_bases(dna.complement_matrix(dna.consensus_matrix(F.col("s"))))
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id int, s string").coalesce(1)
+    for r in rows.select("s", dna.cpg_count(F.col("s"), chunk).alias("n"), dna.reverse_by_weights(F.col("s"), chunk=chunk).alias("back"), plain.alias("plain")).collect():
+        assert (r.n, r.back) == (None if r.s is None else r.s.upper().count("CG"), r.plain), r.s
+    high = [r[0] for r in rows.select(dna.reverse_by_weights(F.col("s"), 0.2, chunk)).collect()]
+    assert high[5] == "ACGCG"  # of equal weights the first
