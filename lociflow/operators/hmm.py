@@ -8,7 +8,8 @@ block is one matrix of path sums; these few matrices (two a block) are put toget
 comes before and after it. Within a block, parts are cut into pieces of PIECE rows, and all pieces take a step at once in
 numpy.
 
-Training is rounds: parameters go out, each block gives expected transitions and sums of posteriors, Spark adds them up,
+Training is rounds over rows of whole blocks, with each kind of observation (replicate, m, u) once in a block and the place
+of each row's among them: parameters go out, the parts at blocks' edges are put together as above, each block gives expected transitions and sums of posteriors, Spark adds them up,
 and the driver gets a row of sums. States emit beta-binomial counts, or beta shares (m of u) where a replicate says so.
 Observations without reads say nothing.
 """
@@ -21,6 +22,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ LEAST_RATE = 1e-10
 BLOCK_BITS, PIECE = 12, 64
 #: Matrices of parts are broadcast up to so many blocks.
 BROADCAST_BLOCKS = 200_000
+#: Blocks of a task where they are gone over many times, and blocks whose pieces take a step at once there.
+TASK_BLOCKS, STEP_BLOCKS = 64, 16
 
 
 @dataclass(frozen=True)
@@ -127,42 +131,93 @@ def _last_best(x: np.ndarray, axis: int) -> np.ndarray:
     return x.shape[axis] - 1 - np.argmax(np.flip(x, axis), axis=axis)
 
 
+@dataclass(frozen=True)
+class Rows:
+    """The rows of one block: their number, the row where each part of a segment begins, how many observations each row has,
+    and each observation's place among the kinds, which are replicate, m and u."""
+
+    n: int
+    first: np.ndarray
+    sizes: np.ndarray
+    code: np.ndarray
+    k: np.ndarray
+    m: np.ndarray
+    u: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table) -> Rows:
+        segment = table["segment"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+        lists = [table[c].combine_chunks() for c in "kmu"]
+        k, m, u = (x.flatten().to_numpy(zero_copy_only=False).astype(float) for x in lists)
+        return Rows(len(table), first, pa.compute.list_value_length(lists[1]).to_numpy(), np.arange(len(m)), k, m, u)
+
+    def by_kind(self) -> Rows:
+        """The same with each kind once."""
+        kinds, code = np.unique(np.stack([self.k, self.m, self.u]), axis=1, return_inverse=True)
+        return replace(self, code=code.ravel(), k=kinds[0], m=kinds[1], u=kinds[2])
+
+    @staticmethod
+    def joined(all: list[Rows]) -> Rows:
+        """Blocks one after another as one, in which each block's first row begins a part."""
+        at, kind = (np.cumsum([0, *x]) for x in ([x.n for x in all], [len(x.m) for x in all]))
+        one = lambda c, base=None: np.concatenate([getattr(x, c) + (0 if base is None else base[i]) for i, x in enumerate(all)])
+        return Rows(int(at[-1]), one("first", at), one("sizes"), one("code", kind), one("k"), one("m"), one("u"))
+
+    def edges(self) -> Rows:
+        """The first and the last part alone."""
+        if len(self.first) < 3:
+            return self
+        a, b = self.first[1], self.first[-1]
+        ends = np.cumsum(self.sizes)
+        return replace(self, n=int(a + self.n - b), first=np.array([0, a]), sizes=np.append(self.sizes[:a], self.sizes[b:]), code=np.append(self.code[: ends[a - 1]], self.code[ends[b - 1] :]))
+
+
+def _each(rows: Rows, model: Model) -> np.ndarray:
+    """Log-likelihood of each kind of observation under each state."""
+    if model.replicates is None:
+        return emissions(rows.m, rows.u, model.shapes)
+    if len(rows.k) and not 0 <= rows.k.min() <= rows.k.max() < len(model.replicates):
+        raise ValueError(f"the model has replicates 0 to {len(model.replicates) - 1} only")
+    found = np.zeros((len(rows.k), len(model.names)))
+    for r, (family, shapes) in enumerate(model.replicates):
+        own = rows.k == r
+        found[own] = emissions(rows.m[own], rows.u[own], shapes, family)
+    return found
+
+
 class Block:
-    """The rows of one block: their emissions, and the pieces of the parts of segments."""
+    """The rows of one block: their emissions, and the pieces of the parts of segments.
+
+    paths is worked out for all pieces if every part's whole() is asked for, else for parts of several pieces."""
 
-    def __init__(self, table: pa.Table, model: Model, best: bool = False) -> None:
+    def __init__(self, rows: Rows, model: Model, best: bool = False, whole: bool = False) -> None:
         self.step, self.start, self.end = model.logs()
-        self.best, self.n, self.states = best, len(table), len(model.names)
-        code = table["segment"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
-        self.first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))  # row where each part begins
+        self.best, self.rows, self.n, self.states = best, rows, rows.n, len(model.names)
+        self.first = rows.first  # row where each part begins
         self.last = np.append(self.first[1:], self.n) - 1
-        sizes = np.array([len(x) for x in table["m"].to_pylist()]) if len(table) else np.zeros(0, int)
-        self.m, self.u, self.replicate = (np.concatenate([np.asarray(x, float) for x in table[c].to_pylist()]) for c in ("m", "u", "k"))
-        self.owner = np.repeat(np.arange(self.n), sizes)
-        self.emit = np.zeros((self.n, self.states))
-        if model.replicates is None:
-            np.add.at(self.emit, self.owner, emissions(self.m, self.u, model.shapes))
+        self.owner = np.repeat(np.arange(self.n), rows.sizes)
+        each = _each(rows, model)[rows.code]
+        if len(each) == self.n:  # a row has one observation at least
+            self.emit = each
         else:
-            if len(self.replicate) and not 0 <= self.replicate.min() <= self.replicate.max() < len(model.replicates):
-                raise ValueError(f"the model has replicates 0 to {len(model.replicates) - 1} only")
-            for r, (family, shapes) in enumerate(model.replicates):
-                own = self.replicate == r
-                np.add.at(self.emit, self.owner[own], emissions(self.m[own], self.u[own], shapes, family))
+            self.emit = np.zeros((self.n, self.states))
+            np.add.at(self.emit, self.owner, each)
         size = self.last - self.first + 1
         self.pieces = -(-size // PIECE)  # of each part
         self.part = np.repeat(np.arange(len(size)), self.pieces)
         self.head = np.cumsum(self.pieces) - self.pieces  # first piece of each part
         self.begin = self.first[self.part] + PIECE * (np.arange(len(self.part)) - self.head[self.part])
         self.size = np.minimum(PIECE, self.last[self.part] + 1 - self.begin)
-        self.paths = self._paths()
+        self.paths = self._paths(np.flatnonzero(whole | (self.pieces > 1)[self.part]))
 
-    def _paths(self) -> np.ndarray:
-        """Of each piece, the sums of all paths from a state of its first row to one of its last."""
+    def _paths(self, needed: np.ndarray) -> np.ndarray:
+        """Of each piece needed, the sums of all paths from a state of its first row to one of its last."""
         q = np.full((len(self.part), self.states, self.states), -np.inf)
         k = np.arange(self.states)
         q[:, k, k] = self.emit[self.begin]
-        for t in range(1, int(self.size.max(initial=0))):
-            live = np.flatnonzero(self.size > t)
+        for t in range(1, int(self.size[needed].max(initial=0))):
+            live = needed[self.size[needed] > t]
             q[live] = _sum(q[live][:, :, :, None] + self.step, 2, self.best) + self.emit[self.begin[live] + t][:, None, :]
         return q
 
@@ -242,7 +297,7 @@ def _parts(rows: DataFrame, model: Model, best: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches):
-            block = Block(table, model, best)
+            block = Block(Rows.of(table), model, best, whole=True)
             q = block.whole()
             total = _sum(_sum(block.start[None, :, None] + q, 1, best) + block.end, 1, best)
             edge = np.zeros(len(q), bool)
@@ -285,10 +340,10 @@ def _joints(parts: DataFrame, model: Model, best: bool = False) -> DataFrame:
     return edges.groupBy("segment").applyInArrow(run, f"segment {kind}, _block bigint, before array<double>, post array<double>, last int, total double")
 
 
-def _scan(rows: DataFrame, model: Model, schema: str, each: Callable[[pa.Table, Block, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], best: bool = False, blocks: int | None = None) -> DataFrame:
+def _scan(rows: DataFrame, model: Model, schema: str, each: Callable[[pa.Table, Block, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], best: bool = False) -> DataFrame:
     """each(table, block, before, post, last) for each block, with what _joints() says of its parts (nan and -1 for none)."""
     joints = _joints(_parts(rows, model, best), model, best).select(F.col("segment").alias("_s"), F.col("_block").alias("_b"), "before", "post", "last")
-    small = (rows.select("_block").distinct().count() if blocks is None else blocks) <= BROADCAST_BLOCKS
+    small = rows.select("_block").distinct().count() <= BROADCAST_BLOCKS
     joined = rows.join(F.broadcast(joints) if small else joints, (F.col("_block") == F.col("_b")) & F.col("segment").eqNullSafe(F.col("_s")), "left").drop("_s", "_b")
     if not small:
         joined = joined.repartition("_block").sortWithinPartitions("_block", "segment", "i")
@@ -296,7 +351,7 @@ def _scan(rows: DataFrame, model: Model, schema: str, each: Callable[[pa.Table,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches):
-            block = Block(table, model, best)
+            block = Block(Rows.of(table), model, best)
             firsts = table.take(pa.array(block.first))
             before, post = (np.array([[np.nan] * k if x is None else x for x in firsts[c].to_pylist()]) for c in ("before", "post"))
             post = np.where(np.isnan(post), block.end, post)
@@ -358,12 +413,12 @@ def log_odds(observations: DataFrame, model: Model) -> DataFrame:
     return _scan(rows, model, f"segment {dict(rows.dtypes)['segment']}, i bigint, state string, score double", run)
 
 
-def _moves(block: Block, before: np.ndarray, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _moves(block: Block, before: np.ndarray, f: np.ndarray, b: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
     """Of each row, the probabilities of the transitions into it; 0 at the first of a segment."""
     earlier = np.empty_like(f)
     earlier[1:] = f[:-1]
     earlier[block.first] = np.where(np.isnan(before), -np.inf, before)
-    total = log_sum_exp(f + b, axis=1)
+    total = log_sum_exp(f + b, axis=1) if total is None else total
     return np.exp(earlier[:, :, None] + block.step + (block.emit + b)[:, None, :] - total[:, None, None])
 
 
@@ -386,35 +441,94 @@ def log_likelihood(observations: DataFrame, model: Model) -> DataFrame:
     return parts.where(F.col("q").isNull()).select("segment", F.col("total").alias("log_likelihood")).unionByName(edges.select("segment", F.col("total").alias("log_likelihood")))
 
 
+def packed(observations: DataFrame) -> tuple[DataFrame, int]:
+    """A row for each block, for work that goes over them many times, and their number: _block, ends (the segments of the first
+    part and, if there are several, of the last), n, and the arrays of Rows by kind."""
+    rows = sorted_blocks(observations)
+    arrays = {"first": "int", "sizes": "int", "code": "int", "k": "double", "m": "double", "u": "double"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches):
+            own = Rows.of(table).by_kind()
+            ends = table["segment"].combine_chunks().take(pa.array(own.first[[0] if len(own.first) == 1 else [0, -1]]))
+            lists = [pa.array([getattr(own, c).astype(np.int32 if kind == "int" else float)]) for c, kind in arrays.items()]
+            yield pa.RecordBatch.from_arrays([table["_block"][:1].combine_chunks(), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), ends), pa.array([own.n], pa.int32()), *lists], names=["_block", "ends", "n", *arrays])
+
+    schema = f"_block bigint, ends array<{dict(rows.dtypes)['segment']}>, n int, " + ", ".join(f"{c} array<{kind}>" for c, kind in arrays.items())
+    found = cut(rows.select("segment", "i", "k", "m", "u", "_block").mapInArrow(run, schema))
+    blocks = found.count()
+    return cut(found.repartition(_tasks(blocks), "_block")), blocks
+
+
+def _tasks(blocks: int) -> int:
+    return max(8, -(-blocks // TASK_BLOCKS))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[Rows]]]:
+    """Rows of packed(), as many as take a step at once, and the Rows of each."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, STEP_BLOCKS):
+            own = batch.slice(a, STEP_BLOCKS)
+            arrays = [[x.values.to_numpy(zero_copy_only=False) for x in own[c]] for c in ("first", "sizes", "code", "k", "m", "u")]
+            yield own, [Rows(*x) for x in zip(own["n"].to_pylist(), *arrays, strict=True)]
+
+
+def _edges(rows: DataFrame, model: Model) -> DataFrame:
+    """segment, _block and q as of _parts(), of packed() blocks: the parts at blocks' edges alone are worked out."""
+    kind = dict(rows.dtypes)["ends"].removeprefix("array<").removesuffix(">")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, parts in _unpacked(batches):
+            q = Block(Rows.joined([x.edges() for x in parts]), model, whole=True).whole()
+            block = own["_block"].take(pa.compute.list_parent_indices(own["ends"]))
+            yield pa.RecordBatch.from_arrays([own["ends"].flatten(), block, _floats(q.reshape(len(q), -1))], names=["segment", "_block", "q"])
+
+    return rows.mapInArrow(run, f"segment {kind}, _block bigint, q array<double>")
+
+
 def _round(rows: DataFrame, model: Model, blocks: int) -> dict:
-    """Sums over all rows: log-likelihood, transitions, and for each replicate and state the posterior and its weighted logs."""
+    """Sums over all rows of packed(): log-likelihood, transitions, and for each replicate and state the posterior and its weighted logs."""
     k, families = len(model.names), [f for f, _ in model.replicates] if model.replicates else ["betabin"]
     size = 1 + k * k + 3 * k * len(families)
+    edges = _edges(rows, model).repartition(_tasks(blocks), "segment")  # a number, as these few bytes would become one task
+    joints = _joints(edges, model).groupBy(F.col("_block").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("segment", "before", "post"))).alias("joints"))  # two at most, in the order of rows
 
-    def run(table, block, before, post, last):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, parts in _unpacked(batches):
+            block = Block(Rows.joined(parts), model)
+            before, post = np.full((len(block.first), k), np.nan), np.tile(block.end, (len(block.first), 1))
+            begin = np.cumsum([0, *[len(x.first) for x in parts]])
+            for a, b, both in zip(begin, begin[1:], own["joints"].to_pylist(), strict=False):
+                for at, joint in zip((a, b - 1), both, strict=False):
+                    before[at], post[at] = np.nan if joint["before"] is None else joint["before"], joint["post"]
+            yield pa.RecordBatch.from_arrays([pa.array([sums(block, before, post)], pa.list_(pa.float64()))], names=["sums"])
+
+    def sums(block: Block, before: np.ndarray, post: np.ndarray) -> list[float]:
         f, b = block.forward(_pre(block, before)), block.backward(post)
         log_p = f + b
         top = log_sum_exp(log_p, axis=1)
         p = np.exp(log_p - top[:, None])
         begins = np.isnan(before[:, 0])
-        sums = [top[block.first][begins].sum(), *_moves(block, before, f, b).sum(axis=0).ravel()]
+        found = [top[block.first][begins].sum(), *_moves(block, before, f, b, top).sum(axis=0).ravel()]
+        kinds = block.rows
+        weights = np.stack([np.bincount(kinds.code, p[block.owner, j], len(kinds.m)) for j in range(k)], axis=1)
         for r, family in enumerate(families):
-            own = (block.m + block.u > 0) & ((block.replicate == r) if model.replicates else True)
-            m, n = block.m[own], block.u[own] if family == "beta" else block.m[own] + block.u[own]
+            own = (kinds.m + kinds.u > 0) & ((kinds.k == r) if model.replicates else True)
+            m, n = kinds.m[own], kinds.u[own] if family == "beta" else kinds.m[own] + kinds.u[own]
             share = np.clip(m / np.where(n > 0, n, 1), EDGE, 1 - EDGE)
-            w = p[block.owner[own]]
-            sums += [*w.sum(axis=0), *(w * np.log(share)[:, None]).sum(axis=0), *(w * np.log(1 - share)[:, None]).sum(axis=0)]
-        return pa.RecordBatch.from_arrays([pa.array([[float(x) for x in sums]], pa.list_(pa.float64()))], names=["sums"])
+            w = weights[own]
+            found += [*w.sum(axis=0), *(w * np.log(share)[:, None]).sum(axis=0), *(w * np.log(1 - share)[:, None]).sum(axis=0)]
+        return [float(x) for x in found]
 
-    s = np.array(_scan(rows, model, "sums array<double>", run, blocks=blocks).agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(size)]).first(), float)
+    joined = rows.join(F.broadcast(joints) if blocks <= BROADCAST_BLOCKS else joints, F.col("_block") == F.col("_b")).drop("_b")
+    s = np.array(joined.mapInArrow(run, "sums array<double>").agg(*[F.sum(F.get("sums", F.lit(i))) for i in range(size)]).first(), float)
     logs = s[1 + k * k :].reshape(len(families), 3, k)
     return {"total": s[0], "moves": s[1 : 1 + k * k].reshape(k, k), "logs": logs}
 
 
 def train(observations: DataFrame, model: Model, max_rounds: int = 10, tolerance: float = TOLERANCE, absolute: bool = False) -> tuple[Model, list[float]]:
     """The trained model and the log-likelihood of each round. absolute: any change counts, not growth alone."""
-    rows = sorted_blocks(observations)
-    blocks = rows.select("_block").distinct().count()
+    rows, blocks = packed(observations)
     history = []
     for _ in range(max_rounds):
         s = _round(rows, model, blocks)
@@ -445,7 +559,7 @@ def prefix_likelihood(observations: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([table["segment"].combine_chunks(), pa.array(table["i"].to_numpy(), pa.int64()), table["_block"].combine_chunks(), _floats(Block(table, model).emit)], names=["segment", "i", "_block", "emit"])
+            yield pa.RecordBatch.from_arrays([table["segment"].combine_chunks(), pa.array(table["i"].to_numpy(), pa.int64()), table["_block"].combine_chunks(), _floats(Block(Rows.of(table), model).emit)], names=["segment", "i", "_block", "emit"])
 
     emit = rows.select("segment", "i", "k", "m", "u", "_block").mapInArrow(run, f"segment {dict(rows.dtypes)['segment']}, i bigint, _block bigint, emit array<double>")
     own = [F.get("emit", F.lit(k)) for k in range(len(model.names))]

@@ -1,12 +1,13 @@
 """Work and memory that follow the input, and what a larger input would bring out."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lociflow import checkpoints, queries
 from lociflow.functions import dna
-from lociflow.operators import epialleles, intervals, windows
-from lociflow.queries import base
+from lociflow.operators import epialleles, hmm, intervals, windows
+from lociflow.queries import base, models
 from lociflow.sources import bam, indexed_fasta
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +107,41 @@ def test_steps_over_batches_of_sequences(spark, chunk):
         assert (r.n, r.back) == (None if r.s is None else r.s.upper().count("CG"), r.plain), r.s
     high = [r[0] for r in rows.select(dna.reverse_by_weights(F.col("s"), 0.2, chunk)).collect()]
     assert high[5] == "ACGCG"  # of equal weights the first
+
+
+def test_training_reads_a_row_for_each_block_with_each_kind_once(spark):
+    """Rows of observations, read twice in each round and taken apart one by one, took 50 us each."""
+    observed = spark.createDataFrame([(None if i < 5 else i // 3000, i, float(i % 4), float(i % 2)) for i in range(20_000)], "segment bigint, i bigint, m double, u double")
+    rows, blocks = hmm.packed(observed)
+    found = rows.collect()
+    assert len(found) == blocks < 20 and sum(r.n for r in found) == 20_000 == sum(len(r.code) for r in found)
+    assert max(len(r.m) for r in found) == 4 and all(len(r.ends) == min(2, len(r.first)) for r in found)
+
+
+@pytest.mark.parametrize("replicates", [False, True])
+def test_blocks_take_steps_together(monkeypatch, replicates):
+    monkeypatch.setattr(hmm, "PIECE", 3)
+    model, rng, alone = models.REPLICATES if replicates else models.TWO, np.random.default_rng(5), []
+    for first, n in (([0], 1), ([0], 20), ([0, 2], 9), ([0, 1, 9, 10], 30)):
+        sizes = rng.integers(1, 3, n)
+        k, m, u = rng.integers(0, 3, sizes.sum()).astype(float), rng.integers(0, 3, sizes.sum()).astype(float), np.full(sizes.sum(), 4.0)
+        alone.append(hmm.Rows(n, np.array(first), sizes, np.arange(len(m)), k, m, u))
+    kinds = [x.by_kind() for x in alone]
+    together = hmm.Block(hmm.Rows.joined(kinds), model)
+    each = [hmm.Block(x, model, whole=True) for x in alone]
+    pre, post = np.tile(together.start, (len(together.first), 1)), np.tile(together.end, (len(together.first), 1))
+    apart = [(b.forward(pre[: len(b.first)]), b.backward(post[: len(b.first)])) for b in each]
+    np.testing.assert_allclose(together.forward(pre), np.concatenate([f for f, _ in apart]), rtol=1e-12)
+    np.testing.assert_allclose(together.backward(post), np.concatenate([b for _, b in apart]), rtol=1e-12)
+    edges = hmm.Block(hmm.Rows.joined([x.edges() for x in kinds]), model, whole=True).whole()
+    np.testing.assert_allclose(edges, np.concatenate([b.whole()[[0] if len(b.first) == 1 else [0, -1]] for b in each]), rtol=1e-12)
+
+
+def test_training_on_replicates_by_small_blocks(spark, monkeypatch):
+    rows = models.replicated(spark, SF)
+    whole, history = hmm.train(rows, models.REPLICATES, 2)
+    monkeypatch.setattr(hmm, "BLOCK_BITS", 3)
+    parts, again = hmm.train(rows, models.REPLICATES, 2)
+    assert again == pytest.approx(history, rel=1e-9)
+    flat = lambda model: [x for _, shapes in model.replicates for s in shapes for x in s] + [x for t in model.transitions for x in t]
+    assert flat(parts) == pytest.approx(flat(whole), rel=1e-7)
